@@ -541,7 +541,7 @@ q AS (SELECT *, CASE WHEN total_mv_yi BETWEEN 100 AND 200 THEN 'mid_small' WHEN
   + (CASE WHEN cash_ratio_pct >= 100 THEN 15 WHEN cash_ratio_pct >= 80 THEN 10 WHEN cash_ratio_pct >= 60 THEN 5 ELSE 0 END)
   + (CASE WHEN debt_ratio < 50 THEN 10 WHEN debt_ratio < 60 THEN 7 WHEN debt_ratio < 70 THEN 4 ELSE 0 END)
   + (CASE WHEN holder_pct >= 40 THEN 10 WHEN holder_pct >= 25 THEN 7 WHEN holder_pct >= 15 THEN 4 ELSE 2 END)
-  + coalesce(least(10, moat_score), 6) + 6
+  + coalesce(CASE WHEN moat_score > 10 THEN 10 ELSE moat_score END, 6) + 6
   + (CASE WHEN peg < 0.8 THEN 10 WHEN peg < 1.2 THEN 7 WHEN peg < 1.5 THEN 4 ELSE 2 END) AS quality_score FROM sc),
 qq AS (SELECT *, CASE WHEN quality_score >= 80 THEN '5 stars' WHEN quality_score >= 65 THEN '4 stars' WHEN quality_score >= 50 THEN '3 stars'
   WHEN quality_score >= 35 THEN '2 stars' ELSE '1 star' END AS rating, coalesce(revenue_cagr3_pct > 20, false) OR coalesce(revenue_cagr2_pct > 25, false) AS gate FROM q)"""
