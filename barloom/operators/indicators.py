@@ -307,11 +307,11 @@ def period_score() -> Column:
 
 def composite_levels(scores: DataFrame) -> DataFrame:
     """(code, level, score) latest rows -> 0.30 month + 0.35 week + 0.35 day; a missing level counts 50."""
-    w = {"month": 0.30, "week": 0.35, "day": 0.35}
-    total = F.lit(0.0)
+    w = {"month": 30, "week": 35, "day": 35}    # percent: whole numbers round exactly
+    total = F.lit(0)
     for k, v in w.items():
         total = total + F.coalesce(F.max(F.when(c("level") == k, c("score"))), F.lit(50)) * v
-    return scores.groupBy("code").agg(F.round(total, 1).alias("composite")).withColumn("strength", ladder(
+    return scores.groupBy("code").agg((F.floor((total + 5) / 10) / 10).alias("composite")).withColumn("strength", ladder(
         (c("composite") >= 75, "strong"), (c("composite") >= 60, "firm"), (c("composite") >= 45, "neutral"),
         (c("composite") >= 30, "soft"), default="weak"))
 

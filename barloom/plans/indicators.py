@@ -1,5 +1,7 @@
 """Indicator queries over brand-week bars, minute bars and multi-level bars."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from barloom.functions.recursive import span, with_recursions
@@ -36,12 +38,12 @@ def loose(expr, n):
     return over(expr, n, need=1)
 
 
-ind("i01_ema", "ema12:f6", lambda df: with_recursions(df, [("ema12", "ema", "close", span(12))]), [{"ema12": ema("close", sp(12))}])
-ind("i02_sma", "loose20:f6 strict20:f6", lambda df: df.select("*", I.sma("close", 20).alias("loose20"), I.sma("close", 20, loose=False).alias("strict20")),
+ind("i01_ema", "ema12:f4", lambda df: with_recursions(df, [("ema12", "ema", "close", span(12))]), [{"ema12": ema("close", sp(12))}])
+ind("i02_sma", "loose20:f4 strict20:f4", lambda df: df.select("*", I.sma("close", 20).alias("loose20"), I.sma("close", 20, loose=False).alias("strict20")),
     [{"loose20": loose("avg(close)", 20), "strict20": over("avg(close)", 20)}])
-ind("i03_wma", "wma5:f6", col("wma5", lambda: I.wma("close", 5)),
+ind("i03_wma", "wma5:f4", col("wma5", lambda: I.wma("close", 5)),
     [{"wma5": "(lag(close,4) OVER w + 2 * lag(close,3) OVER w + 3 * lag(close,2) OVER w + 4 * lag(close,1) OVER w + 5 * close) / 15"}])
-ind("i04_macd", "dif:f6 dea:f6 bar:f6", I.macd_columns, MACD)
+ind("i04_macd", "dif:f4 dea:f4 bar:f4", I.macd_columns, MACD)
 _GL = {"g": "CASE WHEN d IS NOT NULL THEN greatest(d, 0) END", "l": "CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END"}
 _RSI14 = [_GL, {"ag": ema("g", 1 / 14, 1), "al": ema("l", 1 / 14, 1)}, {"rsi": "100 - 100 / (1 + ag / nullif(al, 0))"}]
 ind("i05_rsi_wilder", "rsi:f6", lambda df: with_recursions(I.gain_loss(df), I.rsi_recursion(14)).withColumn("rsi", I.wilder_rsi(14)), _RSI14)
@@ -56,10 +58,10 @@ def _boll(df):
 
 
 _BOLL = [{"mid": loose("avg(close)", 20), "sd": loose("stddev_samp(close)", 20)}, {"up": "mid + 2 * sd", "lo": "mid - 2 * sd"}]
-ind("i08_bollinger", "up:f6 mid:f6 lo:f6", _boll, _BOLL)
-ind("i09_atr", "atr:f6", col("atr", lambda: I.atr(14)), [{"atr": loose("avg(tr)", 14)}])
+ind("i08_bollinger", "up:f4 mid:f4 lo:f4", _boll, _BOLL)
+ind("i09_atr", "atr:f4", col("atr", lambda: I.atr(14)), [{"atr": loose("avg(tr)", 14)}])
 ind("i10_obv", "obv:f2", col("obv", I.obv), G.OBV)
-ind("i11_vwap_running", "vwap:f6", col("vwap", I.vwap_running), [{"vwap": f"{run('sum(close * volume)')} / {run('sum(volume)')}"}])
+ind("i11_vwap_running", "vwap:f4", col("vwap", I.vwap_running), [{"vwap": f"{run('sum(close * volume)')} / {run('sum(volume)')}"}])
 ind("i12_roc", "roc:f6", col("roc", lambda: I.roc(5)), [{"roc": "(close / lag(close, 5) OVER w - 1) * 100"}])
 
 
@@ -80,7 +82,7 @@ ind("i14_rsi_divergence", "div:s", lambda df: with_recursions(I.gain_loss(df), I
 ind("i15_cci", "cci:f6", col("cci", lambda: I.cci(14)), G.CCI)
 
 
-@query("i16_sar", "code:s ts:d sar:f6", G.SAR + "\n---\nSELECT code, ts, sar FROM sarr")
+@query("i16_sar", "code:s ts:d sar:f4", G.SAR + "\n---\nSELECT code, ts, sar FROM sarr")
 def sar(spark, sf):
     return with_recursions(_base(spark, sf), [("sar", "sar")])
 
@@ -88,14 +90,14 @@ def sar(spark, sf):
 ind("i17_williams_r", "wr:f6", col("wr", lambda: I.williams_r(14)), [{"wr": f"({over('max(high)', 14)} - close) / ({over('max(high)', 14)} - {over('min(low)', 14)} + 1e-10) * 100"}])
 ind("i18_dmi_adx", "pdi:f6 mdi:f6 adx:f6", lambda df: I.with_stages(df, I.dmi_stages()), G.DMI)
 ind("i19_trix", "trix:f6", lambda df: with_recursions(df, I.TRIX).withColumn("trix", (c("t3") - S.lag("t3")) / (S.lag("t3") + 1e-10) * 100), G.TRIX)
-ind("i20_mtm", "mtm:f6", col("mtm", lambda: I.mtm(12)), [{"mtm": "close - lag(close, 12) OVER w"}])
+ind("i20_mtm", "mtm:f8", col("mtm", lambda: I.mtm(12)), [{"mtm": "close - lag(close, 12) OVER w"}])
 ind("i21_psy", "psy:f6", col("psy", lambda: I.psy(12)), [{"psy": over("avg(CASE WHEN d > 0 THEN 100e0 WHEN d <= 0 THEN 0e0 END)", 12)}])
 ind("i22_vr", "vr:f6", col("vr", lambda: I.volume_ratio(26)), G.VR)
-ind("i23_keltner", "mid:f6 up:f6 lo:f6", lambda df: with_recursions(df.withColumn("a", I.atr(10, loose=False)), [("mid", "ema", "close", span(20))]).select(
+ind("i23_keltner", "mid:f4 up:f4 lo:f4", lambda df: with_recursions(df.withColumn("a", I.atr(10, loose=False)), [("mid", "ema", "close", span(20))]).select(
     "*", (c("mid") + c("a") * 1.5).alias("up"), (c("mid") - c("a") * 1.5).alias("lo")),
     [{"mid": ema("close", sp(20)), "a": over("avg(tr)", 10)}, {"up": "mid + 1.5 * a", "lo": "mid - 1.5 * a"}])
-ind("i24_pivot_points", "p:f6 r1:f6 s1:f6 r2:f6 s2:f6", lambda df: df.select("*", *[v.alias(k) for k, v in I.pivot_points().items()]), G.PIV)
-ind("i25_fibonacci", "f236:f6 f618:f6", lambda df: df.withColumn("fib", I.fibonacci(60)).select("*", c("fib")[1].alias("f236"), c("fib")[4].alias("f618")),
+ind("i24_pivot_points", "p:f4 r1:f4 s1:f4 r2:f4 s2:f4", lambda df: df.select("*", *[v.alias(k) for k, v in I.pivot_points().items()]), G.PIV)
+ind("i25_fibonacci", "f236:f4 f618:f4", lambda df: df.withColumn("fib", I.fibonacci(60)).select("*", c("fib")[1].alias("f236"), c("fib")[4].alias("f618")),
     [{"hi": over("max(high)", 60), "lo": over("min(low)", 60)}, {"f236": "hi - 0.236 * (hi - lo)", "f618": "hi - 0.618 * (hi - lo)"}])
 
 # ---- period analysis -----------------------------------------------------------------------------
@@ -132,7 +134,7 @@ def period_score(spark, sf):
 
 def _level_sql(level, bars_sql, name):
     text, last = staged(PERIOD, "", f"{level}b")
-    text = text.replace("st", f"{level}st").replace(f"{level}stddev", "stddev").replace(f"la{level}st", "last")
+    text = re.sub(r"\bst(\d)\b", rf"{level}st\1", text)
     base = bars_sql + f""",
 {level}b0 AS (SELECT *, row_number() OVER w - 1 AS i, lag(close) OVER w AS pc FROM {name} {WIN}),
 {level}b AS (SELECT *, close - pc AS d, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr FROM {level}b0)"""
@@ -153,7 +155,7 @@ _lv_text, _lv_union = _short_ema_levels()
 
 @query("i28_multi_period_composite", "code:s composite:f1 strength:s", _lv_text + f""",
 lv AS ({_lv_union}),
-cmp AS (SELECT code, round(coalesce(max(score) FILTER (level = 'month'), 50) * 0.30e0 + coalesce(max(score) FILTER (level = 'week'), 50) * 0.35e0 + 50 * 0.35e0, 1) AS composite FROM lv GROUP BY 1)
+cmp AS (SELECT code, floor((coalesce(max(score) FILTER (level = 'month'), 50) * 30 + coalesce(max(score) FILTER (level = 'week'), 50) * 35 + 50 * 35 + 5) / 10) / 10 AS composite FROM lv GROUP BY 1)
 ---
 SELECT *, CASE WHEN composite >= 75 THEN 'strong' WHEN composite >= 60 THEN 'firm' WHEN composite >= 45 THEN 'neutral' WHEN composite >= 30 THEN 'soft' ELSE 'weak' END AS strength FROM cmp""")
 def multi_period(spark, sf):
@@ -166,7 +168,7 @@ def multi_period(spark, sf):
     return I.composite_levels(rows)
 
 
-@query("i29_support_resistance", "code:s ts:d close:f8 support:f6 resistance:f6", frame_sql(
+@query("i29_support_resistance", "code:s ts:d close:f8 support:f4 resistance:f4", frame_sql(
     "code, ts, close, list_max(list_filter([l20, lo, mid], lambda x: x < close * 1.05)) AS support, list_min(list_filter([h20, up], lambda x: x > close * 0.95)) AS resistance",
     [{"l20": over("min(low)", 20), "h20": over("max(high)", 20), **_BOLL[0]}, _BOLL[1]], where="WHERE l20 IS NOT NULL"))
 def support(spark, sf):
@@ -200,7 +202,7 @@ def _minute(spark, sf, minutes=120):
     return I.minute_frame(D.event_bars(spark, sf, minutes))
 
 
-@query("i11_vwap_day", "code:s ts:t vwap:f6", _minute_base(120, "ebars", "") + "\n---\nSELECT code, ts, vwap FROM b")
+@query("i11_vwap_day", "code:s ts:t vwap:f8", _minute_base(120, "ebars", "") + "\n---\nSELECT code, ts, vwap FROM b")
 def vwap_day(spark, sf):
     return D.event_bars(spark, sf, 120).withColumn("day", F.to_date("ts")).withColumn("vwap", I.vwap_day(c("day")))
 
@@ -250,6 +252,6 @@ ind("i39_multi_window_vol", " ".join(f"vol{n}:f6" for n in _WINS), lambda df: df
 
 @query("i40_series_trend", "code:s ts:d rel_slope:f6 volatility:f6 trend:s", frame_sql(
     "code, ts, rel_slope, volatility, CASE WHEN rel_slope > 0.01 THEN 'increasing' WHEN rel_slope < -0.01 THEN 'decreasing' ELSE 'stable' END AS trend",
-    [{"vr": "volume / pv - 1"}, {"rel_slope": f"{loose('regr_slope(volume, i)', 20)} / {loose('avg(volume)', 20)}", "volatility": f"coalesce({loose('stddev_pop(vr)', 19)}, 0)"}]))
+    [{"vr": "volume / pv - 1"}, {"rel_slope": f"CASE WHEN i >= 1 THEN {loose('regr_slope(volume, i)', 20)} / {loose('avg(volume)', 20)} END", "volatility": f"coalesce({loose('stddev_pop(vr)', 19)}, 0)"}]))
 def series_trend(spark, sf):
     return I.series_trend(D.brand_bars(spark, sf, "week"), "volume", 20)
