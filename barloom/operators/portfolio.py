@@ -126,7 +126,12 @@ def portfolio_returns(weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def with_nav(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """NAV along the calendar; one row per strategy and date by now."""
     w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return returns.withColumn("nav", F.exp(F.sum(F.log1p("net")).over(w)))
+    return returns.withColumn("nav", F.exp(F.sum(growth("net")).over(w)))
+
+
+def growth(ret: str) -> Column:
+    """Log growth of a return; a loss of everything or more leaves a NAV of practically 0."""
+    return F.log(F.greatest(1 + c(ret), F.lit(1e-12)))
 
 
 def performance(returns: DataFrame, by: Sequence[str] = ("strategy",), year: int = 252) -> DataFrame:
@@ -173,10 +178,11 @@ def ma_grid_states(panel: DataFrame, grid: Sequence[tuple[int, int]]) -> DataFra
     def sig(a, b):
         return F.when(c("_i") <= b, 0.0).otherwise(ladder((c(f"_m{a}") > c(f"_m{b}"), 1.0), (c(f"_m{a}") < c(f"_m{b}"), -1.0), default=0.0))
 
-    p = p.select("date", "code", "pdate", "_r", *[sig(a, b).alias(f"_s{k}") for k, (a, b) in enumerate(grid)])
-    pairs = F.array(*[F.struct(F.lit(k).alias("pid"), c(f"_s{k}").alias("sig"),
-                               F.coalesce(S.lag(f"_s{k}"), F.lit(0.0)).alias("psig")) for k in range(len(grid))])
-    rows = p.select("date", "pdate", "_r", pairs.alias("_p")).select("date", "pdate", "_r", F.inline("_p"))
+    p = p.select("date", "code", "pdate", "_r", F.array(*[sig(a, b) for a, b in grid]).alias("sig"))
+    flat = F.array_repeat(F.lit(0.0), len(grid))
+    p = p.select("date", "pdate", "_r", F.arrays_zip("sig", F.coalesce(S.lag("sig"), flat).alias("psig")).alias("_p"))
+    rows = p.select("date", "pdate", "_r", F.posexplode("_p").alias("pid", "_q")).select(
+        "pid", "date", "pdate", "_r", "_q.sig", "_q.psig")
     return rows.groupBy("pid", "date", "pdate", "sig", "psig").agg(F.count(F.lit(1)).alias("n"), F.sum("_r").alias("sum_r"))
 
 
@@ -224,8 +230,8 @@ def walk_forward(returns: DataFrame, train: int = 120, test: int = 20) -> DataFr
     te = r.withColumn("win", F.floor((c("_i") - train) / test)).where(
         (c("_i") >= train) & (c("win") < n_win) & (c("_i") > train + c("win") * test))
     out = te.join(F.broadcast(best), ["win", "pid"]).groupBy("win", "pid", "train_sharpe").agg(
-        (F.exp(F.sum(F.log1p("net"))) - 1).alias("test_return"))
-    return out.withColumn("oos_equity", F.exp(F.sum(F.log1p("test_return")).over(
+        (F.exp(F.sum(growth("net"))) - 1).alias("test_return"))
+    return out.withColumn("oos_equity", F.exp(F.sum(growth("test_return")).over(
         Window.orderBy("win").rowsBetween(Window.unboundedPreceding, 0))))
 
 

@@ -135,7 +135,7 @@ _RATE = repr(P.COMMISSION + P.TRANSFER_FEE + P.SLIPPAGE)
 _PR = _WT + f""",
 pr0 AS (SELECT date, weight, coalesce(lag(weight) OVER w, 0) AS pw, coalesce(close / lag(close) OVER w - 1, 0) AS r FROM wt {W}),
 pr AS (SELECT date, sum(pw * r) AS gross, sum(abs(weight - pw) * {_RATE} + greatest(pw - weight, 0) * 0.0005) AS cost FROM pr0 GROUP BY 1),
-nv AS (SELECT *, gross - cost AS net, exp(sum(ln(1 + gross - cost)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS nav FROM pr)"""
+nv AS (SELECT *, gross - cost AS net, exp(sum(ln(greatest(1 + gross - cost, 1e-12))) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS nav FROM pr)"""
 
 
 @query("p10_panel_backtest", "date:d gross:f8 cost:f8 net:f8 nav:f6", _PR + "\n---\nSELECT * FROM nv")
@@ -145,7 +145,7 @@ def backtest(spark, sf):
 
 def perf_sql(src: str, key: str, name: str = "pf") -> str:
     return f"""
-{name}0 AS (SELECT {key}, date, net, exp(sum(ln(1 + net)) OVER (PARTITION BY {key} ORDER BY date ROWS UNBOUNDED PRECEDING)) AS nav,
+{name}0 AS (SELECT {key}, date, net, exp(sum(ln(greatest(1 + net, 1e-12))) OVER (PARTITION BY {key} ORDER BY date ROWS UNBOUNDED PRECEDING)) AS nav,
   row_number() OVER (PARTITION BY {key} ORDER BY date) AS i FROM {src}),
 {name}1 AS (SELECT *, nav / greatest(1, max(nav) OVER (PARTITION BY {key} ORDER BY date ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM {name}0),
 {name} AS (SELECT {key}, (arg_max(nav, date) - 1) * 100 AS total_return_pct, (pow(arg_max(nav, date), 252e0 / greatest(count(*) - 1, 1)) - 1) * 100 AS annual_return_pct,
@@ -205,8 +205,8 @@ dx AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DIST
 wn AS (SELECT unnest(range((SELECT (max(i) + 1 - 120) // 20 FROM dx))) AS win),
 tr AS (SELECT win, pid, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252e0) AS train_sharpe FROM br JOIN dx USING (date) JOIN wn ON i > win * 20 AND i < win * 20 + 120 GROUP BY 1, 2),
 bs AS (SELECT win, pid, coalesce(train_sharpe, 0) AS train_sharpe FROM tr QUALIFY row_number() OVER (PARTITION BY win ORDER BY round(coalesce(train_sharpe, 0), 9) DESC, pid) = 1),
-te AS (SELECT win, pid, train_sharpe, exp(sum(ln(1 + net))) - 1 AS test_return FROM bs JOIN br USING (pid) JOIN dx USING (date) WHERE i > 120 + win * 20 AND i < 140 + win * 20 GROUP BY 1, 2, 3),
-wf AS (SELECT *, exp(sum(ln(1 + test_return)) OVER (ORDER BY win ROWS UNBOUNDED PRECEDING)) AS oos_equity FROM te)"""
+te AS (SELECT win, pid, train_sharpe, exp(sum(ln(greatest(1 + net, 1e-12)))) - 1 AS test_return FROM bs JOIN br USING (pid) JOIN dx USING (date) WHERE i > 120 + win * 20 AND i < 140 + win * 20 GROUP BY 1, 2, 3),
+wf AS (SELECT *, exp(sum(ln(greatest(1 + test_return, 1e-12))) OVER (ORDER BY win ROWS UNBOUNDED PRECEDING)) AS oos_equity FROM te)"""
 
 
 def _walk(spark, sf):
