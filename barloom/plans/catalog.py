@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from barloom.plans import bars, derivatives, factors, fundamentals, indicators, portfolio, signals  # noqa: F401
+from barloom.plans import bars, derivatives, factors, fundamentals, indicators, linkage, portfolio, signals, text  # noqa: F401
