@@ -53,7 +53,7 @@ def coupon_schedule(bonds: DataFrame) -> DataFrame:
     part = lambda g: F.regexp_extract_all("rate_clause", F.lit(COUPON_PATTERN), F.lit(g))
     seg = F.arrays_zip(part(1).alias("s"), part(2).alias("e"), part(3).alias("r"))
     d = bonds.select("code", F.explode(seg).alias("x"))
-    return d.select("code", F.to_date("x.s", "yyyyMMdd").alias("start"), F.to_date("x.e", "yyyyMMdd").alias("end"), c("x.r").cast("double").alias("rate"))
+    return d.select("code", F.to_date("x.s", "yyyyMMdd").alias("seg_start"), F.to_date("x.e", "yyyyMMdd").alias("seg_end"), c("x.r").cast("double").alias("rate"))
 
 
 def yield_to_maturity(bonds: DataFrame, asof: Column, par: float = 100.0) -> DataFrame:
