@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from barloom.plans import bars, bonds_funds, derivatives, factors, fundamentals, indicators, linkage, portfolio, screens, signals, text  # noqa: F401
+from barloom.plans import bars, bonds_funds, derivatives, factors, fundamentals, indicators, linkage, portfolio, screens, signals, structures, text  # noqa: F401
