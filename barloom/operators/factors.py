@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.ranking import average_rank, quantiles, with_zscore
 from barloom.functions.windows import Series, clamp, ladder, ratio
+from barloom.session import cut
 
 # Sub-indicator weights of the six factors.
 SUB_WEIGHTS = {
@@ -150,11 +151,12 @@ def factor_scores(panel: DataFrame, weights: Mapping[str, Mapping[str, float]],
     All indicators are scored in one pass keyed by (date, indicator). A code lacking any
     sub-indicator of a factor gets the neutral 50.
     """
-    p = panel
+    p = cut(panel)          # read several times below; the trades behind it only once
     if winsor:
         p = winsorize(p, by=("date", "indicator"))
     if industry:
-        p = neutralize(p, by=("date", "indicator", "industry"))
+        p = neutralize(cut(p), by=("date", "indicator", "industry"))
+    p = cut(p)
     p = percentile_score(p, by=("date", "indicator"))
     table = p.sparkSession.createDataFrame(
         score_table(weights, present), "factor string, indicator string, w double, subs int")
@@ -192,9 +194,11 @@ def top_n(scores: DataFrame, n: int = 20, by: Sequence[str] = ("date",), score:
 def ic_series(pairs: DataFrame, factor: str = "factor", ret: str = "ret", by: Sequence[str] = ("date",),
               min_codes: int = 5) -> DataFrame:
     """(by..., ic, n): Spearman per date; null under ``min_codes`` codes or for a constant side."""
-    both = pairs.where(F.col(factor).isNotNull() & F.col(ret).isNotNull())
-    r = average_rank(both, by, factor, "_rf")
-    r = average_rank(r, by, ret, "_rr")
+    both = cut(pairs.where(F.col(factor).isNotNull() & F.col(ret).isNotNull()))
+    code = "code"           # each side is ranked on the narrow stored table, then the ranks meet
+    rf = average_rank(both.select(*by, code, factor), by, factor, "_rf").select(*by, code, "_rf")
+    rr = average_rank(both.select(*by, code, ret), by, ret, "_rr").select(*by, code, "_rr")
+    r = rf.join(rr, [*by, code])
     m = r.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.covar_pop("_rf", "_rr").alias("_cov"),
         F.stddev_pop("_rf").alias("_sf"), F.stddev_pop("_rr").alias("_sr"))
@@ -231,7 +235,7 @@ def quantile_returns(pairs: DataFrame, n_groups: int = 5, factor: str = "factor"
     integer bounds int(T*g/N)+1 .. int(T*(g+1)/N), where a fractional rank may fall in none. Dates
     with fewer codes than groups give no rows.
     """
-    both = pairs.where(F.col(factor).isNotNull() & F.col(ret).isNotNull())
+    both = cut(pairs.where(F.col(factor).isNotNull() & F.col(ret).isNotNull()))
     r = average_rank(both, ("date",), factor, "_rk", "_n").where(F.col("_n") >= n_groups)
     if compat:
         grp = F.lit(None).cast("int")
@@ -395,7 +399,7 @@ def crowding(returns: DataFrame, window: int = 60) -> DataFrame:
 
 def valuation_spread(panel: DataFrame, value: str = "pe") -> DataFrame:
     """Per date: median of the dearest quartile over the median of the cheapest quartile."""
-    r = average_rank(panel, ("date",), value, "_rk", "_n").where(F.col(value).isNotNull())
+    r = average_rank(cut(panel.select("date", value)), ("date",), value, "_rk", "_n").where(F.col(value).isNotNull())
     r = r.withColumn("_q", F.least(F.ceil(F.col("_rk") * 4 / F.col("_n")), F.lit(4)))
     med = quantiles(r.where(F.col("_q").isin(1, 4)), ("date", "_q"), value, {"med": 0.5})
     return med.groupBy("date").agg(

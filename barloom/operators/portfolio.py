@@ -187,14 +187,18 @@ def ma_grid_states(panel: DataFrame, grid: Sequence[tuple[int, int]]) -> DataFra
 
 
 def returns_from_states(states: DataFrame) -> DataFrame:
-    """Portfolio return per (pid, date) from signal-transition counts (one small table)."""
-    act = states.where(c("sig") != 0).groupBy("pid", "date").agg(F.sum("n").alias("na"))
-    prev = act.select("pid", c("date").alias("pdate"), c("na").alias("np"))
-    s = states.join(F.broadcast(act), ["pid", "date"], "left").join(F.broadcast(prev), ["pid", "pdate"], "left")
-    w, pw = F.coalesce(c("sig") / c("na"), F.lit(0.0)), F.coalesce(c("psig") / c("np"), F.lit(0.0))
+    """Portfolio return per (pid, date) from signal-transition counts, in one pass.
+
+    The active count of a row's previous date is met by sending each row to both of its dates.
+    """
+    active = F.when(c("sig") != 0, c("n"))
+    s = states.withColumn("na", F.sum(active).over(Window.partitionBy("pid", "date")))
+    both = s.select("*", F.inline(F.array(F.struct(c("date").alias("_key"), F.lit(False).alias("_row")), F.struct(c("pdate").alias("_key"), F.lit(True).alias("_row")))))
+    both = both.withColumn("np", F.sum(F.when(~c("_row"), active)).over(Window.partitionBy("pid", "_key"))).where("_row")
+    w, pw = F.coalesce(c("sig") / c("na"), F.lit(0.0)), F.coalesce(F.when(c("pdate").isNotNull(), c("psig") / c("np")), F.lit(0.0))
     move = w - pw
     cost = c("n") * (F.abs(move) * (COMMISSION + TRANSFER_FEE + SLIPPAGE) + F.greatest(-move, F.lit(0.0)) * STAMP_DUTY)
-    return s.groupBy("pid", "date").agg(F.sum(pw * c("sum_r")).alias("gross"), F.sum(cost).alias("cost")).withColumn(
+    return both.groupBy("pid", "date").agg(F.sum(pw * c("sum_r")).alias("gross"), F.sum(cost).alias("cost")).withColumn(
         "net", c("gross") - c("cost"))
 
 
@@ -215,22 +219,24 @@ def walk_forward(returns: DataFrame, train: int = 120, test: int = 20) -> DataFr
     windows of a date follow from its index by arithmetic; no range join is needed. As each slice
     starts flat, its first date earns nothing.
     """
-    days = returns.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")) - 1)
-    last = days.agg(F.max("_i").alias("_max"))
-    r = returns.join(F.broadcast(days.crossJoin(F.broadcast(last))), "date")
+    by_date = Window.orderBy("date")            # parameters x dates, far below a task's share
+    r = returns.select("pid", "date", "net", (F.dense_rank().over(by_date) - 1).alias("_i"))
+    r = r.withColumn("_max", F.max("_i").over(Window.partitionBy()))
     n_win = F.floor((c("_max") + 1 - train) / test)
     lo = F.greatest(F.ceil((c("_i") - (train - 1)) / test), F.lit(0))
     hi = F.least(F.floor(c("_i") / test), n_win - 1)
-    tr = r.where(lo <= hi).select("pid", "net", "_i", F.explode(F.sequence(lo, hi)).alias("win"))
-    tr = tr.where(c("_i") > c("win") * test).groupBy("win", "pid").agg(
-        F.avg("net").alias("_m"), F.stddev_samp("net").alias("_s"))
+    mine = F.floor((c("_i") - train) / test)
+    roles = F.concat(
+        F.when(lo <= hi, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda k: F.struct(k.alias("win"), F.lit(True).alias("fit")))).otherwise(F.array()),
+        F.when((c("_i") >= train) & (mine < n_win), F.array(F.struct(mine.alias("win"), F.lit(False).alias("fit")))).otherwise(F.array()))
+    e = r.select("pid", "net", "_i", F.inline(roles))
+    start = c("win") * test + F.when(c("fit"), 0).otherwise(train)
+    g = e.where(c("_i") > start).groupBy("win", "pid").agg(
+        F.avg(F.when(c("fit"), c("net"))).alias("_m"), F.stddev_samp(F.when(c("fit"), c("net"))).alias("_s"),
+        (F.exp(F.sum(F.when(~c("fit"), growth("net")))) - 1).alias("test_return"))
     sharpe = F.when(c("_s") > 0, c("_m") / c("_s") * (252 ** 0.5)).otherwise(0.0)
     w = Window.partitionBy("win").orderBy(F.desc(F.round("train_sharpe", 9)), "pid")
-    best = tr.select("win", "pid", sharpe.alias("train_sharpe")).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    te = r.withColumn("win", F.floor((c("_i") - train) / test)).where(
-        (c("_i") >= train) & (c("win") < n_win) & (c("_i") > train + c("win") * test))
-    out = te.join(F.broadcast(best), ["win", "pid"]).groupBy("win", "pid", "train_sharpe").agg(
-        (F.exp(F.sum(growth("net"))) - 1).alias("test_return"))
+    out = g.select("win", "pid", sharpe.alias("train_sharpe"), "test_return").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     return out.withColumn("oos_equity", F.exp(F.sum(growth("test_return")).over(
         Window.orderBy("win").rowsBetween(Window.unboundedPreceding, 0))))
 

@@ -255,7 +255,7 @@ def seg_direction():
 @on_stroke("cxt_seg_zs", 3)
 def seg_zs():
     w = F.least(H(), H(1), H(2)) - F.greatest(L(), L(1), L(2))
-    return pick((w > 0, "有中枢"), default="无中枢"), F.when(w > 0, F.concat(F.lit("宽度"), F.format_string("%.2f", w)))
+    return pick((w > 0, "有中枢"), default="无中枢"), F.when(w > 0, F.concat(F.lit("宽度"), F.format_string("%.2f", F.floor(w * 100 + 0.5) / 100)))
 
 
 # ---- bars ----------------------------------------------------------------------------------------

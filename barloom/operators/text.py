@@ -17,27 +17,32 @@ def _count(text: Column, word: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)
 
 
-def lexicon_score(text: Column, words: Mapping[str, float], negations: Sequence[str] = (),
-                  intensifiers: Mapping[str, float] | None = None) -> tuple[Column, Column]:
-    """(score clamped to +-1, matches). Weights are signed.
+def lexicon_score(docs: DataFrame, words: Mapping[str, float], negations: Sequence[str] = (),
+                  intensifiers: Mapping[str, float] | None = None, text: str = "text") -> DataFrame:
+    """Replace the text by (hits, score clamped to +-1). Weights are signed.
 
     A word adds weight x count. If the two characters before its first place hold a negation the sign
     turns and the size drops to 0.7; otherwise the first intensifier found up to ten characters after
-    that place multiplies it. Counting works by replacement: one pass per word, all in the JVM.
+    that place multiplies it. Counting works by replacement: one pass per word, all in the JVM, and a
+    first projection keeps each count and place so that no text is scanned twice.
     """
+    t, keep = c(text), [x for x in docs.columns if x != text]
+    d = docs.select(*keep, t.alias("_t"), *[x for i, w in enumerate(words) for x in (_count(t, w).alias(f"_n{i}"), F.instr(t, w).alias(f"_a{i}"))])
     total, hits = F.lit(0.0), F.lit(0.0)
-    for w, weight in words.items():
-        n, at = _count(text, w), F.instr(text, w)
-        before = F.substring(text, F.greatest(at - 2, F.lit(1)), F.least(at - 1, F.lit(2)))
+    for i, weight in enumerate(words.values()):
+        n, at = c(f"_n{i}"), c(f"_a{i}")
+        before = F.substring("_t", F.greatest(at - 2, F.lit(1)), F.least(at - 1, F.lit(2)))
         negated = F.lit(False)
         for x in negations:
             negated = negated | before.contains(x)
-        head = F.substring(text, F.lit(1), at + 9)
-        strong = ladder(*[(head.contains(x), k) for x, k in (intensifiers or {}).items()], default=1.0) if intensifiers else F.lit(1.0)
+        strong = F.lit(1.0)
+        if intensifiers:
+            # the first ``at + 9`` characters hold x exactly when its first place ends inside them
+            strong = ladder(*[(F.instr("_t", x).between(F.lit(1), at + 9 - len(x) + 1), k) for x, k in intensifiers.items()], default=1.0)
         effect = F.when((at > 1) & negated, F.lit(-0.7)).otherwise(strong)
         total = total + F.when(at > 0, n * weight * effect).otherwise(0.0)
         hits = hits + n
-    return clamp(F.coalesce(ratio(total, hits), F.lit(0.0)), -1.0, 1.0), hits
+    return d.select(*keep, hits.alias("hits"), clamp(F.coalesce(ratio(total, hits), F.lit(0.0)), -1.0, 1.0).alias("score"))
 
 
 def sentiment_label(score: Column) -> Column:

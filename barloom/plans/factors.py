@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from barloom.operators import factors as Fx
 from barloom.plans import bindings as D
 from barloom.plans.registry import query
+from barloom.session import cut
 
 S = Fx.S
 W = "WINDOW w AS (PARTITION BY code ORDER BY date)"
@@ -138,18 +139,18 @@ scores AS (SELECT l.date, l.code, factor, CASE WHEN count(p.score) = max(subs) T
 
 @query("f09_winsorize", "date:d code:i indicator:s value:f6", WINSOR + "\n---\nSELECT * FROM wins WHERE value IS NOT NULL")
 def winsorize(spark, sf):
-    return Fx.winsorize(_long(spark, sf), by=("date", "indicator")).where("value is not null")
+    return Fx.winsorize(cut(_long(spark, sf)), by=("date", "indicator")).where("value is not null")
 
 
 @query("f10_industry_neutral", "date:d code:i indicator:s value:f6", NEUTRAL + "\n---\nSELECT * FROM neu")
 def neutral(spark, sf):
-    w = Fx.winsorize(_industry(spark, sf), by=("date", "indicator"))
-    return Fx.neutralize(w, by=("date", "indicator", "industry"))
+    w = Fx.winsorize(cut(_industry(spark, sf)), by=("date", "indicator"))
+    return Fx.neutralize(cut(w), by=("date", "indicator", "industry"))
 
 
 @query("f11_percentile_score", "date:d code:i indicator:s score:f6", LONG + "," + _pct("long") + "\n---\nSELECT * FROM pct")
 def pct_score(spark, sf):
-    return Fx.percentile_score(_long(spark, sf), by=("date", "indicator")).where("score is not null")
+    return Fx.percentile_score(cut(_long(spark, sf)), by=("date", "indicator")).where("score is not null")
 
 
 @query("f12_factor_score", "date:d code:i score:f6", SCORES + "\n---\nSELECT * FROM scores WHERE factor = 'value'")
@@ -170,7 +171,7 @@ _MULTI = SCORES + ", multi AS (SELECT date, code, avg(score) AS score FROM score
 SELECT date, code, avg(score) AS score, sum(score * CASE factor WHEN 'value' THEN 3e0 WHEN 'momentum' THEN 2e0 WHEN 'quality' THEN 1e0 ELSE 0e0 END) / 6
   AS weighted FROM scores GROUP BY 1, 2""")
 def multi_score(spark, sf):
-    s = six_scores(spark, sf)
+    s = cut(six_scores(spark, sf))
     a = Fx.multifactor(s)
     b = Fx.multifactor(s, {"value": 3, "momentum": 2, "quality": 1}).withColumnRenamed("score", "weighted")
     return a.join(b, ["date", "code"])

@@ -10,6 +10,7 @@ from barloom.operators.signals import cxt
 from barloom.plans import bindings as D
 from barloom.plans.frames import BASE, MACD, WIN, over, staged
 from barloom.plans.registry import query
+from barloom.session import cut
 
 c = F.col
 LC = "lead({}) OVER w"
@@ -54,7 +55,8 @@ sf AS (SELECT k.*, row_number() OVER (PARTITION BY k.code ORDER BY k.seq) AS k,
 
 # ---- Spark bindings ------------------------------------------------------------------------------
 def bars(spark, sf):
-    return D.brand_bars(spark, sf, "week")
+    """Structures read their bars several times, so the bars are stored first and the trades read once."""
+    return cut(D.brand_bars(spark, sf, "week"))
 
 
 def fx(spark, sf):
@@ -63,7 +65,7 @@ def fx(spark, sf):
 
 def strokes(spark, sf):
     b = bars(spark, sf)
-    return X.strokes(X.reduce_fractals(X.fractals(b)), b)
+    return cut(X.strokes(X.reduce_fractals(X.fractals(b)), b))
 
 
 def zones(spark, sf):
@@ -390,13 +392,22 @@ def _gaps_ok(n):
     return " AND ".join(f"date_diff('day', {'ts' if k == 0 else f't{k}'}, t{k + 1}) >= 5" for k in range(n))
 
 
-@query("c32_elliott_impulse", "code:s seq:i ts:d signal:i w1:f6 w2:f6 w3:f6 w4:f6 w5:f6", SW + f""",
+# twelve-bar means: the invented weekly prices jump too much for five orderly waves
+SWM = SW.replace("FROM b WINDOW v AS", f"FROM (SELECT code, ts, avg(close) OVER (w ROWS 11 PRECEDING) AS high, avg(close) OVER (w ROWS 11 PRECEDING) AS low FROM b {WIN}) WINDOW v AS")
+
+
+def _smooth_swings(spark, sf):
+    m = I.sma("close", 12)
+    return X.swings(bars(spark, sf).select("code", "ts", m.alias("high"), m.alias("low")), 2)
+
+
+@query("c32_elliott_impulse", "code:s seq:i ts:d signal:i w1:f6 w2:f6 w3:f6 w4:f6 w5:f6", SWM + f""",
 el AS (SELECT code, seq, t5 AS ts, kind AS signal, -kind * (p1 - price) AS w1, kind * (p2 - p1) AS w2, -kind * (p3 - p2) AS w3, kind * (p4 - p3) AS w4, -kind * (p5 - p4) AS w5, -kind * (p2 - price) AS c1, -kind * (p4 - p1) AS c2 FROM sl WHERE p5 IS NOT NULL AND {_gaps_ok(5)})
 ---
 SELECT * FROM el WHERE w1 > 0 AND w3 > 0 AND w5 > 0 AND c1 > 0 AND c2 > 0 AND NOT (w3 < w1 AND w3 < w5) AND w2 / w1 BETWEEN -1.5 AND 2.618 AND w3 / w1 BETWEEN -1 AND 4.618 AND w4 / w3 BETWEEN -1.764 AND 2.5""")
 def impulse(spark, sf):
     """Invented prices rarely obey the usual tolerance of 0.15, so a wide one is used here."""
-    return X.elliott_impulse(_swings(spark, sf), tol=2.0)
+    return X.elliott_impulse(_smooth_swings(spark, sf), tol=2.0)
 
 
 @query("c33_elliott_abc", "code:s seq:i ts:d signal:i wave_a:f6 wave_b:f6 wave_c:f6", SW + f""",
@@ -635,7 +646,7 @@ _as_segments = lambda spark, sf, d: d.withColumn("n_strokes", c("n_bars"))  # no
 stroke_query(149, "cxt_seg_status", 1, case(("dir = 1", "向上"), default="向下"), case(("n_strokes >= 5", "延伸"), default="转折"), base=SEGS, src="sg", extra=_as_segments)
 stroke_query(150, "cxt_seg_direction", 3, case((f"{h()} > {h(1)} AND {h(1)} > {h(2)}", "上涨"), (f"{h()} < {h(1)} AND {h(1)} < {h(2)}", "下跌"), default="震荡"))
 _w = f"(least({h()}, {h(1)}, {h(2)}) - greatest({l()}, {l(1)}, {l(2)}))"
-stroke_query(156, "cxt_seg_zs", 3, case((f"{_w} > 0", "有中枢"), default="无中枢"), f"CASE WHEN {_w} > 0 THEN '宽度' || format('{{:.2f}}', {_w}) END")
+stroke_query(156, "cxt_seg_zs", 3, case((f"{_w} > 0", "有中枢"), default="无中枢"), f"CASE WHEN {_w} > 0 THEN '宽度' || format('{{:.2f}}', floor({_w} * 100 + 0.5) / 100) END")
 
 BF = ZH + f""",
 bf AS (SELECT b.code, b.ts, b.close, b.i, s.k AS s_k, s.dir AS s_dir, b.i + 1 - s.end_i AS ubi FROM b ASOF LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY code ORDER BY seq) AS k FROM sk) s ON s.code = b.code AND b.ts >= s.end_ts),
@@ -648,9 +659,9 @@ def bar_query(num, name, v1, v2=None):
 
     @query(f"g{num:03d}_{name}", f"code:s ts:d {name}:s" + (f" {name}_v2:s" if v2 else ""), f"{BF}\n---\nSELECT code, ts, {cols} FROM bh")
     def run(spark, sf):
-        b = I.base_columns(bars(spark, sf))
-        f = X.fractals(bars(spark, sf))
-        s = strokes(spark, sf)
+        raw = bars(spark, sf)
+        b, f = I.base_columns(raw), X.fractals(raw)
+        s = cut(X.strokes(X.reduce_fractals(f), raw))
         return cxt.bar_signals(cxt.bar_frame(b, s, f, X.zone_history(X.zones(s))), [name])
 
 
@@ -711,9 +722,10 @@ SELECT bh.code, bh.ts, coalesce(CASE WHEN s_k >= 1 THEN CASE WHEN s_dir = -1 THE
   coalesce(CASE WHEN z_low IS NOT NULL THEN CASE WHEN close > z_high THEN '向上突破' WHEN close < z_low THEN '向下突破' ELSE '中枢内' END END, '其他') AS breakout, CASE WHEN vr >= 2 THEN '放量突破' ELSE '未突破' END AS power FROM bh JOIN vb ON vb.code = bh.code AND vb.ts = bh.ts""")
 def state_signals(spark, sf):
     """Stroke, zone and volume states side by side for every bar."""
-    b = I.base_columns(bars(spark, sf))
-    s = strokes(spark, sf)
-    d = cxt.bar_signals(cxt.bar_frame(b, s, X.fractals(bars(spark, sf)), X.zone_history(X.zones(s))), ["cxt_bi_status", "cxt_zs_breakout"])
+    raw = bars(spark, sf)
+    b = I.base_columns(raw)
+    s = cut(X.strokes(X.reduce_fractals(X.fractals(raw)), raw))
+    d = cxt.bar_signals(cxt.bar_frame(b, s, X.fractals(raw), X.zone_history(X.zones(s))), ["cxt_bi_status", "cxt_zs_breakout"])
     v = b.select("code", "ts", F.when(c("volume") / I.S.agg(F.avg, "volume", 20, skip=1, min_periods=1) >= 2, "放量突破").otherwise("未突破").alias("power"))
     return d.join(v, ["code", "ts"]).select("code", "ts", F.concat("cxt_bi_status", "cxt_bi_status_v2").alias("bi"), c("cxt_zs_breakout").alias("breakout"), "power")
 

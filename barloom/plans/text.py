@@ -36,9 +36,9 @@ sc AS (SELECT doc_id, lang, source, hits, DATE '2024-01-01' + CAST(doc_id % 30 A
 
 
 def scored(spark, sf):
-    d = D.table(spark, sf, "documents")
-    s, h = T.lexicon_score(c("text"), LEXICON, NEGATIONS, INTENSIFIERS)
-    return d.select("doc_id", "lang", "source", h.alias("hits"), F.date_add(F.lit("2024-01-01").cast("date"), (c("doc_id") % 30).cast("int")).alias("day"), s.alias("score"))
+    d = D.table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return T.lexicon_score(d, LEXICON, NEGATIONS, INTENSIFIERS).withColumn(
+        "day", F.date_add(F.lit("2024-01-01").cast("date"), (c("doc_id") % 30).cast("int")))
 
 
 @query("t01_lexicon_score", "doc_id:i hits:f0 score:f6", DOCS + "\n---\nSELECT * FROM sc")
