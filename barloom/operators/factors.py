@@ -119,10 +119,14 @@ def winsorize(panel: DataFrame, value: str = "value", by: Sequence[str] = ("date
 
 
 def neutralize(panel: DataFrame, value: str = "value", by: Sequence[str] = ("date", "industry")) -> DataFrame:
-    """z-score inside date x industry; null for unknown industry or zero spread."""
+    """z-score inside date x industry; null for unknown industry or zero spread.
+
+    Rounded to 9 digits: small industries give equal scores that differ only in their last bits, and
+    the next step ranks them.
+    """
     known = F.col("industry").isNotNull()
     z = with_zscore(panel.withColumn("_x", F.when(known, F.col(value))), by, "_x", "_z")
-    return z.withColumn(value, F.col("_z")).drop("_x", "_z")
+    return z.withColumn(value, F.round("_z", 9)).drop("_x", "_z")
 
 
 def percentile_score(panel: DataFrame, value: str = "value", by: Sequence[str] = ("date",),

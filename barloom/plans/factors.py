@@ -117,7 +117,7 @@ wins AS (SELECT date, code, indicator,
   CASE WHEN value IS NOT NULL THEN least(greatest(value, lo), hi) END AS value FROM long JOIN q USING (date, indicator))"""
 NEUTRAL = WINSOR + """,
 neu AS (SELECT wins.date, wins.code, indicator, CASE WHEN stddev_samp(value) OVER g > 0
-    THEN (value - avg(value) OVER g) / stddev_samp(value) OVER g END AS value
+    THEN round((value - avg(value) OVER g) / stddev_samp(value) OVER g, 9) END AS value
   FROM wins LEFT JOIN (SELECT s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) s ON s_suppkey = wins.code
   WINDOW g AS (PARTITION BY date, indicator, n_regionkey))"""
 
