@@ -162,7 +162,7 @@ def flow_snapshot(spark, sf):
     return B.flow_snapshot(m)
 
 
-@query("b10_weekly_rollup", "week:d iso_week:i first_close:f6 last_close:f6 mean_amount:f2 sum_amount:f2 "
+@query("b10_weekly_rollup", "week:d iso_week:i first_close:f8 last_close:f8 mean_amount:f5 sum_amount:f2 "
        "max_amount:f2 days:i week_pct:f6", """
 d AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS ts, sum(l_extendedprice) AS amount,
   sum(l_extendedprice) / sum(l_quantity) AS close FROM lineitem GROUP BY 1, 2),

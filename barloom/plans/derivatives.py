@@ -153,7 +153,7 @@ def risk_reversal(spark, sf):
 
 @query("d10_bucketed_option_metrics", "symbol:s bucket:d pcr_vol_mean:f6 weighted_iv_mean:f6 pcr_vol_last:f6 weighted_iv_last:f6 days:i", OPT + "," + PCR + "," + IVM + """
 ---
-SELECT symbol, CAST(date_trunc('quarter', date) AS DATE) AS bucket, avg(pcr_vol) AS pcr_vol_mean, avg(weighted_iv) AS weighted_iv_mean, arg_max(pcr_vol, date) AS pcr_vol_last, arg_max(weighted_iv, date) AS weighted_iv_last, count(*) AS days
+SELECT symbol, CAST(date_trunc('quarter', date) AS DATE) AS bucket, avg(pcr_vol) AS pcr_vol_mean, avg(weighted_iv) AS weighted_iv_mean, arg_max_null(pcr_vol, date) AS pcr_vol_last, arg_max_null(weighted_iv, date) AS weighted_iv_last, count(*) AS days
 FROM pcr JOIN im USING (symbol, date) GROUP BY 1, 2""")
 def bucketed(spark, sf):
     d = pcr(spark, sf).join(_ivm(spark, sf), ["symbol", "date"])
@@ -263,7 +263,7 @@ def extremes(spark, sf):
     return V.max_profit_loss(_payoff(spark, sf))
 
 
-@query("d17_profit_ranges", "strategy:s sg:f0 from_spot:f4 to_spot:f4 peak:f4", PAY + """,
+@query("d17_profit_ranges", "strategy:s sg:f0 from_spot:f6 to_spot:f6 peak:f6", PAY + """,
 pi AS (SELECT *, sign(pnl) AS sg, CASE WHEN sign(pnl) <> lag(sign(pnl)) OVER w THEN 1 ELSE 0 END AS nw FROM py WINDOW w AS (PARTITION BY strategy ORDER BY i)),
 pj AS (SELECT *, sum(nw) OVER (PARTITION BY strategy ORDER BY i) AS isl FROM pi)
 ---
@@ -295,7 +295,7 @@ def futures(spark, sf):
                                                    c("volume").alias("vol"), (c("trades") * 10.0).alias("oi"))
 
 
-@query("d19_futures_price_state", "symbol:s date:d ma5:f4 ma20:f4 high20:f8 low20:f8 amplitude10:f4 trend:s oi_trend:s vol_state:s", FUT + "," + FST + "\n---\nSELECT * FROM fst")
+@query("d19_futures_price_state", "symbol:s date:d ma5:f7 ma20:f7 high20:f8 low20:f8 amplitude10:f6 trend:s oi_trend:s vol_state:s", FUT + "," + FST + "\n---\nSELECT * FROM fst")
 def price_state(spark, sf):
     return V.price_state(futures(spark, sf))
 

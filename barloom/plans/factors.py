@@ -142,7 +142,7 @@ def winsorize(spark, sf):
     return Fx.winsorize(cut(_long(spark, sf)), by=("date", "indicator")).where("value is not null")
 
 
-@query("f10_industry_neutral", "date:d code:i indicator:s value:f6", NEUTRAL + "\n---\nSELECT * FROM neu")
+@query("f10_industry_neutral", "date:d code:i indicator:s value:f9", NEUTRAL + "\n---\nSELECT * FROM neu")
 def neutral(spark, sf):
     w = Fx.winsorize(cut(_industry(spark, sf)), by=("date", "indicator"))
     return Fx.neutralize(cut(w), by=("date", "indicator", "industry"))
@@ -416,7 +416,7 @@ def momentum_subs(spark, sf):
     return Fx.momentum_indicators(p)
 
 
-@query("f43_quality_subindicators", "code:i date:d roe:f6 stability:f6 leverage_neg:f6 cash_ratio:f6", FIN + """,
+@query("f43_quality_subindicators", "code:i date:d roe:f8 stability:f6 leverage_neg:f8 cash_ratio:f8", FIN + """,
 g AS (SELECT *, profit / lag(profit, 4) OVER (PARTITION BY code ORDER BY date) - 1 AS gr FROM fin)
 ---
 SELECT code, date, profit / (n * 5000) AS roe, CASE WHEN count(gr) OVER v >= 4 THEN 1 - stddev_samp(gr) OVER v END AS stability,

@@ -64,7 +64,7 @@ def latest_sql(src, n=1, cols="*"):
     return f"SELECT {cols} FROM {src} {L.format(n=n)}"
 
 
-@q("u01_statement_join", "code:i end_date:d revenue:f2 total_assets:f2 cfo:f2", ST + "\n---\n" + latest_sql("st", 4))
+@q("u01_statement_join", "code:i end_date:d revenue:f4 total_assets:f4 cfo:f4", ST + "\n---\n" + latest_sql("st", 4))
 def statement_join(spark, sf):
     s = statements(spark, sf)
     return U.join_statements(s.select("code", "end_date", "revenue"), s.select("code", "end_date", "total_assets"), s.select("code", "end_date", "cfo"))
@@ -434,7 +434,7 @@ def _est(spark, sf):
         F.avg(c("l_extendedprice") / c("l_quantity")).alias("eps"))
 
 
-@q("u27_revisions", "code:s date:d consensus:f4 erm:f6 change:f6", EST + """,
+@q("u27_revisions", "code:s date:d consensus:f8 erm:f6 change:f6", EST + """,
 rv AS (SELECT *, sign(eps - lag(eps) OVER (PARTITION BY code, analyst ORDER BY date)) AS s FROM es),
 dy AS (SELECT code, date, avg(eps) AS consensus, (count(*) FILTER (s > 0) - count(*) FILTER (s < 0)) * 1e0 / count(*) AS erm FROM rv GROUP BY 1, 2)
 ---
@@ -460,7 +460,7 @@ def guidance(spark, sf):
     return U.guidance_labels(statements(spark, sf).select("code", "end_date", c("revenue").alias("midpoint"), (c("total_cogs") * 1.55).alias("consensus")))
 
 
-@q("u30_consensus_rollup", "code:s quarter:d n:i brokers:i eps_avg:f4 eps_max:f8 eps_min:f8 high_target:f2 low_target:f2 buys:i", """
+@q("u30_consensus_rollup", "code:s quarter:d n:i brokers:i eps_avg:f8 eps_max:f8 eps_min:f8 high_target:f2 low_target:f2 buys:i", """
 rc AS (SELECT p_brand AS code, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quarter, l_suppkey AS org, l_extendedprice / l_quantity AS eps, l_extendedprice AS price, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey)
 ---
 SELECT code, quarter, count(*) AS n, count(DISTINCT org) AS brokers, avg(eps) AS eps_avg, max(eps) AS eps_max, min(eps) AS eps_min, max(price) AS high_target, min(price) AS low_target, count_if(l_returnflag = 'N') AS buys FROM rc GROUP BY 1, 2""")

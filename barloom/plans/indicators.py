@@ -96,7 +96,7 @@ ind("i22_vr", "vr:f6", col("vr", lambda: I.volume_ratio(26)), G.VR)
 ind("i23_keltner", "mid:f4 up:f4 lo:f4", lambda df: with_recursions(df.withColumn("a", I.atr(10, loose=False)), [("mid", "ema", "close", span(20))]).select(
     "*", (c("mid") + c("a") * 1.5).alias("up"), (c("mid") - c("a") * 1.5).alias("lo")),
     [{"mid": ema("close", sp(20)), "a": over("avg(tr)", 10)}, {"up": "mid + 1.5 * a", "lo": "mid - 1.5 * a"}])
-ind("i24_pivot_points", "p:f4 r1:f4 s1:f4 r2:f4 s2:f4", lambda df: df.select("*", *[v.alias(k) for k, v in I.pivot_points().items()]), G.PIV)
+ind("i24_pivot_points", "p:f6 r1:f6 s1:f6 r2:f6 s2:f6", lambda df: df.select("*", *[v.alias(k) for k, v in I.pivot_points().items()]), G.PIV)
 ind("i25_fibonacci", "f236:f4 f618:f4", lambda df: df.withColumn("fib", I.fibonacci(60)).select("*", c("fib")[1].alias("f236"), c("fib")[4].alias("f618")),
     [{"hi": over("max(high)", 60), "lo": over("min(low)", 60)}, {"f236": "hi - 0.236 * (hi - lo)", "f618": "hi - 0.618 * (hi - lo)"}])
 
@@ -168,7 +168,7 @@ def multi_period(spark, sf):
     return I.composite_levels(rows)
 
 
-@query("i29_support_resistance", "code:s ts:d close:f8 support:f4 resistance:f4", frame_sql(
+@query("i29_support_resistance", "code:s ts:d close:f8 support:f6 resistance:f6", frame_sql(
     "code, ts, close, list_max(list_filter([l20, lo, mid], lambda x: x < close * 1.05)) AS support, list_min(list_filter([h20, up], lambda x: x > close * 0.95)) AS resistance",
     [{"l20": over("min(low)", 20), "h20": over("max(high)", 20), **_BOLL[0]}, _BOLL[1]], where="WHERE l20 IS NOT NULL"))
 def support(spark, sf):
@@ -250,7 +250,7 @@ ind("i39_multi_window_vol", " ".join(f"vol{n}:f6" for n in _WINS), lambda df: df
     [*_LR, {f"vol{n}": f"{over('stddev_samp(lr)', n)} * sqrt(252e0)" for n in _WINS}])
 
 
-@query("i40_series_trend", "code:s ts:d rel_slope:f6 volatility:f6 trend:s", frame_sql(
+@query("i40_series_trend", "code:s ts:d rel_slope:f8 volatility:f8 trend:s", frame_sql(
     "code, ts, rel_slope, volatility, CASE WHEN rel_slope > 0.01 THEN 'increasing' WHEN rel_slope < -0.01 THEN 'decreasing' ELSE 'stable' END AS trend",
     [{"vr": "volume / pv - 1"}, {"rel_slope": f"CASE WHEN i >= 1 THEN {loose('regr_slope(volume, i)', 20)} / {loose('avg(volume)', 20)} END", "volatility": f"coalesce({loose('stddev_pop(vr)', 19)}, 0)"}]))
 def series_trend(spark, sf):
