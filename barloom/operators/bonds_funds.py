@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.ranking import quantiles
 from barloom.functions.solvers import bond_yield
 from barloom.functions.windows import Series, clamp, ladder, ratio
 
@@ -21,11 +22,15 @@ def conversion_values(bonds: DataFrame) -> DataFrame:
 
 
 def market_statistics(v: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Means, exact median and price-band counts; the median never gathers a group in one task."""
+    keys = list(by) or ["_all"]
+    d = v if by else v.withColumn("_all", F.lit(1))
     band = lambda x: F.sum(x.cast("int"))
     p = c("price")
-    return v.groupBy(*by).agg(
-        F.avg("price").alias("avg_price"), F.avg("premium").alias("avg_premium"), F.avg("double_low").alias("avg_double_low"), F.median("price").alias("median_price"),
+    g = d.groupBy(*keys).agg(
+        F.avg("price").alias("avg_price"), F.avg("premium").alias("avg_premium"), F.avg("double_low").alias("avg_double_low"),
         band(p < 100).alias("lt100"), band((p >= 100) & (p < 120)).alias("b100_120"), band((p >= 120) & (p < 150)).alias("b120_150"), band(p >= 150).alias("ge150"))
+    return g.join(quantiles(d, keys, "price", {"median_price": 0.5}), keys).drop("_all")
 
 
 def market_size(bonds: DataFrame, first: Column, last: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from barloom.operators import bonds_funds as E
 from barloom.plans import bindings as D
 from barloom.plans.registry import query
+from barloom.session import cut
 
 c = F.col
 ASOF = "DATE '2000-01-01'"
@@ -58,7 +59,7 @@ _STATS = """avg(price) AS avg_price, avg(premium) AS avg_premium, avg(double_low
 
 @query("e02_market_statistics", "brand:s avg_price:f4 avg_premium:f4 avg_double_low:f4 median_price:f4 lt100:i b100_120:i b120_150:i ge150:i", BONDS + f"\n---\nSELECT brand, {_STATS} FROM bv GROUP BY 1")
 def statistics(spark, sf):
-    return E.market_statistics(valued(spark, sf), ("brand",))
+    return E.market_statistics(cut(valued(spark, sf).select("brand", "price", "premium", "double_low")), ("brand",))
 
 
 @query("e02_double_low_top10", "code:i double_low:f6", BONDS + "\n---\nSELECT code, double_low FROM bv ORDER BY double_low, code LIMIT 10")
