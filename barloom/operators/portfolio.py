@@ -173,7 +173,9 @@ def ma_grid_states(panel: DataFrame, grid: Sequence[tuple[int, int]]) -> DataFra
     """
     lengths = sorted({x for pair in grid for x in pair})
     p = panel.select("date", "code", "close", S.idx().alias("_i"), S.lag("date").alias("pdate"),
-                     F.coalesce(S.pct("close"), F.lit(0.0)).alias("_r"), *[S.mean("close", n).alias(f"_m{n}") for n in lengths])
+                     F.coalesce(S.pct("close"), F.lit(0.0)).alias("_r"),
+                     # rows up to the longer window are forced to 0 below, so no count gate is needed here
+                     *[F.avg("close").over(S.trail(n)).alias(f"_m{n}") for n in lengths])
 
     def sig(a, b):
         return F.when(c("_i") <= b, 0.0).otherwise(ladder((c(f"_m{a}") > c(f"_m{b}"), 1.0), (c(f"_m{a}") < c(f"_m{b}"), -1.0), default=0.0))

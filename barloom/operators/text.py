@@ -13,8 +13,9 @@ c = F.col
 
 
 def _count(text: Column, word: str) -> Column:
-    """Non-overlapping occurrences of a literal word."""
-    return (F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)
+    """Non-overlapping occurrences of a literal word. Byte lengths are stored with the text, so only the
+    replacement itself reads it."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))) / len(word.encode())
 
 
 def lexicon_score(docs: DataFrame, words: Mapping[str, float], negations: Sequence[str] = (),
