@@ -95,3 +95,9 @@ def with_zscore(df: DataFrame, by: Sequence[str], value: str, out: str, fill: fl
     if fill is not None:
         z = F.coalesce(z, F.lit(fill))
     return df.join(F.broadcast(m), list(by), "left").withColumn(out, z).drop("_mean", "_sd")
+
+
+def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Append the columns of a one-row table of market-wide totals (its size is one row: broadcast)."""
+    one = F.lit(1).alias("_one")
+    return df.select("*", one).join(F.broadcast(totals.select("*", one)), "_one").drop("_one")

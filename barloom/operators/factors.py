@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranking import average_rank, quantiles, with_zscore
+from barloom.functions.ranking import average_rank, quantiles, with_totals, with_zscore
 from barloom.functions.windows import Series, clamp, ladder, ratio
 from barloom.session import cut
 
@@ -471,7 +471,7 @@ def directed_zscore(df: DataFrame, directions: Mapping[str, int] = SEVEN_FACTORS
     """z-score over the whole cross-section, sign flipped for negative factors; tiny spread gives 0."""
     m = df.agg(*[x for f in directions for x in (
         F.avg(f).alias(f"_m_{f}"), F.stddev_samp(f).alias(f"_s_{f}"))])
-    out = df.crossJoin(F.broadcast(m))          # exactly one row
+    out = with_totals(df, m)
     for f, d in directions.items():
         z = F.when(F.col(f"_s_{f}") > 1e-10, (F.col(f) - F.col(f"_m_{f}")) / F.col(f"_s_{f}") * d)
         out = out.withColumn(f"{f}_z", F.when(F.coalesce(F.col(f"_s_{f}"), F.lit(0.0)) > 1e-10, z).otherwise(F.lit(0.0)))

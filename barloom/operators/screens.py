@@ -147,9 +147,9 @@ def latest_valid(rows: DataFrame, value: str, key: str = "code", order: str = "e
 
 def fund_flow(margin: DataFrame, samples: int = 12, buy_min: float = 10.0) -> DataFrame:
     """(code, date, rzmre, rzye): ``samples`` equally spaced dates; last two against first two means; .6/.4 composite gate."""
-    days = margin.select("date").distinct()
-    n = days.agg(F.count(F.lit(1)).alias("_n"))
-    d = days.withColumn("_i", F.row_number().over(Window.orderBy("date")) - 1).crossJoin(F.broadcast(n))
+    days = margin.select("date").distinct()     # the calendar
+    d = days.withColumn("_i", F.row_number().over(Window.orderBy("date")) - 1).withColumn(
+        "_n", F.count(F.lit(1)).over(Window.partitionBy()))
     # the k-th sample sits at floor(k (n-1) / (samples-1))
     k = F.ceil(c("_i") * (samples - 1) / (c("_n") - 1))
     pickd = d.where(F.floor(k * (c("_n") - 1) / (samples - 1)) == c("_i")).select("date")

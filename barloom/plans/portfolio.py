@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from barloom.functions.ranking import with_totals
+
 from barloom.operators import portfolio as P
 from barloom.plans import bindings as D
 from barloom.plans.frames import ema, span
@@ -175,7 +177,7 @@ SELECT strategy, rating, rating >= 60 AS passed, concat_ws(',', CASE WHEN trade_
   CASE WHEN max_drawdown_pct < -30 THEN 'deep_drawdown' END, CASE WHEN sharpe_ratio < 0.5 THEN 'low_sharpe' END) AS issues FROM sc""")
 def rating(spark, sf):
     trades = P.rebalance_log(_executed(spark, sf)).where("before <> after").agg(F.count(F.lit(1)).alias("trade_count"))
-    return P.rate_strategy(_perf(spark, sf).crossJoin(F.broadcast(trades)))
+    return P.rate_strategy(with_totals(_perf(spark, sf), trades))
 
 
 # ---- sweep and walk-forward on weekly brand bars -------------------------------------------------

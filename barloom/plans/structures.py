@@ -104,6 +104,11 @@ def merged_fractals(spark, sf):
     return X.fractals(X.merge_inclusions(bars(spark, sf)))
 
 
+@query("c06_bottom_fractals", "code:s ts:d price:f8", FX + "\n---\nSELECT code, ts, price FROM fx WHERE kind = -1")
+def bottoms(spark, sf):
+    return fx(spark, sf).where("kind = -1")
+
+
 @query("c07_fractal_strength", "code:s ts:d strength:f6 volume_ratio:f6 confidence:f2", FX + "\n---\nSELECT * FROM fx")
 def fractal_strength(spark, sf):
     return fx(spark, sf)
