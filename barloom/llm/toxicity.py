@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, id_co
         values, w, bias = fit_texts(pdf["_text"].tolist(), pdf["_y"].to_numpy(np.float64), **rates)
         return pd.DataFrame({"feature": np.append(values.view(np.int64), 0), "weight": np.append(w, bias), "is_bias": np.append(np.zeros(len(w), bool), True)})
 
-    got = rows.groupBy(F.lit(0)).applyInPandas(fit, "feature bigint, weight double, is_bias boolean").toPandas()
+    got = rows.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(fit, "feature bigint, weight double, is_bias boolean").toPandas()
     bias, w = got[got.is_bias].weight, got[~got.is_bias]
     return Model(w.feature.to_numpy(np.int64).view(np.uint64), w.weight.to_numpy(np.float64), float(bias.iloc[0]) if len(bias) else float(np.log(1 / 19)))
 
