@@ -1,18 +1,54 @@
-"""The corpus pipeline: toxicity, line dedup, SimHash near-dedup, benchmark decontamination, packing."""
+"""The corpus pipeline: toxicity, line dedup, SimHash near-dedup, benchmark decontamination, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is stored and read again as the next one's docs.
+All but the last return the columns of ``documents``. Null and empty texts, repeated rows, empty tables and extra
+columns are handled as the operators say; extra columns are carried along up to the last stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from barloom.llm import decontaminate as leaks
+from barloom.llm import line_templates, packing, simhash
+from barloom.llm import toxicity as toxic
+from barloom.llm.common import store, table
 
+#: The last stage has no SQL: it runs a tokenizer. Its stages are tested one by one.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barloom.llm.common import store
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches 0.3 go."""
+    return toxic.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go, but for the first document that has them."""
+    return line_templates.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies stays."""
+    return simhash.keep_first(docs)
+
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return leaks.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of what is left, one row per piece, with its ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)
