@@ -106,13 +106,22 @@ def dominant_by_mode(mapping: DataFrame) -> DataFrame:
     return cnt.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def valid_bars(bars: DataFrame, max_jump: float = 0.5) -> DataFrame:
-    """Drop duplicate, non-positive and high<low bars, then bars that jump by more than ``max_jump``."""
+def last_of(rows: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row per key: the last by ``order``; without one, or in ties, the largest of the other columns in turn."""
+    rest = [x for x in rows.columns if x not in keys]
+    if not rest:
+        return rows.distinct()
+    rank = F.struct(*([F.col(order).alias("_o")] if order else []), *rest)
+    return rows.groupBy(*keys).agg(F.max(rank).alias("_r")).select(*[F.col(x) if x in keys else F.col(f"_r.{x}") for x in rows.columns])
+
+
+def valid_bars(bars: DataFrame, max_jump: float = 0.5, order: str | None = None) -> DataFrame:
+    """Keep the last bar of each key (see ``last_of``), drop non-positive and high<low bars, then jumps of more than ``max_jump``."""
     ok = ((F.col("open") > 0) & (F.col("high") > 0) & (F.col("low") > 0) & (F.col("close") > 0)
           & (F.col("high") >= F.col("low")) & (F.col("volume") >= 0))
     s = Series()
     jump = F.abs(s.pct("close"))
-    return (bars.dropDuplicates(["code", "ts"]).where(ok).withColumn("_j", jump)
+    return (last_of(bars, ["code", "ts"], order).where(ok).withColumn("_j", jump)
             .where(F.col("_j").isNull() | (F.col("_j") <= max_jump)).drop("_j"))
 
 
@@ -137,12 +146,12 @@ def nearest_trading_day(dates: DataFrame, calendar: DataFrame, col: str = "date"
     return dates.join(F.broadcast(filled), dates[col] == F.col("_d"), "left").drop("_d")
 
 
-def refresh(history: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("code", "ts")) -> DataFrame:
-    """Upsert: the fresh row replaces the stored row of the same key; everything else is kept.
+def refresh(history: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("code", "ts"), order: str | None = None) -> DataFrame:
+    """Upsert: the last fresh row of a key (by ``order``) replaces the stored row; everything else is kept.
 
     The overlap (a few days) is small next to the history, so the history is only probed, not regrouped.
     """
-    return history.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
+    return history.join(fresh.select(*keys), list(keys), "left_anti").unionByName(last_of(fresh, keys, order))
 
 
 def curve_overlay(curves: DataFrame) -> DataFrame:

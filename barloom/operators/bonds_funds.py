@@ -122,17 +122,18 @@ B = Series(("code",), ("date",))
 
 
 def trigger_days(daily: DataFrame, m: int = 30, n: int = 15, level: float = 1.30) -> DataFrame:
-    """(code, date, close, conv_price): days of the last m with the stock at or above level x conversion price."""
+    """(code, date, close, conv_price): days of the last m with the stock at or above level x conversion price; null before m days."""
     hit = (c("close") >= c("conv_price") * level).cast("int")
-    d = daily.withColumn("days", F.sum(hit).over(B.trail(m)))
+    d = daily.withColumn("days", F.when(B.idx() >= m, F.sum(hit).over(B.trail(m))))
     return d.withColumn("state", ladder((c("days") >= n, "triggered"), (c("days") >= n - 5, "approaching"), default="not_triggered"))
 
 
 def down_revision_days(daily: DataFrame, m: int = 30, n: int = 15, level: float = 0.85) -> DataFrame:
-    """Days below the revision level; remaining days to n, high priority at 5 or fewer."""
+    """Days below the revision level (null before m days); remaining days to n, high priority at 5 or fewer."""
     hit = (c("close") < c("conv_price") * level).cast("int")
-    d = daily.withColumn("days", F.sum(hit).over(B.trail(m)))
-    return d.withColumn("remaining", F.greatest(F.lit(n) - c("days"), F.lit(0))).withColumn("high_priority", c("remaining") <= 5)
+    d = daily.withColumn("days", F.when(B.idx() >= m, F.sum(hit).over(B.trail(m))))
+    left = F.when(c("days").isNotNull(), F.greatest(F.lit(n) - c("days"), F.lit(0)))
+    return d.withColumn("remaining", left).withColumn("high_priority", F.coalesce(c("remaining") <= 5, F.lit(False)))
 
 
 def smallest(df: DataFrame, by: str, n: int = 10) -> DataFrame:

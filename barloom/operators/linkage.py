@@ -43,15 +43,15 @@ def top_flows(flows: DataFrame, n: int = 10, key: str = "code") -> DataFrame:
     return side.withColumn("place", F.row_number().over(w)).where(c("place") <= n)
 
 
-def northbound(daily: DataFrame, n: int = 5) -> DataFrame:
-    """(date, net): latest flow, n-day sum, positive days, sign streak, score."""
+def northbound(daily: DataFrame, n: int = 5, cap: int | None = None) -> DataFrame:
+    """(date, net): latest flow, n-day sum, positive days, sign streak (at most ``cap`` if given), score."""
     w = _day()
     last = w.rowsBetween(-(n - 1), 0)
     d = daily.select("date", "net", (c("net") / 1e4).alias("net_yi"), (F.sum("net").over(last) / 1e4).alias("cum_yi"),
                      F.sum((c("net") > 0).cast("int")).over(last).alias("positive_days"), (c("net") > 0).alias("_up"), F.row_number().over(w).alias("_i"))
     d = d.withColumn("_turn", F.when(~c("_up").eqNullSafe(F.lag("_up").over(w)), c("_i")))
     streak = c("_i") - F.max("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1
-    d = d.withColumn("streak", F.least(streak, F.lit(n)))
+    d = d.withColumn("streak", streak if cap is None else F.least(streak, F.lit(cap)))
     s = (F.lit(50) + ladder((c("net_yi") > 50, 18), (c("net_yi") > 0, 6), (c("net_yi") < -50, -18), (c("net_yi") < 0, -6), default=0)
          + F.when(c("cum_yi") > 0, 5).otherwise(-5) + F.when(c("streak") >= 3, F.when(c("net") > 0, 10).otherwise(-10)).otherwise(0))
     return d.withColumn("score", _clip(s)).withColumn("bias", _by_score())

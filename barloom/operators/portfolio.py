@@ -221,9 +221,9 @@ def walk_forward(returns: DataFrame, train: int = 120, test: int = 20) -> DataFr
     windows of a date follow from its index by arithmetic; no range join is needed. As each slice
     starts flat, its first date earns nothing.
     """
-    by_date = Window.orderBy("date")            # parameters x dates, far below a task's share
-    r = returns.select("pid", "date", "net", (F.dense_rank().over(by_date) - 1).alias("_i"))
-    r = r.withColumn("_max", F.max("_i").over(Window.partitionBy()))
+    days = returns.select("date").distinct()    # the calendar; returns only join it
+    days = days.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("_i"), (F.count(F.lit(1)).over(Window.partitionBy()) - 1).alias("_max"))
+    r = returns.select("pid", "date", "net").join(days, "date")
     n_win = F.floor((c("_max") + 1 - train) / test)
     lo = F.greatest(F.ceil((c("_i") - (train - 1)) / test), F.lit(0))
     hi = F.least(F.floor(c("_i") / test), n_win - 1)

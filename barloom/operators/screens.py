@@ -145,15 +145,10 @@ def latest_valid(rows: DataFrame, value: str, key: str = "code", order: str = "e
     return rows.where(c(value).isNotNull()).groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
 
 
-def fund_flow(margin: DataFrame, samples: int = 12, buy_min: float = 10.0) -> DataFrame:
-    """(code, date, rzmre, rzye): ``samples`` equally spaced dates; last two against first two means; .6/.4 composite gate."""
-    days = margin.select("date").distinct()     # the calendar
-    d = days.withColumn("_i", F.row_number().over(Window.orderBy("date")) - 1).withColumn(
-        "_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    # the k-th sample sits at floor(k (n-1) / (samples-1))
-    k = F.ceil(c("_i") * (samples - 1) / (c("_n") - 1))
-    pickd = d.where(F.floor(k * (c("_n") - 1) / (samples - 1)) == c("_i")).select("date")
-    m = margin.join(F.broadcast(pickd), "date")
+def fund_flow(margin: DataFrame, days: int = 90, buy_min: float = 10.0) -> DataFrame:
+    """(code, date, rzmre, rzye): every date of the last ``days`` days; last two against first two means; .6/.4 composite gate."""
+    last = margin.agg(F.max("date")).first()[0]     # one value
+    m = margin.where(c("date") > F.date_sub(F.lit(last), days))
     up, dn = Window.partitionBy("code").orderBy("date"), Window.partitionBy("code").orderBy(F.desc("date"))
     m = m.select("*", F.row_number().over(up).alias("_a"), F.row_number().over(dn).alias("_z"))
 

@@ -94,8 +94,14 @@ def signal_frame(bars: DataFrame, names: Sequence[str], di: int = 1) -> DataFram
 
 
 def signal_rows(frame: DataFrame, level: str) -> DataFrame:
-    """Wide labels -> signals(code, ts, level, category, name, v1), none labels dropped."""
+    """Wide labels -> signals(code, ts, level, category, name, v1), none labels dropped.
+
+    A signal of two values has both in ``v1``, joined by ``_``, unless the second is open ("任意").
+    """
     names = [x for x in frame.columns if x not in ("code", "ts") and not x.endswith("_v2")]
+    second = [x for x in names if f"{x}_v2" in frame.columns]
+    both = {x: F.when((c(x) != NONE) & (c(f"{x}_v2") != "任意"), F.concat_ws("_", x, f"{x}_v2")).otherwise(c(x)) for x in second}
+    frame = frame.select("code", "ts", *[both.get(x, c(x)).alias(x) for x in names])
     rows = frame.unpivot(["code", "ts"], names, "name", "v1")
     return rows.where(c("v1") != NONE).select(
         "code", "ts", F.lit(level).alias("level"), F.split("name", "_")[0].alias("category"), "name", "v1")

@@ -97,8 +97,8 @@ def regime():
     {"turn": lambda: F.when(~c("sg").eqNullSafe(S.lag("sg")), c("i"))},
     {"start": lambda: F.max("turn").over(S.run())}])
 def consecutive():
-    """Length of the running streak, at most 10."""
-    n = F.least(c("i") - c("start") + 1, F.lit(10)).cast("string")
+    """Length of the running streak."""
+    n = (c("i") - c("start") + 1).cast("string")
     return pick((c("sg") > 0, F.concat(F.lit("连涨"), n)), (c("sg") < 0, F.concat(F.lit("连跌"), n)), default="无连续")
 
 

@@ -579,7 +579,8 @@ def score_signals(signals: DataFrame, table: DataFrame) -> DataFrame:
     hit = ladder((c("v1") == c("value"), 3), (c("v1").startswith(c("value")), 2), (c("v1").contains(c("value")) | c("value").contains(c("v1")), 1), default=0)
     best = d.withColumn("_h", F.coalesce(hit, F.lit(0)))
     keys = [x for x in signals.columns]
-    pick = F.max_by(F.when(c("_h") > 0, c("_sc")), F.concat(c("_h").cast("string"), F.length("value").cast("string"), F.coalesce("value", F.lit(""))))
+    # the better kind of match first, then the longer entry, then the larger word
+    pick = F.max_by(F.when(c("_h") > 0, c("_sc")), F.struct("_h", F.length("value").alias("_l"), F.coalesce("value", F.lit("")).alias("_v")))
     return best.groupBy(*keys).agg(F.coalesce(pick, F.lit(0.0)).alias("score"))
 
 

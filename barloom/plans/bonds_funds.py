@@ -151,21 +151,17 @@ def _trigger_rows(spark, sf):
 @query("e09_forced_redemption", "code:i date:d days:f0 state:s", TD + """,
 tx AS (SELECT code, date, CASE WHEN count(*) OVER w >= 30 THEN sum((close >= conv_price * 1.3)::INT) OVER w END AS days FROM td WINDOW w AS (PARTITION BY code ORDER BY date ROWS 29 PRECEDING))
 ---
-SELECT code, date, coalesce(days, 0) AS days, CASE WHEN days >= 15 THEN 'triggered' WHEN days >= 10 THEN 'approaching' ELSE 'not_triggered' END AS state FROM tx WHERE days IS NOT NULL""")
+SELECT code, date, days, CASE WHEN days >= 15 THEN 'triggered' WHEN days >= 10 THEN 'approaching' ELSE 'not_triggered' END AS state FROM tx""")
 def forced(spark, sf):
-    return _full_window(E.trigger_days(_trigger_rows(spark, sf)))
-
-
-def _full_window(d, m=30):
-    return d.withColumn("_i", E.B.idx()).where(c("_i") >= m)
+    return E.trigger_days(_trigger_rows(spark, sf))
 
 
 @query("e10_down_revision", "code:i date:d days:f0 remaining:i high_priority:b", TD + """,
-tx AS (SELECT code, date, count(*) OVER w AS n, sum((close < conv_price * 0.85)::INT) OVER w AS days FROM td WINDOW w AS (PARTITION BY code ORDER BY date ROWS 29 PRECEDING))
+tx AS (SELECT code, date, CASE WHEN count(*) OVER w >= 30 THEN sum((close < conv_price * 0.85)::INT) OVER w END AS days FROM td WINDOW w AS (PARTITION BY code ORDER BY date ROWS 29 PRECEDING))
 ---
-SELECT code, date, days, greatest(15 - days, 0) AS remaining, greatest(15 - days, 0) <= 5 AS high_priority FROM tx WHERE n >= 30""")
+SELECT code, date, days, CASE WHEN days IS NOT NULL THEN greatest(15 - days, 0) END AS remaining, greatest(15 - days, 0) <= 5 AND days IS NOT NULL AS high_priority FROM tx""")
 def down_revision(spark, sf):
-    return _full_window(E.down_revision_days(_trigger_rows(spark, sf)))
+    return E.down_revision_days(_trigger_rows(spark, sf))
 
 
 @query("e11_smallest_float", "code:i remain_size:f4", BONDS + "\n---\nSELECT code, remain_size FROM bd ORDER BY remain_size, code LIMIT 10")

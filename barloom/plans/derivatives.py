@@ -132,11 +132,11 @@ def weighted_iv(spark, sf):
 
 
 @query("d07_atm_iv", "symbol:s strike:f4 atm_iv:f4", CHAIN + """,
-at0 AS (SELECT symbol, t, strike, spot, sigma AS iv, call FROM ch WHERE call)
+at0 AS (SELECT symbol, t, strike, spot, sigma AS iv, call FROM ch)
 ---
 SELECT symbol, max(spot) AS strike, arg_min(iv, abs(strike / spot - 1)) FILTER (t <= 60 / 365e0) * 100 AS atm_iv FROM at0 GROUP BY 1""")
 def atm_iv(spark, sf):
-    rows = chain(spark, sf).where("call").select("symbol", "t", "strike", "spot", c("sigma").alias("iv"), "call", F.lit(1.0).alias("vol"), F.lit("x").alias("date"))
+    rows = chain(spark, sf).select("symbol", "t", "strike", "spot", c("sigma").alias("iv"), "call", F.lit(1.0).alias("vol"), F.lit("x").alias("date"))
     spot = rows.groupBy("symbol").agg(F.max("spot").alias("strike"))
     return V.iv_metrics(rows, ("symbol",)).join(spot, "symbol")
 
@@ -184,12 +184,13 @@ def iv_rv(spark, sf):
 
 
 @query("d12_surface_summary", "symbol:i tenor:f8 atm_vol:f6 skew:s term_structure:s atm_min:f6 atm_max:f6", CHAIN + """,
-su AS (SELECT symbol, strike AS tenor, sigma AS atm_vol, sigma - 0.25e0 AS rr FROM ch WHERE call)
+su AS (SELECT symbol, strike AS tenor, avg(sigma) AS atm_vol, avg(sigma) - 0.25e0 AS rr FROM ch GROUP BY symbol, strike)
 ---
 SELECT symbol, tenor, atm_vol, CASE WHEN rr > 0 THEN 'call_skew' ELSE 'put_skew' END AS skew, CASE WHEN arg_max(atm_vol, tenor) OVER g - arg_min(atm_vol, tenor) OVER g > 0 THEN 'contango' ELSE 'backwardation' END AS term_structure,
   min(atm_vol) OVER g AS atm_min, max(atm_vol) OVER g AS atm_max FROM su WINDOW g AS (PARTITION BY symbol)""")
 def surface(spark, sf):
-    return V.surface_summary(chain(spark, sf).where("call").select("symbol", c("strike").alias("tenor"), c("sigma").alias("atm_vol"), (c("sigma") - 0.25).alias("rr")))
+    vol = chain(spark, sf).groupBy("symbol", c("strike").alias("tenor")).agg(F.avg("sigma").alias("atm_vol"))     # calls and puts
+    return V.surface_summary(vol.withColumn("rr", c("atm_vol") - 0.25))
 
 
 @query("d13_vol_regime", "symbol:i date:d iv_rank:f4 iv_percentile:f4 regime:s", D.PANEL + "," + RV + """,

@@ -51,7 +51,7 @@ NB = FLOW + """,
 nb0 AS (SELECT date, sum(net) * 5 AS net FROM fl GROUP BY 1),
 nb1 AS (SELECT *, net / 1e4 AS net_yi, sum(net) OVER (ORDER BY date ROWS 4 PRECEDING) / 1e4 AS cum_yi, sum((net > 0)::INT) OVER (ORDER BY date ROWS 4 PRECEDING) AS positive_days, row_number() OVER (ORDER BY date) AS i,
   (net > 0) IS DISTINCT FROM lag(net > 0) OVER (ORDER BY date) AS tn FROM nb0),
-nb2 AS (SELECT *, least(i - max(CASE WHEN tn THEN i END) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) + 1, 5) AS streak FROM nb1),
+nb2 AS (SELECT *, i - max(CASE WHEN tn THEN i END) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) + 1 AS streak FROM nb1),
 nb3 AS (SELECT *, greatest(0, least(100, 50 + CASE WHEN net_yi > 50 THEN 18 WHEN net_yi > 0 THEN 6 WHEN net_yi < -50 THEN -18 WHEN net_yi < 0 THEN -6 ELSE 0 END + CASE WHEN cum_yi > 0 THEN 5 ELSE -5 END + CASE WHEN streak >= 3 THEN CASE WHEN net > 0 THEN 10 ELSE -10 END ELSE 0 END)) AS score FROM nb2),
 l2 AS (SELECT *, CASE WHEN score > 55 THEN 'bullish' WHEN score < 45 THEN 'bearish' ELSE 'neutral' END AS bias FROM nb3)"""
 

@@ -150,15 +150,14 @@ def dividend(spark, sf):
 
 
 @query("s11_fund_flow", "code:i buy_trend:f4 balance_growth:f4 composite:f4 score:f4", D.PANEL + """,
-dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM panel)),
-sp AS (SELECT date FROM dd WHERE i IN (SELECT k * ((SELECT max(n) FROM dd) - 1) // 11 FROM range(12) t(k))),
-fm AS (SELECT code, high AS rzmre, close AS rzye, row_number() OVER (PARTITION BY code ORDER BY date) AS a, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS z FROM panel JOIN sp USING (date)),
+fm AS (SELECT code, high AS rzmre, close AS rzye, row_number() OVER (PARTITION BY code ORDER BY date) AS a, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS z FROM panel WHERE date > (SELECT max(date) FROM panel) - 365),
 fg AS (SELECT code, CASE WHEN count(*) >= 4 THEN (avg(rzmre) FILTER (z <= 2) / avg(rzmre) FILTER (a <= 2) - 1) * 100 END AS buy_trend, CASE WHEN count(*) >= 4 THEN (avg(rzye) FILTER (z <= 2) / avg(rzye) FILTER (a <= 2) - 1) * 100 END AS balance_growth FROM fm GROUP BY 1),
 fc AS (SELECT *, coalesce(buy_trend, 0) * 0.6 + coalesce(balance_growth, 0) * 0.4 AS composite FROM fg)
 ---
 SELECT *, greatest(0, least(100, composite * 2 + 50)) AS score FROM fc WHERE composite >= 6""")
 def fund_flow(spark, sf):
-    return X.fund_flow(D.panel(spark, sf).select("code", "date", c("high").alias("rzmre"), c("close").alias("rzye")))
+    """A year of the monthly panel stands in for 90 daily rows."""
+    return X.fund_flow(D.panel(spark, sf).select("code", "date", c("high").alias("rzmre"), c("close").alias("rzye")), days=365)
 
 
 @query("s12_rank_by_strategies", "code:i total:f4 strategies:i", D.PANEL + """,

@@ -254,7 +254,7 @@ G(94, "sta_percentile", 61, bands("(len(list_filter(c60, lambda v: v < close)) /
   stages=[{"c60": "list(close) OVER (w ROWS 59 PRECEDING)"}])
 G(95, "sta_regime", 62, case(("t > 2 AND v < 2", "低波趋势"), ("t > 2", "高波趋势"), ("v < 1.5", "低波盘整"), default="高波盘整"),
   stages=[{"t": f"abs({over('regr_slope(close, i)', 60)} / {mean('close', 60)} * 100)", "v": "list_stddev_pop(list_prepend(0e0, list(r) FILTER (r IS NOT NULL) OVER (w ROWS 58 PRECEDING))) * 100"}])
-G(96, "sta_consecutive", 11, case(("s > 0", "('连涨' || CAST(least(i - st + 1, 10) AS BIGINT))"), ("s < 0", "('连跌' || CAST(least(i - st + 1, 10) AS BIGINT))"), default="无连续"),
+G(96, "sta_consecutive", 11, case(("s > 0", "('连涨' || CAST(i - st + 1 AS BIGINT))"), ("s < 0", "('连跌' || CAST(i - st + 1 AS BIGINT))"), default="无连续"),
   stages=[{"s": "sign(d)"}, {"tn": f"CASE WHEN s IS DISTINCT FROM {lag('s')} THEN i END"}, {"st": run("max(tn)")}])
 G(97, "sta_momentum_roc", 14, bands(f"((close / {lag('close', 12)} - 1) * 100)", CH, "强空"))
 

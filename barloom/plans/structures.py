@@ -455,7 +455,7 @@ import barloom.plans.signals  # noqa: E402,F401  (the label queries above come f
 
 SG = _signal_sql() + ",\nst(name, value, sc) AS (VALUES " + ", ".join(f"('{a}', '{b}', {v}e0)" for a, b, v in SCORES) + """),
 sh AS (SELECT sig.*, sc, value, CASE WHEN v1 = value THEN 3 WHEN starts_with(v1, value) THEN 2 WHEN contains(v1, value) OR contains(value, v1) THEN 1 ELSE 0 END AS h FROM sig LEFT JOIN st USING (name)),
-ss AS (SELECT code, ts, name, category, v1, coalesce(arg_max(sc, h::VARCHAR || length(value) || value) FILTER (h > 0), 0) AS score FROM sh GROUP BY 1, 2, 3, 4, 5)"""
+ss AS (SELECT code, ts, name, category, v1, coalesce(arg_max(sc, struct_pack(h := h, l := length(value), v := value)) FILTER (h > 0), 0) AS score FROM sh GROUP BY 1, 2, 3, 4, 5)"""
 FU = SG + """,
 fc AS (SELECT code, ts, category, avg(score) AS m FROM ss GROUP BY 1, 2, 3),
 fw AS (SELECT code, ts, sum(m * w) / sum(w) AS total, CASE WHEN greatest(count_if(m > 10), count_if(m < -10)) >= 3 THEN 0.2 WHEN greatest(count_if(m > 10), count_if(m < -10)) >= 2 THEN 0.1 ELSE 0 END AS bonus, count(*) AS families

@@ -18,6 +18,7 @@ def build_session(app: str = "barloom", cpus: int | str = "*", partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -28,12 +29,14 @@ def build_session(app: str = "barloom", cpus: int | str = "*", partitions: int =
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder so that later jobs do not recompute it.
 
-    The folder named by ``spark.checkpoint.dir`` is used; only where it is unset (tests on one
-    machine) a temporary folder is made.
+    The folder named by ``spark.checkpoint.dir`` is used. Only a session on one machine (tests, the bench) may leave
+    it unset and gets a temporary folder; on a cluster that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)

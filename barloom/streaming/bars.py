@@ -24,9 +24,14 @@ def stream_bars(ticks: DataFrame, width: str = "30 minutes", late: str = "1 hour
     return bars.select(code, c("window.start").alias("ts"), "open", "high", "low", "close", "volume", "amount")
 
 
-def stream_refresh(rows: DataFrame, keys: Sequence[str] = ("code", "ts"), late: str = "7 days") -> DataFrame:
-    """First arrival of every key inside the watermark; repeats of the overlap are dropped."""
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
+def stream_refresh(rows: DataFrame, keys: Sequence[str] = ("code", "ts"), late: str = "7 days", order: str = "ingested") -> DataFrame:
+    """The last row of every key by ``order`` inside the watermark, given again whenever a correction arrives.
+
+    For output mode ``update`` and a sink that replaces rows by key, such as ``month_sink``. ``ts`` is one of the keys,
+    so the state of a key goes once the watermark passes it.
+    """
+    last = F.max_by(F.struct(*[x for x in rows.columns if x not in keys]), order).alias("_last")
+    return rows.withWatermark("ts", late).groupBy(*keys).agg(last).select(*keys, "_last.*").select(*rows.columns)
 
 
 def month_sink(path: str):

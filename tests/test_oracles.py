@@ -24,7 +24,6 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not any(k.startswith("op") for k in entry.queries())
 
 
 def test_entry_runs(spark):

@@ -83,3 +83,62 @@ def test_structured_screen_rejects_unknown_fields(spark):
     for bad in ([("roe", ">", 1)], [("pe", "like", 1)]):
         with pytest.raises(ValueError):
             screens.structured_screen(d, bad)
+
+
+def test_refresh_keeps_the_last_fresh_row(spark):
+    from barloom.operators import bars as B
+
+    ddl = "code string, ts date, close double, ingested int"
+    old = spark.createDataFrame([("a", dt.date(2024, 1, 4), 1.0, 1), ("a", dt.date(2024, 1, 5), 2.0, 1)], ddl)
+    new = spark.createDataFrame([("a", dt.date(2024, 1, 5), 7.0, 2), ("a", dt.date(2024, 1, 5), 3.0, 3), ("b", dt.date(2024, 1, 5), 9.0, 2)], ddl)
+    got = {(r.code, r.ts.day): r.close for r in B.refresh(old, new, order="ingested").collect()}
+    assert got == {("a", 4): 1.0, ("a", 5): 3.0, ("b", 5): 9.0} and B.refresh(old, new).count() == 3
+
+
+def test_stream_refresh_lets_a_late_correction_win(spark, tmp_path):
+    ddl = "code string, ts timestamp, close double, ingested int"
+    day = dt.datetime(2024, 1, 5)
+    path = str(tmp_path / "in")
+    seen = {}
+
+    def sink(batch, epoch):
+        seen.update({(r.code, r.ts): r.close for r in batch.collect()})
+
+    q = SB.stream_refresh(spark.readStream.schema(ddl).parquet(path)) if (tmp_path / "in").mkdir() is None else None
+    run = q.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).start()
+    for k, close in ((1, 5.0), (3, 6.0), (2, 4.0)):     # the last arrival is the older version
+        spark.createDataFrame([("a", day, close, k)], ddl).write.mode("append").parquet(path)
+        run.processAllAvailable()
+    run.stop()
+    assert seen == {("a", day): 6.0}
+
+
+def test_signal_rows_keep_both_parts(spark):
+    from barloom.operators import signals as G
+
+    wide = spark.createDataFrame([("x", 1, "多头", "任意", "强"), ("x", 2, "空头", "确认", G.NONE)], "code string, ts int, tas_a string, tas_a_v2 string, bar_b string")
+    got = sorted((r.ts, r.name, r.category, r.v1) for r in G.signal_rows(wide, "day").collect())
+    assert got == [(1, "bar_b", "bar", "强"), (1, "tas_a", "tas", "多头"), (2, "tas_a", "tas", "空头_确认")]
+
+
+def test_longer_entry_wins_by_number_of_characters(spark):
+    from barloom.operators import structures as X
+
+    label = "abcdefghij_tail"
+    rows = spark.createDataFrame([("x", 1, "n", label)], "code string, ts int, name string, v1 string")
+    table = spark.createDataFrame([("n", label[:9], 1.0), ("n", label[:10], 2.0)], "name string, value string, score double")
+    assert X.score_signals(rows, table).first().score == 2.0
+
+
+def test_fund_flow_reads_every_date_of_the_window(spark):
+    day = dt.date(2024, 6, 1)
+    rows = [("a", day + dt.timedelta(days=i), float(10 + i), 5.0) for i in range(40)]
+    got = screens.fund_flow(spark.createDataFrame(rows, "code string, date date, rzmre double, rzye double"), days=30).first()
+    assert abs(got.buy_trend - ((48.5 / 20.5) - 1) * 100) < 1e-9     # the last 30 days run from 10 + 10 to 10 + 39
+
+
+def test_walk_forward_has_no_window_over_the_returns(spark):
+    from barloom.operators import portfolio as P
+
+    r = spark.range(400).select((F.col("id") % 2).cast("int").alias("pid"), F.expr("date_add(date'2024-01-01', cast(id / 2 as int))").alias("date"), F.sin("id").alias("net"))
+    assert {x.win for x in P.walk_forward(r).collect()} == {0, 1, 2, 3}
