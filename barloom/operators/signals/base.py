@@ -67,7 +67,7 @@ def cross_cols(a: str, b: str, labels=("金叉", "死叉", "多头", "空头"))
 def signal_frame(bars: DataFrame, names: Sequence[str], di: int = 1) -> DataFrame:
     """Labels of the named signals per bar. One shuffle by code serves every window and recursion.
 
-    A second value of a signal appears as ``<name>_v2``; ``di`` > 1 reads the label di-1 bars back.
+    A second value of a signal appears as ``<name>_v2`` (``<name>_2nd`` if a signal of that name is there); ``di`` > 1 reads the label di-1 bars back.
     """
     todo = [SIGNALS[n] for n in names]
     df = base_columns(bars)
@@ -83,7 +83,7 @@ def signal_frame(bars: DataFrame, names: Sequence[str], di: int = 1) -> DataFram
         out = s.label()
         parts = out if isinstance(out, tuple) else (out,)
         for j, p in enumerate(parts):
-            name = s.name if j == 0 else f"{s.name}_v2"
+            name = s.name if j == 0 else f"{s.name}_2nd" if f"{s.name}_v2" in names else f"{s.name}_v2"
             none = NONE if j == 0 else "任意"
             cols.append(F.when(c("i") + 1 >= s.need, F.coalesce(p, F.lit(none))).otherwise(F.lit(none)).alias(name))
     out = df.select("code", "ts", *cols)
@@ -98,9 +98,11 @@ def signal_rows(frame: DataFrame, level: str) -> DataFrame:
 
     A signal of two values has both in ``v1``, joined by ``_``, unless the second is open ("任意").
     """
-    names = [x for x in frame.columns if x not in ("code", "ts") and not x.endswith("_v2")]
-    second = [x for x in names if f"{x}_v2" in frame.columns]
-    both = {x: F.when((c(x) != NONE) & (c(f"{x}_v2") != "任意"), F.concat_ws("_", x, f"{x}_v2")).otherwise(c(x)) for x in second}
+    labels = [x for x in frame.columns if x not in ("code", "ts")]
+    second = {x: f"{x}_2nd" if f"{x}_2nd" in labels else f"{x}_v2" for x in labels}
+    second = {x: y for x, y in second.items() if y in labels}
+    names = [x for x in labels if x not in second.values()]
+    both = {x: F.when((c(x) != NONE) & (c(y) != "任意"), F.concat_ws("_", x, y)).otherwise(c(x)) for x, y in second.items()}
     frame = frame.select("code", "ts", *[both.get(x, c(x)).alias(x) for x in names])
     rows = frame.unpivot(["code", "ts"], names, "name", "v1")
     return rows.where(c("v1") != NONE).select(

@@ -162,10 +162,10 @@ def news_window(items: DataFrame, last: Column, days: int, n: int) -> DataFrame:
 
 
 def merge_results(parts: Sequence[DataFrame], key: str) -> DataFrame:
-    """Union of result sets with one row per key (lowest source position wins)."""
-    out = None
+    """Union of result sets with one row per key: of the lowest source position, and there the smallest of its other columns."""
+    out, rest = None, [x for x in parts[0].columns if x != key]
     for i, p in enumerate(parts):
         p = p.withColumn("_src", F.lit(i))
         out = p if out is None else out.unionByName(p)
-    first = out.groupBy(key).agg(F.min("_src").alias("_src"))
-    return out.join(first, [key, "_src"]).dropDuplicates([key]).drop("_src")
+    first = out.groupBy(key).agg(F.min(F.struct("_src", *rest)).alias("_r"))
+    return first.select(*[c(x) if x == key else c(f"_r.{x}") for x in parts[0].columns])

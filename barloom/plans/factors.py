@@ -472,14 +472,15 @@ def seven(spark, sf):
 
 @query("f29_directed_zscore", "code:i " + " ".join(f"{f}_z:f6" for f in _FS), _ZS + "\n---\nSELECT * FROM z7")
 def directed(spark, sf):
-    return Fx.directed_zscore(_seven(spark, sf))
+    return Fx.directed_zscore(cut(_seven(spark, sf)))
 
 
 @query("f30_composite_rank", "code:i composite_score:f6 rank:i", _CS + """
 ---
 SELECT code, composite_score, row_number() OVER (ORDER BY composite_score DESC, code) AS rank FROM c7""")
 def composite(spark, sf):
-    return Fx.rank_all(Fx.composite_score(Fx.directed_zscore(_seven(spark, sf))), "composite_score", "code")
+    """One row per code is stored before the market-wide moments and the rank read it again."""
+    return Fx.rank_all(cut(Fx.composite_score(Fx.directed_zscore(cut(_seven(spark, sf))))), "composite_score", "code")
 
 
 @query("f31_cap_band_filter", "code:i total_mv:f2", _SEVEN + """
