@@ -87,17 +87,15 @@ def group_moments(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def with_zscore(df: DataFrame, by: Sequence[str], value: str, out: str, fill: float | None = None) -> DataFrame:
     """Append (x - mean) / sample std per group; 0 or null deviation gives ``fill``.
 
-    The moments have one row per calendar date (times a short industry list), so that side is
-    broadcast: its size is bounded by the calendar, not by the market.
+    The moments have one row per group; whether that side is broadcast is left to the optimizer, which knows its size.
     """
     m = group_moments(df, by, value).select(*by, F.col("mean").alias("_mean"), F.col("sd").alias("_sd"))
     z = F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mean")) / F.col("_sd"))
     if fill is not None:
         z = F.coalesce(z, F.lit(fill))
-    return df.join(F.broadcast(m), list(by), "left").withColumn(out, z).drop("_mean", "_sd")
+    return df.join(m, list(by), "left").withColumn(out, z).drop("_mean", "_sd")
 
 
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """Append the columns of a one-row table of market-wide totals (its size is one row: broadcast)."""
-    one = F.lit(1).alias("_one")
-    return df.select("*", one).join(F.broadcast(totals.select("*", one)), "_one").drop("_one")
+    """Append the columns of a one-row table of market-wide totals: a nested-loop join with that single, broadcast row."""
+    return df.crossJoin(F.broadcast(totals))

@@ -133,7 +133,7 @@ def trading_calendar(days: DataFrame) -> DataFrame:
 
 def nth_previous_day(calendar: DataFrame, n: int) -> DataFrame:
     prev = calendar.select(F.col("date").alias("prev_date"), (F.col("td_index") + n).alias("td_index"))
-    return calendar.join(F.broadcast(prev), "td_index", "left").select("date", "prev_date")
+    return calendar.join(prev, "td_index", "left").select("date", "prev_date")
 
 
 def nearest_trading_day(dates: DataFrame, calendar: DataFrame, col: str = "date") -> DataFrame:
@@ -143,7 +143,7 @@ def nearest_trading_day(dates: DataFrame, calendar: DataFrame, col: str = "date"
     allrows = marks.unionByName(opens).groupBy("_d").agg(F.max("_open").alias("_open"))
     w = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
     filled = allrows.select("_d", F.last("_open", ignorenulls=True).over(w).alias("trading_day"))
-    return dates.join(F.broadcast(filled), dates[col] == F.col("_d"), "left").drop("_d")
+    return dates.join(filled, dates[col] == F.col("_d"), "left").drop("_d")
 
 
 def refresh(history: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("code", "ts"), order: str | None = None) -> DataFrame:

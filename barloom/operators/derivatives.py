@@ -260,4 +260,4 @@ def linkage_score(rules: DataFrame) -> DataFrame:
     g = g.withColumn("score", clamp(F.rint(s), 0.0, 100.0)).withColumn("direction", ladder(
         (c("points") <= -3, "bearish"), (c("points") >= 3, "bullish"), (c("points") <= -1, "slightly_bearish"), (c("points") >= 1, "slightly_bullish"), default="neutral"))
     spread = g.groupBy("date").agg((F.max("score") - F.min("score")).alias("divergence"))
-    return g.join(F.broadcast(spread), "date").withColumn("divergence_level", ladder((c("divergence") > 25, "high"), (c("divergence") > 10, "medium"), default="low"))
+    return g.join(spread, "date").withColumn("divergence_level", ladder((c("divergence") > 25, "high"), (c("divergence") > 10, "medium"), default="low"))

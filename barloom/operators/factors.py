@@ -80,8 +80,8 @@ def benchmark_returns(panel: DataFrame) -> DataFrame:
 
 
 def rolling_beta(panel: DataFrame, bench: DataFrame, window: int = 504, min_periods: int = 60) -> DataFrame:
-    """cov(ret, bench)/var(bench) over trailing rows. The benchmark has one row per date: broadcast."""
-    p = panel.withColumn("ret", daily_return()).join(F.broadcast(bench), "date")
+    """cov(ret, bench)/var(bench) over trailing rows. The benchmark has one row per date."""
+    p = panel.withColumn("ret", daily_return()).join(bench, "date")
     frame = S.trail(window)
     pair = F.col("ret").isNotNull() & F.col("bench_ret").isNotNull()
     ok = F.count(F.when(pair, 1)).over(frame) >= min_periods
@@ -113,7 +113,7 @@ def winsorize(panel: DataFrame, value: str = "value", by: Sequence[str] = ("date
               lower: float = 0.025, upper: float = 0.975) -> DataFrame:
     """Clip to the group's interpolated quantiles. One bound row per date and indicator: broadcast."""
     q = quantiles(panel, by, value, {"_q_lo": lower, "_q_hi": upper})
-    return panel.join(F.broadcast(q), list(by), "left").withColumn(
+    return panel.join(q, list(by), "left").withColumn(
         value, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_q_lo")), F.col("_q_hi")))
     ).drop("_q_lo", "_q_hi")
 
@@ -279,7 +279,7 @@ def zscore_columns(panel: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}")]
     m = panel.groupBy("date").agg(*aggs)
-    out = panel.join(F.broadcast(m), "date")
+    out = panel.join(m, "date")
     for c in cols:
         z = F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"))
         out = out.withColumn(f"z_{c}", F.coalesce(z, F.lit(0.0)))
@@ -336,7 +336,7 @@ def combine_orthogonal(panel: DataFrame, cols: Sequence[str]) -> DataFrame:
         gram = gram.select("*", *[row[k].alias(names[i][k]) for k in range(n)])
     mean = gram.select("date", *[
         (sum((F.col(names[i][k]) for i in range(n)), F.lit(0.0)) / n).alias(f"_w{k}") for k in range(n)])
-    out = z.join(F.broadcast(mean), "date")
+    out = z.join(mean, "date")
     total = F.lit(0.0)
     for k, c in enumerate(cols):
         total = total + F.col(f"z_{c}") * F.col(f"_w{k}")
@@ -518,7 +518,7 @@ def fundamental_weights(rows: DataFrame, pe_min=0.0, pe_max=30.0, pb_max=3.0, ro
                     & (F.col("roe") >= roe_min), F.lit(False))
     r = rows.withColumn("_ok", ok)
     n = r.where("_ok").groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
-    return r.join(F.broadcast(n), "date", "left").withColumn(
+    return r.join(n, "date", "left").withColumn(
         "weight", F.when(F.col("_ok"), 1.0 / F.col("_n")).otherwise(F.lit(0.0))).drop("_ok", "_n")
 
 

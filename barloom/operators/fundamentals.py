@@ -418,7 +418,7 @@ def industry_percentile(day: DataFrame, value: str = "pe") -> DataFrame:
     med = quantiles(pos, by, value, {"median": 0.5})
     from barloom.functions.ranking import cumulated_counts
     below = cumulated_counts(pos, by, value).select(*by, value, "below")
-    return pos.join(below, [*by, value]).join(F.broadcast(stats.join(med, list(by))), list(by)).withColumn("percentile", c("below") / c("_n") * 100)
+    return pos.join(below, [*by, value]).join(stats.join(med, list(by)), list(by)).withColumn("percentile", c("below") / c("_n") * 100)
 
 
 def wacc_capm(d: DataFrame, rf: float = 0.025, premium: float = 0.06, kd: float = 0.045, tax: float = 0.25) -> DataFrame:

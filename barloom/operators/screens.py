@@ -30,7 +30,7 @@ def cap_filter(df: DataFrame, band: str) -> DataFrame:
 def nearest_earlier(wanted: DataFrame, available: DataFrame, back: int = 5) -> DataFrame:
     """Latest available date within ``back`` days: each wanted date is expanded to its candidates (equi-join)."""
     cand = wanted.select("date", F.explode(F.sequence(F.lit(0), F.lit(back))).alias("_k")).withColumn("day", F.date_sub("date", c("_k")))
-    hit = cand.join(F.broadcast(available.select(c("date").alias("day")).distinct()), "day")
+    hit = cand.join(available.select(c("date").alias("day")).distinct(), "day")
     return wanted.join(hit.groupBy("date").agg(F.max("day").alias("used")), "date", "left")
 
 
@@ -74,7 +74,7 @@ def technical_breakthrough(bars: DataFrame, rsi_min: float = 30, rsi_max: float
 def oversold_rebound(day: DataFrame, rsi_min: float = 10, rsi_max: float = 50, turnover_min: float = 0.5) -> DataFrame:
     """20 + drop x2 + turnover over the day's median x3 + 10/5 for a small move; RSI and turnover gates."""
     med = quantiles(day, ("date",), "turnover_rate", {"_med": 0.5})
-    d = day.join(F.broadcast(med), "date")
+    d = day.join(med, "date")
     p = F.coalesce("pct_chg", F.lit(0.0))
     vol = c("turnover_rate") / F.greatest("_med", F.lit(0.1))
     s = (F.greatest(-p, F.lit(0.0)) * 2 + 20 + F.greatest(vol - 1, F.lit(0.0)) * 3 + ladder((p > 0, 10.0), (p > -3, 5.0), default=0.0))

@@ -310,7 +310,7 @@ bas AS (SELECT *, avg(basis_rate) OVER (PARTITION BY symbol ORDER BY date ROWS 4
 def _basis(spark, sf):
     f = futures(spark, sf)
     mean = f.groupBy("date").agg(F.avg("close").alias("close"))
-    spot = f.select("symbol", "date").join(F.broadcast(mean), "date")
+    spot = f.select("symbol", "date").join(mean, "date")
     return V.basis(f, spot)
 
 
