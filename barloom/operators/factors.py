@@ -111,7 +111,7 @@ def core_factors(panel: DataFrame, bench: DataFrame, period: int = 20, **windows
 
 def winsorize(panel: DataFrame, value: str = "value", by: Sequence[str] = ("date",),
               lower: float = 0.025, upper: float = 0.975) -> DataFrame:
-    """Clip to the group's interpolated quantiles. One bound row per date and indicator: broadcast."""
+    """Clip to the group's interpolated quantiles. One bound row per date and indicator."""
     q = quantiles(panel, by, value, {"_q_lo": lower, "_q_hi": upper})
     return panel.join(q, list(by), "left").withColumn(
         value, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_q_lo")), F.col("_q_hi")))
@@ -274,7 +274,7 @@ def long_short_spread(stats: DataFrame, n_groups: int = 5) -> DataFrame:
 # ---- factor combination --------------------------------------------------------------------------
 
 def zscore_columns(panel: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """z-score of several columns per date in one aggregate and one broadcast of per-date moments."""
+    """z-score of several columns per date in one aggregate and one join of per-date moments."""
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}")]
@@ -513,7 +513,7 @@ def universe_filter(master: DataFrame, asof: Column, board: str | None = None, m
 
 
 def fundamental_weights(rows: DataFrame, pe_min=0.0, pe_max=30.0, pb_max=3.0, roe_min=8.0) -> DataFrame:
-    """PE/PB/ROE filter; weight 1/#qualified per date, else 0. Counts: one row per date, broadcast."""
+    """PE/PB/ROE filter; weight 1/#qualified per date, else 0. Counts: one row per date."""
     ok = F.coalesce((F.col("pe") > pe_min) & (F.col("pe") <= pe_max) & (F.col("pb") <= pb_max)
                     & (F.col("roe") >= roe_min), F.lit(False))
     r = rows.withColumn("_ok", ok)

@@ -99,7 +99,7 @@ def rebalance_log(executed: DataFrame) -> DataFrame:
 # ---- weights and returns -------------------------------------------------------------------------
 
 def active_weights(signals: DataFrame, sig: str = "sig", by: Sequence[str] = ("date",)) -> DataFrame:
-    """sig / number of non-zero signals of the date. Counts have one row per date: broadcast."""
+    """sig / number of non-zero signals of the date. Counts have one row per date."""
     n = signals.where(c(sig) != 0).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     return signals.join(n, list(by), "left").withColumn(
         "weight", F.coalesce(c(sig) / c("_n"), F.lit(0.0))).drop("_n")
