@@ -26,7 +26,8 @@ from barloom.llm.common import batch, col_or_empty, merge_partitions, query, sto
 from barloom.llm.components import components
 
 SEED = 42
-BLOCK_BITS = 5
+#: Fingerprints for each anchor that blocks of a size may have to hold; beyond, smaller blocks make more anchors.
+PER_ANCHOR = 512
 SLICE = 1 << 16
 TOGETHER = 512
 
@@ -77,6 +78,11 @@ def block_masks(bits: int) -> np.ndarray:
     return np.array([((1 << min(bits, 64 - a)) - 1) << a for a in range(0, 64, bits)], np.uint64)
 
 
+def block_bits(fingerprints: int) -> int:
+    """The largest blocks, of 5 bits to 2, that leave few fingerprints for each anchor. Any size gives the same links."""
+    return next((bits for bits in (5, 4, 3) if fingerprints <= PER_ANCHOR << len(block_masks(bits))), 2)
+
+
 def anchors(fp: np.ndarray, distance: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor, lives there) of each fingerprint and each anchor it is replicated to."""
     masks = block_masks(bits)
@@ -123,7 +129,7 @@ ANCHOR_SCHEMA = pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("fp2", p
 EDGE_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def links(distinct: DataFrame, distance: int, distance2: int = 64, bits: int = BLOCK_BITS) -> DataFrame:
+def links(distinct: DataFrame, distance: int, distance2: int = 64, bits: int = 5) -> DataFrame:
     """Edges (u, v), up to connectivity, between nodes that differ in at most ``distance`` bits of ``fp`` and
     ``distance2`` bits of ``fp2``.
 
@@ -176,7 +182,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, words2:
     """
     marked = store(fingerprints(docs, words, words2, id_col, text_col))
     distinct = store(marked.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node")))
-    found = components(links(distinct.where(F.col("node").isNotNull()), distance, distance2)).withColumnRenamed("node", "_node")
+    bits = block_bits(distinct.count())
+    found = components(links(distinct.where(F.col("node").isNotNull()), distance, distance2, bits)).withColumnRenamed("node", "_node")
     component = distinct.join(found, F.col("node") == F.col("_node"), "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id"))
     return marked.join(component, ["fp", "fp2"]).select("doc_id", "fp", "component_id")
 

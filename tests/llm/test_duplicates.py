@@ -70,7 +70,7 @@ def test_simhash_against_all_pairs(spark):
     assert [got[i].component_id for i in ids] == plain_components(fp, lambda a, b: (a ^ b).bit_count() <= 6, ids)
 
 
-@pytest.mark.parametrize(("distance", "bits"), [(0, 5), (1, 7), (2, 5), (3, 5), (2, 3)])
+@pytest.mark.parametrize(("distance", "bits"), [(0, 5), (1, 7), (2, 5), (3, 5), (2, 4), (2, 3), (3, 2)])
 def test_linked_fingerprints_meet_at_an_anchor(distance, bits):
     pick = random.Random(distance * 10 + bits)
     a = np.array([pick.getrandbits(64) for _ in range(200)], np.uint64)
@@ -81,6 +81,10 @@ def test_linked_fingerprints_meet_at_an_anchor(distance, bits):
     assert all((r, home[r]) in set(zip(row.tolist(), anchor.tolist(), strict=True)) for r in range(200))
 
 
+def test_blocks_shrink_as_fingerprints_grow():
+    assert [simhash.block_bits(n) for n in (0, 10**6, 10**7, 10**9, 10**12, 10**13)] == [5, 5, 4, 3, 2, 2]
+
+
 def test_keep_first_keeps_one_of_each_group(spark):
     pick = random.Random(4)
     long = [" ".join(pick.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(pick.randint(0, 300)) for _ in range(400)) for _ in range(4)]
