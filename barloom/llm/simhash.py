@@ -9,6 +9,10 @@ changed bits than the threshold. Two fingerprints that link therefore always mee
 
 Equal fingerprints count as one before anything is compared, so a group of copies is one row however large it is.
 Within an anchor only a spanning forest of the links is kept; components are then found over all anchors.
+
+Fingerprints estimate a similarity. Where links must have one (``near_copies``), components of fingerprints only propose
+pairs, ``BANDS`` keys of ``ROWS`` MinHashes propose the pairs that fingerprints miss, and every link is a pair whose
+shingle sets have been compared exactly.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import batch, col_or_empty, merge_partitions, query, store, table
+from barloom.llm.common import batch, col_or_empty, merge_partitions, mix, query, store, table, unused
 from barloom.llm.components import components
 
 SEED = 42
@@ -30,6 +34,9 @@ SEED = 42
 PER_ANCHOR = 512
 SLICE = 1 << 16
 TOGETHER = 512
+#: A pair of similarity s shares no key with probability (1 - s**ROWS)**BANDS: 3e-8 at 0.8.
+BANDS, ROWS = 24, 3
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -172,14 +179,124 @@ def links(distinct: DataFrame, distance: int, distance2: int = 64, bits: int = 5
     return placed.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, words2: int | None = None, distance2: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingle hashes that is not empty, one for each band."""
+    low = np.full(len(FACTORS), ~np.uint64(0))
+    for a in range(0, len(shingles), 2048):
+        np.minimum(low, (shingles[None, a : a + 2048] * FACTORS[:, None]).min(axis=1), out=low)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = mix(keys + low[k::ROWS])
+    return keys
+
+
+PROFILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+
+def profiles(docs: DataFrame, words: int, words2: int) -> DataFrame:
+    """Of every row of (doc_id, text_hash, text): both fingerprints, and hash, size and band keys of its set of
+    ``words2``-word shingles."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            fp, fp2, node, n, keys = [], [], [], [], []
+            for t in rb.column(2).to_pylist():
+                raw = t.encode()
+                all_ = shingle_hashes(raw, words2)
+                own = np.unique(all_)
+                fp.append(fingerprint(shingle_hashes(raw, words)))
+                fp2.append(fingerprint(all_))
+                node.append(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), SEED))
+                n.append(len(own))
+                keys.append(band_keys(own).view(np.int64) if len(own) else [])
+            made = {k: np.array(v, np.uint64).view(np.int64) for k, v in (("fp", fp), ("fp2", fp2), ("node", node))}
+            yield batch({"doc_id": rb.column(0), "text_hash": rb.column(1), **made, "n": n, "keys": keys}, PROFILE_SCHEMA)
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint, fp2 bigint, node bigint, n bigint, keys array<bigint>")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of ``words``-word shingles have a Jaccard similarity of ``similar`` or more.
+
+    ``texts`` has one (node, text) for each node."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for rb in it:
+            u, v = rb.column(0).to_pylist(), rb.column(1).to_pylist()
+            linked = np.zeros(len(u), bool)
+            for i, (at, a, b) in enumerate(zip(v, rb.column(2), rb.column(3), strict=True)):
+                if last[0] != at:
+                    last = (at, np.unique(shingle_hashes(b.as_py().encode(), words)))
+                own = np.unique(shingle_hashes(a.as_py().encode(), words))
+                both = len(np.intersect1d(own, last[1], assume_unique=True))
+                linked[i] = both >= similar * (len(own) + len(last[1]) - both)
+            at = np.flatnonzero(linked)
+            yield batch({"u": np.array(u, np.int64)[at], "v": np.array(v, np.int64)[at]}, EDGE_SCHEMA)
+
+    a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "uv")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u bigint, v bigint")
+
+
+def near_copies(docs: DataFrame, words: int, distance: int, words2: int, distance2: int, similar: float) -> DataFrame:
+    """(doc_id, text_hash, fp, first) of every row of (doc_id, text_hash, text); ``first`` is the (doc_id, text_hash)
+    that is smallest in the row's component.
+
+    A link is a pair of rows whose sets of ``words2``-word shingles have a Jaccard similarity of ``similar`` or more.
+    Rows of equal sets are one node. First every node is compared with the smallest of its component by fingerprints
+    (see ``near_duplicates``) and with the smallest node that shares one of its band keys, so a large group of copies
+    takes as many comparisons as it has members; then nodes that share a key and are not connected yet are compared.
+    """
+    marked = store(profiles(docs, words, words2))
+    by_doc = F.struct("doc_id", "text_hash")
+    nodes = store(marked.groupBy("node").agg(F.min(by_doc).alias("row"), F.min(F.struct("fp", "fp2")).alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    distinct = nodes.groupBy("f.fp", "f.fp2").agg(F.min("node").alias("node"))
+    held = distinct.withColumnRenamed("node", "one")
+    by_print = components(links(distinct, distance, distance2, block_bits(distinct.count()))).withColumnRenamed("node", "one")
+    proposed = nodes.select("node", F.col("f.fp").alias("fp"), F.col("f.fp2").alias("fp2")).join(held, ["fp", "fp2"]).join(by_print, "one", "left").select("node", F.coalesce("component", "one").alias("hub"))
+
+    fits = lambda a, b: F.least(a, b) >= similar * F.greatest(a, b)
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("held"), F.min(F.struct("node", "n")).alias("hub")).where("held > 1").drop("held")
+    members = store(keyed.join(shared, "key"))
+    hubs = members.where(fits(F.col("n"), F.col("hub.n"))).select("node", F.col("hub.node").alias("hub"))
+    pairs = store(hubs.union(proposed).where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct())
+
+    wanted = members.select("node").union(pairs.select("u")).union(pairs.select("v")).distinct()
+    rows = nodes.join(wanted, "node").select("node", "row.doc_id", "row.text_hash")
+    texts = store(docs.join(rows, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
+    edges = store(confirmed(pairs, texts, words2, similar))
+
+    labels = components(edges).select("node", F.col("component").alias("label"))
+    labelled = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    open_ = store(labelled.join(mixed, "key"))
+    a, b = (open_.select("key", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("label").alias(f"label_{k}")) for k in "uv")
+    left = a.join(b, "key").where((F.col("u") > F.col("v")) & (F.col("label_u") != F.col("label_v")) & fits(F.col("n_u"), F.col("n_v"))).select("u", "v").distinct()
+    more = store(confirmed(store(left.join(pairs, ["u", "v"], "left_anti")), texts, words2, similar))
+
+    found = nodes.select("node", "row").join(components(edges.union(more)), "node", "left").select("node", "row", F.coalesce("component", "node").alias("component"))
+    first = found.groupBy("component").agg(F.min("row").alias("first"))
+    return marked.select("doc_id", "text_hash", "fp", "node").join(found.select("node", "component").join(first, "component"), "node").select("doc_id", "text_hash", "fp", "first")
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), col_or_empty(text_col).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, words2: int | None = None, distance2: int = 64, id_col: str = "doc_id", text_col: str = "text", similar: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row; the component is its smallest doc_id.
 
     Links need ``distance`` bits in the fingerprints of ``words``-word shingles and, with ``words2``, ``distance2`` bits
-    in those of ``words2``-word shingles too. Null texts count as empty; empty texts share fingerprint zero and link
-    like any others. Repeated rows share a component. A null id stays null and names no component, unless no other id
+    in those of ``words2``-word shingles too. With ``similar`` they are the links of ``near_copies`` instead, and rows
+    with a null id are left out. Null texts count as empty; empty texts share fingerprint zero and link like any others.
+    Repeated rows share a component. A null id stays null and names no component, unless no other id
     is there. An empty table gives no rows; extra columns are not read.
     """
+    if similar is not None:
+        hashed = _hashed(docs, id_col, text_col)
+        named = near_copies(hashed.where(F.col("doc_id").isNotNull()), words, distance, words2, distance2, similar)
+        return named.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
     marked = store(fingerprints(docs, words, words2, id_col, text_col))
     distinct = store(marked.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node")))
     bits = block_bits(distinct.count())
@@ -188,21 +305,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, words2:
     return marked.join(component, ["fp", "fp2"]).select("doc_id", "fp", "component_id")
 
 
-#: Of near copies with five-word similarity s, single words differ by a few per cent: their one-word fingerprints are a
-#: few bits apart. Five-word fingerprints of similarity 0.8 differ in 9.7 bits on average, those of unrelated texts in 32.
-STAGE = {"words": 1, "distance": 3, "words2": 5, "distance2": 12}
+#: Near copies have a five-word similarity of 0.8 or more. Fingerprints within these distances propose pairs only.
+STAGE = {"words": 1, "distance": 3, "words2": 5, "distance2": 12, "similar": 0.8}
 
 
 def keep_first(docs: DataFrame, **links) -> DataFrame:
     """``docs`` with one row for each component of near copies: that of the smallest doc_id. Rows with a null id stay.
 
-    Candidates are found on one-word fingerprints, whose distance grows slowly with edits, and accepted on five-word
-    fingerprints at the distance that a similarity of about 0.8 has.
+    Copies are told by exact five-word similarity (see ``near_copies``). Rows are known by doc_id and text: of rows of
+    one id and unrelated texts all stay.
     """
-    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), **{**STAGE, **links})
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+    name = unused("text_hash", docs)
+    docs_ = docs.withColumn(name, F.xxhash64("text"))
+    found = near_copies(_hashed(docs.where(F.col("doc_id").isNotNull()), "doc_id", "text"), **{**STAGE, **links})
+    gone = found.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("text_hash") != F.col("first.text_hash"))).select("doc_id", F.col("text_hash").alias(name)).distinct()
+    kept = docs_.join(gone, ["doc_id", name], "left_anti")
+    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", name]).unionByName(kept.where(F.col("doc_id").isNull())).select(docs.columns)
 
 
 @query("op7_simhash")

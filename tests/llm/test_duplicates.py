@@ -97,6 +97,31 @@ def test_keep_first_keeps_one_of_each_group(spark):
     assert simhash.keep_first(docs.limit(0)).count() == 0
 
 
+def five_words(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_are_those_of_exact_similarity(spark):
+    pick = random.Random(11)
+    word = lambda: "w%d" % pick.randint(0, 5000)
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(pick.choice([8, 60, 200, 500]))]
+        for edits in (0, 1, 0.01, 0.02, 0.025, 0.04, 0.07):  # similarities from 1 to about 0.5
+            w = list(base)
+            for at in pick.sample(range(len(w)), int(edits if edits >= 1 else edits * len(w))):
+                w[at] = word()
+            texts.append(" ".join(w))
+    sets = [five_words(t) for t in texts]
+    linked = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = plain_components(sets, linked, range(len(texts)))
+    assert len(texts) > len(set(want)) > 60  # some groups of seven are apart
+    got = simhash.near_duplicates(frame(spark, texts), **simhash.STAGE).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+    assert {r.doc_id for r in simhash.keep_first(frame(spark, texts)).collect()} == set(want)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
