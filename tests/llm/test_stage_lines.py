@@ -28,3 +28,13 @@ def test_lines_of_a_row_are_told_by_its_text(spark):
 def test_stage_runs_no_python(spark):
     plan = corpus_pipeline.line_dedup(spark, frame(spark, ["a\nb"] * 5), "")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    assert rest(spark, [passage("x", 51), "1 " + passage("y", 50), passage("x", 51), "23 " + passage("y", 50), passage("z", 50), passage("z", 50)]) == [passage("x", 51), "1 " + passage("y", 50), "", "", passage("z", 50), passage("z", 50)]
+
+
+def test_lines_that_only_begin_alike_stay(spark):
+    short = [f"Thanks for the {a}{a} {b}{b}" for a, b in zip("abcde", "vwxyz", strict=True)] + [f"All rights are reserved by {a}" for a in "abcde"]
+    long = [" ".join(w if i % 3 else w + a for i, w in enumerate(passage("x").split())) for a in "abcde"]
+    assert rest(spark, short + long) == short + long
