@@ -26,7 +26,8 @@ SEGMENTS = (1, 4, 16)
 QUERY_BLOCK = 2048
 CHUNK = 1024
 SLACK = 1e-6
-#: Products of components below this, summed over any sensible dimension, are exact in 64-bit integers.
+#: Products of components below this, summed over any sensible dimension, are exact in 64-bit integers. Vectors with larger
+#: ones survive every bound and are scored with Python's integers.
 LARGEST = 2.0**24
 
 
@@ -75,19 +76,25 @@ def search(query_ids: np.ndarray, queries: np.ndarray, stats: list[np.ndarray],
             else:
                 bound = np.einsum("ij,ij->i", of_queries[qi], of_rows[ri])
                 alive[qi, ri] = bound + np.abs(bound) * SLACK + SLACK >= best.least[qi]
+    wide_query, wide_row = ((np.abs(x) >= LARGEST).any(axis=1) for x in (queries, rows))
+    alive |= wide_query[:, None] | wide_row[None, :]
     alive &= query_ids[:, None] != ids[None, :]
     for q in np.flatnonzero(alive.any(axis=1)).tolist():
         at = np.flatnonzero(alive[q])
-        best.add(q, ids[at], rows[at] @ queries[q])
+        scores = rows[at] @ queries[q]
+        if len(wide := np.flatnonzero(wide_row[at] | wide_query[q])):
+            scores[wide] = (rows[at[wide]].astype(object) @ queries[q].astype(object)).tolist()  # fails beyond a bigint
+        best.add(q, ids[at], scores)
 
 
 SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): integer vectors of the rows whose components are all there, finite and within range."""
-    scaled = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * SCALE))
-    good = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < LARGEST))
+    """(vec_id, v): integer vectors of the rows whose components are all there and finite."""
+    whole = lambda x: F.when(F.abs(x) < 2.0**63, F.floor(x)).otherwise(F.raise_error(F.lit("a scaled component is beyond a bigint")).cast("bigint"))
+    scaled = F.transform(F.col(vector_col), lambda x: whole(x.cast("double") * SCALE))
+    good = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(good & (F.size(vector_col) > 0)).select(F.col(id_col).cast("bigint").alias("vec_id"), scaled.alias("v"))
 
 
@@ -104,9 +111,9 @@ def _matrices(rb: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products over ``vectors``, ties to the smaller id.
 
-    A row never matches a query of its own id. Rows that are null or hold a null, non-finite or very large (2^14 and
-    up) component, or no component, take no part, neither do rows of another dimension than the query's. Repeated ids
-    are candidates each on their own. With fewer than k candidates a query gets fewer rows; empty tables give none.
+    A row never matches a query of its own id. Rows that are null or hold a null or non-finite component, or no
+    component, take no part, neither do rows of another dimension than the query's. A component or score beyond a
+    bigint is an error, as in SQL. Repeated ids are candidates each on their own. With fewer than k candidates a query gets fewer rows; empty tables give none.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
