@@ -36,6 +36,8 @@ SLICE = 1 << 16
 TOGETHER = 512
 #: A pair of similarity s shares no key with probability (1 - s**ROWS)**BANDS: 3e-8 at 0.8.
 BANDS, ROWS = 24, 3
+#: Nodes of a block of a key; a cell holds two blocks at most.
+CELL = 128
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -238,6 +240,84 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similar: float) ->
     return pairs.join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u bigint, v bigint")
 
 
+def cell_links(key: int, block: np.ndarray, node: np.ndarray, label: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], similar: float) -> tuple[list[int], list[int]]:
+    """Links, up to connectivity, between nodes of one cell that are not connected; see ``open_links``."""
+    n = np.array([len(x) for x in sets])
+    i, j = np.triu_indices(len(node), 1)
+    if block.min() != block.max():
+        i, j = i[block[i] != block[j]], j[block[i] != block[j]]
+    fits = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]))
+    i, j = i[fits], j[fits]
+    shared = keys[i] == keys[j]
+    mine = keys[i, shared.argmax(axis=1)] == key  # a pair that shares several keys is compared at the first of them
+    names, at = np.unique(label, return_inverse=True)
+    root = list(range(len(names)))
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    u, v = [], []
+    for a, b in zip(i[mine].tolist(), j[mine].tolist(), strict=True):
+        x, y = find(int(at[a])), find(int(at[b]))
+        if x != y:
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both >= similar * (n[a] + n[b] - both):
+                root[x] = y
+                u.append(max(int(node[a]), int(node[b])))
+                v.append(min(int(node[a]), int(node[b])))
+    return u, v
+
+
+SET_SCHEMA = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("set", pa.binary())])
+
+
+def open_links(labelled: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
+    """Edges (u, v) between nodes that share a key, have different labels and are similar, up to connectivity.
+
+    ``labelled`` has (key, node, label). The nodes of a key are cut into blocks of about ``CELL`` by hash, and each node
+    goes with its shingle set to every cell, a pair of blocks of the key. A cell's pairs are compared where they lie, so
+    only links are rows, and a key of many nodes is many cells of bounded size.
+    """
+
+    def profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            for node, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+                own = np.unique(shingle_hashes(text.encode(), words))
+                yield batch({"node": [node], "keys": [band_keys(own).view(np.int64)], "set": [own.astype("<u8").tobytes()]}, SET_SCHEMA)
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def linked() -> pa.RecordBatch:
+            block, node, label = (np.array([h[k] for h in held], np.int64) for k in range(3))
+            sets = [np.frombuffer(h[4], "<u8") for h in held]
+            u, v = cell_links(cell[0], block, node, label, np.array([h[3] for h in held], np.int64), sets, similar)
+            return batch({"u": u, "v": v}, EDGE_SCHEMA)
+
+        for rb in it:
+            for row in zip(*(rb.column(k) for k in range(8)), strict=True):
+                key, x, y, *rest = (value.as_py() for value in row)
+                if (key, x, y) != cell:
+                    if held:
+                        yield linked()
+                    cell, held = (key, x, y), []
+                held.append(rest)
+        if held:
+            yield linked()
+
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.ceil(F.count("*") / CELL).cast("int").alias("blocks")).where("a <> b").select("key", "blocks")
+    open_ = store(labelled.join(mixed, "key").select("key", "node", "label", "blocks"))
+    sets = store(texts.join(open_.select("node").distinct(), "node").select("node", "text").mapInArrow(profile, "node bigint, keys array<bigint>, set binary"))
+    placed = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = placed.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "label")
+    n = merge_partitions(labelled.sparkSession)
+    rows = cells.join(sets, "node").select("key", "x", "y", "block", "node", "label", "keys", "set")
+    return rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(compare, "u bigint, v bigint").distinct()
+
+
 def near_copies(docs: DataFrame, words: int, distance: int, words2: int, distance2: int, similar: float) -> DataFrame:
     """(doc_id, text_hash, fp, first) of every row of (doc_id, text_hash, text); ``first`` is the (doc_id, text_hash)
     that is smallest in the row's component.
@@ -245,7 +325,8 @@ def near_copies(docs: DataFrame, words: int, distance: int, words2: int, distanc
     A link is a pair of rows whose sets of ``words2``-word shingles have a Jaccard similarity of ``similar`` or more.
     Rows of equal sets are one node. First every node is compared with the smallest of its component by fingerprints
     (see ``near_duplicates``) and with the smallest node that shares one of its band keys, so a large group of copies
-    takes as many comparisons as it has members; then nodes that share a key and are not connected yet are compared.
+    takes as many comparisons as it has members; then nodes that share a key and are not connected yet are compared where
+    they meet (see ``open_links``).
     """
     marked = store(profiles(docs, words, words2))
     by_doc = F.struct("doc_id", "text_hash")
@@ -268,12 +349,8 @@ def near_copies(docs: DataFrame, words: int, distance: int, words2: int, distanc
     edges = store(confirmed(pairs, texts, words2, similar))
 
     labels = components(edges).select("node", F.col("component").alias("label"))
-    labelled = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    open_ = store(labelled.join(mixed, "key"))
-    a, b = (open_.select("key", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("label").alias(f"label_{k}")) for k in "uv")
-    left = a.join(b, "key").where((F.col("u") > F.col("v")) & (F.col("label_u") != F.col("label_v")) & fits(F.col("n_u"), F.col("n_v"))).select("u", "v").distinct()
-    more = store(confirmed(store(left.join(pairs, ["u", "v"], "left_anti")), texts, words2, similar))
+    labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    more = store(open_links(labelled, texts, words2, similar))
 
     found = nodes.select("node", "row").join(components(edges.union(more)), "node", "left").select("node", "row", F.coalesce("component", "node").alias("component"))
     first = found.groupBy("component").agg(F.min("row").alias("first"))

@@ -122,6 +122,24 @@ def test_near_copies_are_those_of_exact_similarity(spark):
     assert {r.doc_id for r in simhash.keep_first(frame(spark, texts)).collect()} == set(want)
 
 
+def test_a_large_group_that_is_mostly_apart_is_compared_in_many_cells(spark, monkeypatch):
+    """Copies of one text that share keys but are mostly less than 0.8 alike: links are found across blocks of a key."""
+    monkeypatch.setattr(simhash, "CELL", 4)
+    pick = random.Random(12)
+    base = ["b%d" % i for i in range(300)]
+    texts = []
+    for edits in [9] * 50 + [4] * 20 + [3] * 20:
+        w = list(base)
+        for at in pick.sample(range(len(w)), edits):
+            w[at] = "w%d" % pick.randint(0, 10**6)
+        texts.append(" ".join(w))
+    sets = [five_words(t) for t in texts]
+    want = plain_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b), range(len(texts)))
+    assert 1 < len(set(want)) < len(texts)
+    got = simhash.near_duplicates(frame(spark, texts), **simhash.STAGE).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
