@@ -193,24 +193,34 @@ def segment_members(directions, starts, ends, strengths, amplitudes, min_count:
     return pairs
 
 
+def standard_features(pairs, directions, starts, ends) -> list[bool]:
+    """Which (segment, position) pairs stay in their segment's feature sequence once contained counter-strokes are gone."""
+    counter: dict[int, list[int]] = {}
+    first: dict[int, int] = {}
+    for seg, pos in pairs:
+        if directions[pos] != directions[first.setdefault(seg, pos)]:
+            counter.setdefault(seg, []).append(pos)
+    kept = {(seg, at[k]) for seg, at in counter.items() for k in _reduced([(min(starts[p], ends[p]), max(starts[p], ends[p])) for p in at])}
+    return [pair in kept for pair in pairs]
+
+
 def _segments_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("seq").reset_index(drop=True)
-    pairs = segment_members(pdf["dir"].tolist(), pdf["start_price"].tolist(), pdf["end_price"].tolist(), pdf["strength"].tolist(), pdf["amplitude"].tolist())
-    return pd.DataFrame({"code": [pdf["code"].iloc[0]] * len(pairs), "seg": [s for s, _ in pairs], "seq": [int(pdf["seq"][p]) for _, p in pairs]})
+    d, a, b = pdf["dir"].tolist(), pdf["start_price"].tolist(), pdf["end_price"].tolist()
+    pairs = segment_members(d, a, b, pdf["strength"].tolist(), pdf["amplitude"].tolist())
+    return pd.DataFrame({"code": [pdf["code"].iloc[0]] * len(pairs), "seg": [s for s, _ in pairs], "seq": [int(pdf["seq"][p]) for _, p in pairs], "feature": standard_features(pairs, d, a, b)})
 
 
 def segment_strokes(st: DataFrame) -> DataFrame:
-    """(code, seg, seq): which strokes make up each segment."""
+    """(code, seg, seq, feature): which strokes make up each segment, and which of them are its standard features."""
     code = st.schema["code"].dataType.simpleString()
     return st.select("code", "seq", "dir", "start_price", "end_price", "strength", "amplitude").groupBy("code").applyInPandas(
-        _segments_pdf, f"code {code}, seg long, seq long")
+        _segments_pdf, f"code {code}, seg long, seq long, feature boolean")
 
 
 def feature_sequence(st: DataFrame, members: DataFrame) -> DataFrame:
-    """Strokes against their segment's direction."""
-    d = members.join(st, ["code", "seq"])
-    first = d.groupBy("code", "seg").agg(F.min_by("dir", "seq").alias("seg_dir"))
-    return d.join(first, ["code", "seg"]).where(c("dir") != c("seg_dir"))
+    """The standard feature sequence: strokes against their segment's direction, none contained in its neighbour."""
+    return members.where("feature").join(st, ["code", "seq"])
 
 
 def segments(st: DataFrame, members: DataFrame, min_amplitude: float = 0.005) -> DataFrame:
@@ -412,6 +422,17 @@ def third_points(segs: DataFrame, zs: DataFrame) -> DataFrame:
                                       c("t_strength").alias("strength"), F.lit(0.9).alias("reliability"))
 
 
+def nest_levels(lower: DataFrame, upper: DataFrame, last_day: int) -> DataFrame:
+    """Each lower-level row with the upper-level row whose span holds it (``upper_seq``, null if none does).
+
+    Rows of a level follow one another without overlapping, so the only candidate is the last upper row that starts no
+    later: an as-of step instead of an interval join. ``last_day`` is added to upper ends that name a bar by its first day.
+    """
+    d = asof(lower, upper, "start_ts", "start_ts", ["seq", "dir", "end_ts"], "upper_")
+    held = c("end_ts") <= F.date_add("upper_end_ts", last_day)
+    return d.select(*lower.columns, F.when(held, c("upper_seq")).alias("upper_seq"), F.when(held, c("upper_dir")).alias("upper_dir"))
+
+
 def confirm_levels(points: DataFrame, level: str, other: DataFrame, days: int, bonus: float) -> DataFrame:
     """Points of ``level`` confirmed by ``other`` points of the same side within ``days``; the bonus counts once.
 

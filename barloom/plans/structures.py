@@ -1,5 +1,14 @@
-"""Price-structure queries on weekly brand bars. Zones, points and scores take the strokes as their segments."""
+"""Price-structure queries on brand bars.
 
+Bars, fractals, strokes, MACD zones and patterns are read off weekly bars. Segments need many strokes, so segments and
+all that stands on them (zones, trend, points, composite, structure signals) are read off daily bars; queries on two
+levels build both.
+"""
+
+import re
+from functools import cached_property
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import ladder
@@ -30,18 +39,56 @@ sk1 AS (SELECT k.code, k.seq, k.dir, b.high, b.low, b.volume, b.close, lag(b.clo
 sk2 AS (SELECT code, seq, max(high) AS high, min(low) AS low, count(*) AS n_bars, sum(volume) AS volume, coalesce(avg(CASE WHEN pcl IS NOT NULL THEN CASE WHEN dir = 1 THEN (close >= pcl)::INT ELSE (close <= pcl)::INT END END), 1) AS purity FROM sk1 GROUP BY 1, 2),
 sk3 AS (SELECT sk0.*, high, low, n_bars, volume, purity, abs((end_price - start_price) / start_price) AS amplitude FROM sk0 JOIN sk2 USING (code, seq)),
 sk AS MATERIALIZED (SELECT *, amplitude * 0.7 + least(1, volume / n_bars / 1e6) * 0.3 AS strength FROM sk3)"""
-ZS = "RECURSIVE " + SK + """,
+def daily(text):
+    """SQL on weekly bars made to read daily ones."""
+    return text.replace(D.BRAND_WEEK, D.BRAND_DAY.replace("dbars", "bars"))
+
+
+def suffixed(text, suffix="_w"):
+    """The CTEs of a text under names of their own, so that two levels stand side by side."""
+    names = re.findall(r"(?:^|,)\s*([a-z][a-z0-9_]*)(?:\([^()]*\))? AS (?:MATERIALIZED )?\(", text)
+    return re.sub(r"\b(" + "|".join(sorted(set(names), key=len, reverse=True)) + r")\b(?!')", rf"\1{suffix}", text)
+
+
+def without(text, start):
+    """``text`` after ``start``, to be put behind another text that begins alike."""
+    assert text.startswith(start + ",")
+    return text[len(start) + 1:]
+
+
+# strokes are ``bi`` and segments ``sk`` from here on
+BI = "RECURSIVE " + daily(SK).replace("sk AS MATERIALIZED", "bi AS MATERIALIZED")
+_fades = lambda x, share: f"(w[-4].{x} >= w[-3].{x} AND w[-3].{x} >= w[-2].{x} AND w[-2].{x} >= w[-1].{x} AND w[-1].{x} < w[-4].{x} * {share})"
+_kept = """CASE WHEN len({0}) > 0 THEN list_reduce(list_transform({0}, lambda y: [y]), lambda a, y: CASE WHEN y[1].lo >= a[-1].lo AND y[1].hi <= a[-1].hi THEN a
+    WHEN y[1].lo <= a[-1].lo AND y[1].hi >= a[-1].hi THEN list_concat(a[1:len(a) - 1], y) ELSE list_concat(a, y) END) ELSE [] END"""
+SEG = BI + f""",
+bl AS MATERIALIZED (SELECT code, count(*) AS n, list(struct_pack(q := seq, d := dir, lo := least(start_price, end_price), hi := greatest(start_price, end_price), e := end_price, s := strength, a := amplitude) ORDER BY seq) AS l FROM bi GROUP BY code),
+sr AS (SELECT code, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS o, CAST(NULL AS BIGINT) AS m0, CAST(NULL AS BIGINT) AS m1 FROM bl
+  UNION ALL
+  SELECT code, i + 1, CASE WHEN shut THEN i ELSE o END, CASE WHEN shut OR (i = n AND i - o >= 2) THEN o END, CASE WHEN shut AND i - o >= 3 THEN i - 1 WHEN shut OR (i = n AND i - o >= 2) THEN i END
+  FROM (SELECT *, coalesce(i - o >= 2 AND len(f) > 0 AND ((i - o >= 4 AND (i - o >= 8 OR {_fades("s", 0.7)} OR {_fades("a", 0.5)}))
+      OR (len(f) >= 3 AND len(k) >= 3 AND ((k[-2].e > k[-3].e AND k[-2].e > k[-1].e) OR (k[-2].e < k[-3].e AND k[-2].e < k[-1].e)))), false) AS shut
+    FROM (SELECT *, {_kept.format("f")} AS k FROM (SELECT *, list_filter(w, lambda x: x.d <> w[1].d) AS f FROM (SELECT r.*, bl.n, bl.l[r.o:r.i] AS w FROM sr r JOIN bl ON bl.code = r.code WHERE r.i <= bl.n))))),
+sm AS MATERIALIZED (SELECT code, row_number() OVER (PARTITION BY code ORDER BY m0) - 1 AS seg, m0, m1 FROM sr WHERE m0 IS NOT NULL),
+sw AS (SELECT m.code, m.seg, list_filter(bl.l[m.m0:m.m1], lambda x: x.d <> bl.l[m.m0].d) AS f FROM sm m JOIN bl ON bl.code = m.code),
+sf1 AS (SELECT code, seg, unnest({_kept.format("f")}) AS x FROM sw WHERE len(f) > 0),
+sb AS (SELECT m.seg, k.*, row_number() OVER q AS k, first_value(dir) OVER q AS d FROM sm m JOIN bi k ON k.code = m.code AND k.seq BETWEEN m.m0 AND m.m1 WINDOW q AS (PARTITION BY m.code, m.seg ORDER BY k.seq)),
+sc AS (SELECT code, seg, max(d) AS dir, min(start_ts) AS start_ts, max(end_ts) AS end_ts, arg_min(start_price, seq) AS start_price, arg_max(end_price, seq) AS end_price, max(high) AS high, min(low) AS low, count(*) AS n_strokes,
+  sum(n_bars) AS n_bars, avg(strength) AS bs, avg((dir = d)::INT) AS share, avg((dir = CASE WHEN k % 2 = 1 THEN d ELSE -d END)::INT) AS alt FROM sb GROUP BY 1, 2),
+sd AS (SELECT *, abs((end_price - start_price) / start_price) AS amplitude, CASE WHEN n_strokes >= 3 THEN alt * 0.7 + (1 - share) * 0.3 ELSE 0 END AS integrity FROM sc),
+sk AS MATERIALIZED (SELECT *, amplitude * 0.5 + bs * 0.3 + share * 0.2 AS strength, row_number() OVER (PARTITION BY code ORDER BY seg) AS seq FROM sd WHERE amplitude >= 0.005 AND integrity >= 0.5)"""
+ZS = SEG + """,
 zr AS (SELECT code, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, 0e0 AS rh, 0e0 AS rl, 0e0 AS bh, 0e0 AS bl, false AS emit, CAST(0 AS BIGINT) AS zi, CAST(0 AS BIGINT) AS zn, 0e0 AS zh, 0e0 AS zl FROM (SELECT DISTINCT code FROM sk)
   UNION ALL
-  SELECT code, CASE WHEN n = 0 AND NOT base THEN i + 1 WHEN n > 0 AND NOT ext THEN i + n ELSE i END, CASE WHEN n = 0 THEN CASE WHEN base THEN 3 ELSE 0 END WHEN ext THEN n + 1 ELSE 0 END,
+  SELECT code, CASE WHEN (n = 0 AND NOT base) OR (n > 0 AND NOT ext AND NOT mixed) THEN i + 1 WHEN n > 0 AND NOT ext THEN i + n ELSE i END, CASE WHEN n = 0 THEN CASE WHEN base THEN 3 ELSE 0 END WHEN ext THEN n + 1 ELSE 0 END,
     CASE WHEN n = 0 THEN h3 ELSE least(rh, coalesce(jh, rh)) END, CASE WHEN n = 0 THEN l3 ELSE greatest(rl, coalesce(jl, rl)) END, CASE WHEN n = 0 THEN h3 ELSE bh END, CASE WHEN n = 0 THEN l3 ELSE bl END,
-    n > 0 AND NOT ext, i, n, eh, el
-  FROM (SELECT *, n > 0 AND coalesce(jh IS NOT NULL AND n - 3 < 9 AND least(jhi, eh) > greatest(jlo, el) AND jhi > jlo AND (least(jhi, eh) - greatest(jlo, el)) / (jhi - jlo) >= 0.01, false) AS ext FROM (
+    n > 0 AND NOT ext AND mixed, i, n, eh, el
+  FROM (SELECT *, n > 0 AND EXISTS (SELECT 1 FROM sk x JOIN sk y ON y.code = x.code AND x.seq = y.seq + 1 WHERE x.code = t.code AND x.seq > t.i AND x.seq < t.i + t.n AND x.dir <> y.dir) AS mixed, n > 0 AND coalesce(jh IS NOT NULL AND n - 3 < 9 AND least(jhi, eh) > greatest(jlo, el) AND jhi > jlo AND (least(jhi, eh) - greatest(jlo, el)) / (jhi - jlo) >= 0.01, false) AS ext FROM (
     SELECT z.*, CASE WHEN rh > rl THEN rh ELSE bh END AS eh, CASE WHEN rh > rl THEN rl ELSE bl END AS el, least(s1.high, s2.high, s3.high) AS h3, greatest(s1.low, s2.low, s3.low) AS l3,
       coalesce(least(s1.high, s2.high, s3.high) > greatest(s1.low, s2.low, s3.low) AND (least(s1.high, s2.high, s3.high) - greatest(s1.low, s2.low, s3.low)) / ((s1.high - s1.low + s2.high - s2.low + s3.high - s3.low) / 3) >= 0.01, false) AS base,
       j.high AS jh, j.low AS jl, greatest(j.start_price, j.end_price) AS jhi, least(j.start_price, j.end_price) AS jlo
     FROM zr z LEFT JOIN sk s1 ON s1.code = z.code AND s1.seq = z.i LEFT JOIN sk s2 ON s2.code = z.code AND s2.seq = z.i + 1 LEFT JOIN sk s3 ON s3.code = z.code AND s3.seq = z.i + 2 LEFT JOIN sk j ON z.n > 0 AND j.code = z.code AND j.seq = z.i + z.n
-    WHERE z.n > 0 OR s3.seq IS NOT NULL))),
+    WHERE z.n > 0 OR s3.seq IS NOT NULL) t)),
 zs AS MATERIALIZED (SELECT r.code, row_number() OVER (PARTITION BY r.code ORDER BY zi) AS zone, zi AS first_seq, zi + zn - 1 AS last_seq, f.start_ts, g.end_ts, zl AS low, zh AS high, zn - 3 AS extend_count
   FROM zr r JOIN sk f ON f.code = r.code AND f.seq = zi JOIN sk g ON g.code = r.code AND g.seq = zi + zn - 1 WHERE emit)"""
 ZH = ZS + """,
@@ -50,7 +97,7 @@ zh AS (SELECT *, sum((low > prev_low)::INT) OVER w AS ups, sum((NOT low > prev_l
   count(*) OVER (w ROWS 2 PRECEDING) AS n_recent FROM zh0 WINDOW w AS (PARTITION BY code ORDER BY zone))"""
 SF = ZH + """,
 sf AS (SELECT k.*, row_number() OVER (PARTITION BY k.code ORDER BY k.seq) AS k, z.low AS z_low, z.high AS z_high, z.prev_low AS z_prev_low, z.prev_high AS z_prev_high, z.first_low AS z_first_low, z.first_high AS z_first_high, z.n_zones AS z_n_zones,
-  z.center_cv AS z_center_cv, z.n_recent AS z_n_recent FROM sk k ASOF LEFT JOIN zh z ON z.code = k.code AND k.end_ts >= z.end_ts)"""
+  z.center_cv AS z_center_cv, z.n_recent AS z_n_recent FROM bi k ASOF LEFT JOIN zh z ON z.code = k.code AND k.end_ts >= z.end_ts)"""
 
 
 # ---- Spark bindings ------------------------------------------------------------------------------
@@ -68,8 +115,61 @@ def strokes(spark, sf):
     return cut(X.strokes(X.reduce_fractals(X.fractals(b)), b))
 
 
-def zones(spark, sf):
-    return X.zones(strokes(spark, sf))
+class Level:
+    """All structures of one bar level; each is computed once and only if asked for."""
+
+    def __init__(self, spark, sf, level="day"):
+        self.bars = cut(D.brand_bars(spark, sf, level))
+
+    @cached_property
+    def fractals(self):
+        return X.fractals(self.bars)
+
+    @cached_property
+    def strokes(self):
+        return cut(X.strokes(X.reduce_fractals(self.fractals), self.bars))
+
+    @cached_property
+    def members(self):
+        return cut(X.segment_strokes(self.strokes))
+
+    @cached_property
+    def segments(self):
+        return cut(X.segments(self.strokes, self.members))
+
+    @cached_property
+    def zones(self):
+        return cut(X.zones(self.segments))
+
+    @cached_property
+    def history(self):
+        return X.zone_history(self.zones)
+
+    @cached_property
+    def metrics(self):
+        return X.zone_metrics(self.zones, self.segments)
+
+    @cached_property
+    def first_points(self):
+        return X.first_points(self.segments, self.zones)
+
+    @cached_property
+    def points(self):
+        """Points of all three classes."""
+        first = cut(self.first_points)
+        return cut(first.unionByName(X.second_points(self.segments, first)).unionByName(X.third_points(self.segments, self.zones)))
+
+    @cached_property
+    def macd(self):
+        return cut(I.macd_columns(I.base_columns(self.bars)))
+
+    @cached_property
+    def divergences(self):
+        return X.area_divergence(X.macd_zones(self.macd), self.macd)
+
+    @cached_property
+    def composite(self):
+        return X.composite_trend(self.segments, self.metrics)
 
 
 # ---- merged bars ---------------------------------------------------------------------------------
@@ -165,31 +265,43 @@ def reversals(spark, sf):
     return X.reversal_points(strokes(spark, sf))
 
 
-@query("c14_feature_sequence", "code:s seg:i seq:i dir:i end_price:f8")
+@query("c14_feature_sequence", "code:s seg:i seq:i dir:i end_price:f8", SEG + """
+---
+SELECT f.code, f.seg, k.seq, k.dir, k.end_price FROM sf1 f JOIN bi k ON k.code = f.code AND k.seq = f.x.q""")
 def features(spark, sf):
-    s = strokes(spark, sf)
-    return X.feature_sequence(s, X.segment_strokes(s))
+    """Counter-strokes of each daily segment, contained ones gone."""
+    t = Level(spark, sf)
+    return X.feature_sequence(t.strokes, t.members)
 
 
-@query("c15_segments", "code:s seq:i dir:i start_ts:d end_ts:d start_price:f8 end_price:f8 n_strokes:i")
+@query("c15_segments", "code:s seq:i dir:i start_ts:d end_ts:d start_price:f8 end_price:f8 n_strokes:i", SEG + "\n---\nSELECT * FROM sk")
 def segments(spark, sf):
-    s = strokes(spark, sf)
-    return X.segments(s, X.segment_strokes(s))
+    return Level(spark, sf).segments
 
 
-@query("c16_segment_strength", "code:s seq:i amplitude:f6 strength:f6 integrity:f6")
+@query("c16_segment_strength", "code:s seq:i amplitude:f6 strength:f6 integrity:f6", SEG + "\n---\nSELECT * FROM sk")
 def segment_strength(spark, sf):
-    return segments(spark, sf)
+    return Level(spark, sf).segments
 
 
 @query("c17_pivot_zones", "code:s zone:i first_seq:i last_seq:i start_ts:d end_ts:d low:f8 high:f8 extend_count:i", ZS + "\n---\nSELECT * FROM zs")
 def zone_rows(spark, sf):
-    return zones(spark, sf)
+    return Level(spark, sf).zones
+
+
+ZSW = "RECURSIVE " + SK + "," + without(ZS, SEG)
+
+
+@query("c17_pivot_zones_of_strokes", "code:s zone:i first_seq:i last_seq:i start_ts:d end_ts:d low:f8 high:f8 extend_count:i", ZSW + "\n---\nSELECT * FROM zs")
+def stroke_zones(spark, sf):
+    """The same rule one level down: weekly strokes in the place of segments."""
+    return X.zones(strokes(spark, sf))
 
 
-@query("c17_pivot_zones_of_segments", "code:s zone:i first_seq:i last_seq:i low:f8 high:f8")
+@query("c17_pivot_zones_of_segments", "code:s zone:i first_seq:i last_seq:i low:f8 high:f8", suffixed(ZS.replace(D.BRAND_DAY.replace("dbars", "bars"), D.BRAND_WEEK)) + "\n---\nSELECT * FROM zs_w")
 def segment_zones(spark, sf):
-    return X.zones(segments(spark, sf))
+    """Zones of weekly segments."""
+    return Level(spark, sf, "week").zones
 
 
 ZM = ZS + """,
@@ -201,8 +313,7 @@ zm AS (SELECT *, (zh - zl) / ((zh + zl) / 2) AS range_ratio, s * 0.4 + least(1,
 
 @query("c18_zone_metrics", "code:s zone:i range_ratio:f6 strength:f6 stability:f6 bars:i zone_type:s", ZM + "\n---\nSELECT * FROM zm")
 def zone_metrics(spark, sf):
-    s = strokes(spark, sf)
-    return X.zone_metrics(X.zones(s), s)
+    return Level(spark, sf).metrics
 
 
 @query("c19_price_position", "code:s ts:d z_zone:i inside:b distance:f8 place:f6 broken:s", ZS + """
@@ -210,11 +321,8 @@ def zone_metrics(spark, sf):
 SELECT b.code, b.ts, z.zone AS z_zone, close BETWEEN z.low AND z.high AS inside, close - (z.low + z.high) / 2 AS distance, least(1, greatest(0, (close - z.low) / (z.high - z.low))) AS place,
   CASE WHEN close > z.high * 1.01 THEN 'up' WHEN close < z.low * 0.99 THEN 'down' ELSE 'none' END AS broken FROM b ASOF JOIN zs z ON z.code = b.code AND b.ts >= z.end_ts""")
 def position(spark, sf):
-    return X.price_position(bars(spark, sf), zones(spark, sf))
-
-
-def _last_price(spark, sf):
-    return bars(spark, sf).groupBy("code").agg(F.max_by("close", "ts").alias("price"))
+    t = Level(spark, sf)
+    return X.price_position(t.bars, t.zones)
 
 
 @query("c20_nearest_zone", "code:s price:f8 distance:f4 nearest:i current:f0", ZS + """,
@@ -222,7 +330,8 @@ lp AS (SELECT code, arg_max(close, ts) AS price FROM b GROUP BY 1), nz AS (SELEC
 ---
 SELECT code, price, min(d) AS distance, arg_min(zone, d) AS nearest, max(CASE WHEN price BETWEEN low AND high THEN zone END) AS current FROM nz GROUP BY 1, 2""")
 def nearest(spark, sf):
-    return X.nearest_zone(_last_price(spark, sf), zones(spark, sf))
+    t = Level(spark, sf)
+    return X.nearest_zone(t.bars.groupBy("code").agg(F.max_by("close", "ts").alias("price")), t.zones)
 
 
 TT = ZH + """,
@@ -232,7 +341,7 @@ ty AS (SELECT *, CASE WHEN n_zones >= 2 AND ups > downs THEN 'up_trend' WHEN n_z
 
 @query("c21_trend_type", "code:s n_zones:i ups:i downs:i trend:s", TT + "\n---\nSELECT * FROM ty")
 def trend(spark, sf):
-    return X.trend_type(X.zone_history(zones(spark, sf)))
+    return X.trend_type(Level(spark, sf).history)
 
 
 # ---- MACD zones ----------------------------------------------------------------------------------
@@ -279,14 +388,9 @@ p1 AS (SELECT pr.code, pr.seq, pr.end_ts AS ts, pr.end_price AS price, CASE WHEN
 _P = "code:s seq:i ts:d price:f8 point:s strength:f6 reliability:f2"
 
 
-def _first(spark, sf):
-    s = strokes(spark, sf)
-    return X.first_points(s, X.zones(s))
-
-
 @query("c24_first_class_points", _P, P1 + "\n---\nSELECT * FROM p1")
 def first_points(spark, sf):
-    return _first(spark, sf)
+    return Level(spark, sf).first_points
 
 
 P2 = P1 + """,
@@ -296,8 +400,8 @@ p2 AS (SELECT code, seq, end_ts AS ts, end_price AS price, CASE WHEN po = 'buy1'
 
 @query("c25_second_class_points", _P, P2 + "\n---\nSELECT * FROM p2")
 def second_points(spark, sf):
-    s = strokes(spark, sf)
-    return X.second_points(s, X.first_points(s, X.zones(s)))
+    t = Level(spark, sf)
+    return X.second_points(t.segments, t.first_points)
 
 
 P3 = ZS + """,
@@ -308,19 +412,43 @@ p3 AS (SELECT DISTINCT t.code, t.seq, t.end_ts AS ts, t.end_price AS price, CASE
 
 @query("c26_third_class_points", _P, P3 + "\n---\nSELECT * FROM p3")
 def third_points(spark, sf):
-    s = strokes(spark, sf)
-    return X.third_points(s, X.zones(s))
+    t = Level(spark, sf)
+    return X.third_points(t.segments, t.zones)
+
+
+PTS = P2 + "," + without(P3, ZS) + """,
+pts AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)"""
 
 
-@query("c27_level_confirmation", "code:s seq:i ts:d point:s confirmed:b reliability:f2 level:s", P3 + """,
-ot AS (SELECT code, substring(CASE WHEN dir = -1 THEN 'buy' ELSE 'sell' END, 1, 3) AS sd, end_ts AS ots FROM sk)
+def both(text):
+    """CTEs of the daily text and, with the suffix ``_w``, of the same on weekly bars."""
+    week = suffixed(text[len("RECURSIVE "):].replace(D.BRAND_DAY.replace("dbars", "bars"), D.BRAND_WEEK))
+    return text + "," + week
+
+
+WINDOW_DAYS = 7
+
+
+@query("c27_level_confirmation", "code:s seq:i ts:d point:s confirmed:b reliability:f2 level:s", both(PTS) + f"""
 ---
-SELECT code, seq, ts, point, cf AS confirmed, CASE WHEN cf THEN least(1, reliability + 0.2) ELSE reliability END AS reliability, 'week' AS level FROM (SELECT p3.*, EXISTS (SELECT 1 FROM ot WHERE ot.code = p3.code AND ot.sd = substring(p3.point, 1, 3) AND abs(date_diff('day', ot.ots, p3.ts)) <= 21) AS cf FROM p3)""")
+SELECT code, seq, ts, point, cf AS confirmed, CASE WHEN cf THEN least(1, reliability + 0.2) ELSE reliability END AS reliability, 'day' AS level
+  FROM (SELECT p.*, EXISTS (SELECT 1 FROM pts_w o WHERE o.code = p.code AND o.point[1:3] = p.point[1:3] AND abs(date_diff('day', o.ts, p.ts)) <= {WINDOW_DAYS}) AS cf FROM pts p)
+UNION ALL SELECT code, seq, ts, point, cf, CASE WHEN cf THEN least(1, reliability + 0.1) ELSE reliability END, 'week'
+  FROM (SELECT p.*, EXISTS (SELECT 1 FROM pts o WHERE o.code = p.code AND o.point[1:3] = p.point[1:3] AND abs(date_diff('day', o.ts, p.ts)) <= {WINDOW_DAYS}) AS cf FROM pts_w p)""")
 def confirmation(spark, sf):
-    """Class-3 points against the stroke ends of the same side within three weeks."""
-    s = strokes(spark, sf)
-    other = s.select("code", F.when(c("dir") == -1, "buy").otherwise("sell").alias("point"), c("end_ts").alias("ts"))
-    return X.confirm_levels(X.third_points(s, X.zones(s)), "week", other, 21, 0.2)
+    """Points of daily and of weekly segments against each other's: a higher level adds 0.2, a lower one 0.1."""
+    day, week = (Level(spark, sf, k).points for k in ("day", "week"))
+    return X.confirm_levels(day, "day", week, WINDOW_DAYS, 0.2).unionByName(X.confirm_levels(week, "week", day, WINDOW_DAYS, 0.1))
+
+
+@query("c27_level_nesting", "code:s seq:i dir:i start_ts:d end_ts:d upper_seq:i upper_dir:i", both(BI) + """
+---
+SELECT l.code, l.seq, l.dir, l.start_ts, l.end_ts, CASE WHEN l.end_ts <= u.end_ts + 6 THEN u.seq END AS upper_seq, CASE WHEN l.end_ts <= u.end_ts + 6 THEN u.dir END AS upper_dir
+FROM bi l ASOF LEFT JOIN bi_w u ON u.code = l.code AND l.start_ts >= u.start_ts""")
+def nesting(spark, sf):
+    """Daily strokes and the weekly stroke whose span holds each; a week's bar is named by its Monday."""
+    day, week = (Level(spark, sf, k).strokes for k in ("day", "week"))
+    return X.nest_levels(day.select("code", "seq", "dir", "start_ts", "end_ts"), week, 6)
 
 
 CT = ZS + """,
@@ -328,8 +456,10 @@ ct0 AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY seq DESC) AS r F
 ct1 AS (SELECT code, count(*) AS n, avg(strength) AS s, sum(CASE WHEN r <= 3 THEN dir ELSE 0 END) AS v, avg((dir = 1)::INT) AS u FROM ct0 GROUP BY 1),
 ct2 AS (SELECT *, CASE WHEN n < 2 THEN 'consolidation' WHEN v > 0 THEN 'up' WHEN v < 0 THEN 'down' ELSE 'consolidation' END AS direction FROM ct1),
 ct AS (SELECT code, n, direction, s * 0.6 + CASE direction WHEN 'up' THEN u WHEN 'down' THEN 1 - u ELSE 0.5 END * 0.4 AS trend_strength FROM ct2)"""
-LV = CT + """,
-lv AS (SELECT code, 'week' AS level, direction, trend_strength AS strength, n % 2 = 0 AS has_buy, n % 3 = 0 AS has_sell FROM ct UNION ALL SELECT code, 'day', CASE WHEN n % 3 = 0 THEN 'up' ELSE 'down' END, 0.5e0, n % 2 = 1, false FROM ct),
+LEVELS = CT + "," + without(PTS, ZS)
+LV = both(LEVELS) + """,
+lh AS (SELECT 'day' AS level, code, bool_or(point LIKE 'buy%') AS has_buy, bool_or(point LIKE 'sell%') AS has_sell FROM pts GROUP BY 2 UNION ALL SELECT 'week', code, bool_or(point LIKE 'buy%'), bool_or(point LIKE 'sell%') FROM pts_w GROUP BY 2),
+lv AS (SELECT c.*, coalesce(has_buy, false) AS has_buy, coalesce(has_sell, false) AS has_sell FROM (SELECT code, 'day' AS level, direction, trend_strength AS strength FROM ct UNION ALL SELECT code, 'week', direction, trend_strength FROM ct_w) c LEFT JOIN lh USING (level, code)),
 lw AS (SELECT *, CASE level WHEN 'week' THEN 0.9e0 ELSE 0.8e0 END AS w FROM lv),
 lx AS (SELECT code, count(*) AS levels, count_if(direction = 'up') AS u, count_if(direction = 'down') AS d, count_if(has_buy) AS buys, count_if(has_sell) AS sells, sum(w) AS tw, sum(CASE WHEN direction = 'up' THEN w * (1 + CASE WHEN has_buy THEN 0.3 ELSE 0 END) ELSE 0 END) AS mu,
   sum(CASE WHEN direction = 'down' THEN w * (1 + CASE WHEN has_sell THEN 0.3 ELSE 0 END) ELSE 0 END) AS md, sum(CASE WHEN direction NOT IN ('up', 'down') THEN w ELSE 0 END) AS mn, sum(CASE WHEN direction = 'up' THEN w * strength ELSE 0 END) AS su, sum(CASE WHEN direction = 'down' THEN w * strength ELSE 0 END) AS sd, sum(w * strength) AS ts FROM lw GROUP BY 1),
@@ -341,11 +471,15 @@ ly AS (SELECT *, CASE WHEN levels < 2 THEN 0 ELSE greatest(u, d, levels - u - d)
 SELECT *, CASE WHEN overall = 'up' AND resonance > 0.5 THEN 'buy' WHEN overall = 'down' AND resonance > 0.5 THEN 'sell' ELSE 'hold' END AS action,
   CASE WHEN overall = 'up' AND resonance > 0.7 THEN least(1, resonance * 1.2) WHEN overall = 'up' AND resonance > 0.5 THEN resonance * 0.6 WHEN overall = 'down' AND resonance > 0.7 THEN 1 WHEN overall = 'down' AND resonance > 0.5 THEN 0.5 ELSE 0 END AS position FROM ly""")
 def consistency(spark, sf):
-    s = strokes(spark, sf)
-    t = X.composite_trend(s).join(s.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "code")
-    week = t.select("code", F.lit("week").alias("level"), "direction", c("trend_strength").alias("strength"), (c("n") % 2 == 0).alias("has_buy"), (c("n") % 3 == 0).alias("has_sell"))
-    day = t.select("code", F.lit("day").alias("level"), F.when(c("n") % 3 == 0, "up").otherwise("down").alias("direction"), F.lit(0.5).alias("strength"), (c("n") % 2 == 1).alias("has_buy"), F.lit(False).alias("has_sell"))
-    return X.level_consistency(week.unionByName(day))
+    """Trend and points of daily and of weekly segments."""
+    side = lambda x: F.max(c("point").startswith(x)).alias(f"has_{x}")
+    rows = []
+    for name in ("day", "week"):
+        t = Level(spark, sf, name)
+        p = t.points.groupBy("code").agg(side("buy"), side("sell"))
+        d = X.composite_trend(t.segments).join(p, "code", "left").withColumn("level", F.lit(name))
+        rows.append(d.select("code", "level", "direction", c("trend_strength").alias("strength"), *(F.coalesce(f"has_{x}", F.lit(False)).alias(f"has_{x}") for x in ("buy", "sell"))))
+    return X.level_consistency(rows[0].unionByName(rows[1]))
 
 
 # ---- gaps ----------------------------------------------------------------------------------------
@@ -515,45 +649,41 @@ def selector(spark, sf):
     return X.divergence_selector(d.withColumn("dif", F.when(c("kind") == "bottom", -1.0).otherwise(1.0)), 20)
 
 
-@query("c40_divergence_consensus", "code:s level:s ts:d kind:s confirming:i", DV + """,
-pt AS (SELECT code, 'week' AS level, end_ts AS ts, kind FROM dv UNION ALL SELECT code, 'zone' AS level, end_ts, CASE WHEN sg < 0 THEN 'bottom' ELSE 'top' END FROM mz)
+DVD = daily(DV)
+
+
+@query("c40_divergence_consensus", "code:s level:s ts:d kind:s confirming:i", DVD + "," + suffixed(DV) + f"""
+,pt AS (SELECT code, 'day' AS level, end_ts AS ts, kind FROM dv UNION ALL SELECT code, 'week' AS level, end_ts, kind FROM dv_w)
 ---
-SELECT p.code, p.level, p.ts, p.kind, count(DISTINCT o.level) AS confirming FROM pt p LEFT JOIN pt o ON o.code = p.code AND o.kind = p.kind AND o.level <> p.level AND abs(date_diff('day', p.ts, o.ts)) <= 14 GROUP BY 1, 2, 3, 4""")
+SELECT p.code, p.level, p.ts, p.kind, count(DISTINCT o.level) AS confirming FROM pt p LEFT JOIN pt o ON o.code = p.code AND o.kind = p.kind AND o.level <> p.level AND abs(date_diff('day', p.ts, o.ts)) <= {WINDOW_DAYS} GROUP BY 1, 2, 3, 4""")
 def consensus(spark, sf):
-    m = _macd(spark, sf)
-    z = X.macd_zones(m)
-    a = X.area_divergence(z, m).select("code", F.lit("week").alias("level"), c("end_ts").alias("ts"), "kind")
-    b = z.select("code", F.lit("zone").alias("level"), c("end_ts").alias("ts"), F.when(c("sg") < 0, "bottom").otherwise("top").alias("kind"))
-    return X.divergence_consensus(a.unionByName(b), 14)
+    """Divergences of daily and of weekly bars."""
+    d, w = (Level(spark, sf, k).divergences.select("code", F.lit(k).alias("level"), c("end_ts").alias("ts"), "kind") for k in ("day", "week"))
+    return X.divergence_consensus(d.unionByName(w), WINDOW_DAYS)
 
 
-RISK = CT + "," + ZM[len(ZS) + 1:] + """,
+RISK = CT + "," + without(ZM, ZS) + """,
 rk AS (SELECT ct.*, st FROM ct LEFT JOIN (SELECT code, avg(stability) AS st FROM zm GROUP BY 1) z USING (code)),
 rt AS (SELECT code, direction, trend_strength, CASE WHEN st IS NULL THEN 1 - trend_strength ELSE (1 - st + 1 - trend_strength) / 2 END AS risk, (least(n / 100e0, 1) + 0.7 + CASE WHEN st IS NOT NULL THEN 0.3 ELSE 0 END + 0.5) / 3 AS confidence FROM rk)"""
 
 
-def _composite(spark, sf):
-    s = strokes(spark, sf)
-    return X.composite_trend(s, X.zone_metrics(X.zones(s), s))
-
-
 @query("c41_composite_trend", "code:s direction:s trend_strength:f6 risk:f6 confidence:f6", RISK + "\n---\nSELECT * FROM rt")
 def composite(spark, sf):
-    return _composite(spark, sf)
+    return Level(spark, sf).composite
 
 
-@query("c42_recommendation", "code:s action:s entry:f8 stop_loss:f4 take_profit:f4", RISK + "," + P3[len(ZS) + 1:] + """,
-lpt AS (SELECT * FROM p3 QUALIFY row_number() OVER (PARTITION BY code ORDER BY ts DESC, point DESC) = 1), lz AS (SELECT * FROM zs QUALIFY row_number() OVER (PARTITION BY code ORDER BY zone DESC) = 1),
+@query("c42_recommendation", "code:s action:s entry:f8 stop_loss:f4 take_profit:f4", RISK + "," + without(PTS, ZS) + """,
+lpt AS (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY code ORDER BY ts DESC, point DESC) = 1), lz AS (SELECT * FROM zs QUALIFY row_number() OVER (PARTITION BY code ORDER BY zone DESC) = 1),
 rc AS (SELECT rt.code, p.price, z.low AS zl, z.high AS zh, CASE WHEN p.point IS NULL THEN 'wait' WHEN p.point LIKE 'buy%' AND p.reliability > 0.6 AND direction IN ('up', 'consolidation') THEN 'buy' WHEN p.point LIKE 'sell%' AND p.reliability > 0.6 AND direction IN ('down', 'consolidation') THEN 'sell' ELSE 'hold' END AS action
   FROM rt LEFT JOIN lpt p ON p.code = rt.code LEFT JOIN lz z ON z.code = rt.code)
 ---
 SELECT code, action, CASE WHEN action IN ('buy', 'sell') THEN price END AS entry, CASE WHEN action = 'buy' AND zl IS NOT NULL THEN zl * 0.98 WHEN action = 'sell' AND zl IS NOT NULL THEN zh * 1.02 END AS stop_loss,
   CASE WHEN action = 'buy' AND zl IS NOT NULL THEN price * 1.1 WHEN action = 'sell' AND zl IS NOT NULL THEN price * 0.9 END AS take_profit FROM rc""")
 def recommend(spark, sf):
-    s = strokes(spark, sf)
-    z = X.zones(s)
-    last = z.groupBy("code").agg(F.max_by(F.struct("low", "high"), "zone").alias("_z")).select("code", "_z.*")
-    return X.recommendation(_composite(spark, sf), X.third_points(s, z), last)
+    """The latest point of any class against the trend of the segments."""
+    t = Level(spark, sf)
+    last = t.zones.groupBy("code").agg(F.max_by(F.struct("low", "high"), "zone").alias("_z")).select("code", "_z.*")
+    return X.recommendation(t.composite, t.points, last)
 
 
 # ---- structure signals ---------------------------------------------------------------------------
@@ -573,12 +703,16 @@ def _box(n, a, b):
     return "least(" + ", ".join(h(n - 1 - i) for i in range(a, b)) + ")", "greatest(" + ", ".join(l(n - 1 - i) for i in range(a, b)) + ")"
 
 
-def frame(spark, sf):
-    s = strokes(spark, sf)
-    return cxt.stroke_frame(s, X.zone_history(X.zones(s)))
+def stroke_frame(t):
+    """Daily strokes with the zones of segments that were finished by each stroke's end."""
+    return cxt.stroke_frame(t.strokes, t.history)
+
+
+def segment_frame(t):
+    return t.segments.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("seq")))
 
 
-def stroke_query(num, name, need, v1, v2=None, base=SF, extra=None, src="sf"):
+def stroke_query(num, name, need, v1, v2=None, base=SF, extra=None, src="sf", frame=stroke_frame):
     cols = f"coalesce(CASE WHEN k >= {need} THEN {v1} END, '其他') AS {name}"
     spec = f"code:s seq:i {name}:s"
     if v2:
@@ -587,8 +721,9 @@ def stroke_query(num, name, need, v1, v2=None, base=SF, extra=None, src="sf"):
 
     @query(f"g{num:03d}_{name}", spec, f"{base}\n---\nSELECT code, seq, {cols} FROM {src} WINDOW q AS (PARTITION BY code ORDER BY seq)")
     def run(spark, sf):
-        d = frame(spark, sf)
-        return cxt.stroke_signals(extra(spark, sf, d) if extra else d, [name])
+        t = Level(spark, sf)
+        d = frame(t)
+        return cxt.stroke_signals(extra(spark, sf, t, d) if extra else d, [name])
 
 
 _sl = "regr_slope({}, seq) OVER (q ROWS 4 PRECEDING)"
@@ -615,11 +750,11 @@ stroke_query(144, "cxt_double_zs", 1, "CASE WHEN z_prev_low IS NOT NULL THEN " +
 _am = "((z_high - z_low) / ((z_high + z_low) / 2))"
 stroke_query(145, "cxt_range_oscillation", 1, "CASE WHEN z_low IS NOT NULL THEN " + case((f"{_am} < 0.03", "窄幅震荡"), (f"{_am} < 0.08", "宽幅震荡"), default="剧烈震荡") + " END")
 _as = "(SELECT kind FROM dv WHERE dv.code = sf0.code AND dv.end_ts <= sf0.end_ts ORDER BY dv.end_ts DESC, dv.zone DESC LIMIT 1)"
-SFD = SF + "," + DV[len(BASE) + 1:] + ",\nsfd AS (SELECT sf.*, d.kind AS divergence FROM sf ASOF LEFT JOIN dv d ON d.code = sf.code AND sf.end_ts >= d.end_ts)"
+SFD = SF + "," + without(DV, BASE) + ",\nsfd AS (SELECT sf.*, d.kind AS divergence FROM sf ASOF LEFT JOIN dv d ON d.code = sf.code AND sf.end_ts >= d.end_ts)"
 
 
-def _with_divergence(spark, sf, d):
-    return X.asof(d, _divergences(spark, sf), "end_ts", "end_ts", ["kind"], "dv_").withColumnRenamed("dv_kind", "divergence")
+def _with_divergence(spark, sf, t, d):
+    return X.asof(d, t.divergences, "end_ts", "end_ts", ["kind"], "dv_").withColumnRenamed("dv_kind", "divergence")
 
 
 _sc = "(dir + CASE WHEN z_prev_low IS NULL THEN 0 WHEN z_low > z_prev_low THEN 1 ELSE -1 END + CASE divergence WHEN 'bottom' THEN 2 WHEN 'top' THEN -2 ELSE 0 END)"
@@ -627,47 +762,60 @@ stroke_query(146, "cxt_decision", 3, case((f"{_sc} > 1", "看多"), (f"{_sc} < -
 stroke_query(153, "cxt_thirteen_bi", 13, case((" AND ".join(f"{_box(13, a, a + 3)[k]} < {_box(13, a + 3, a + 6)[k]}" for a in (2, 5) for k in (0, 1)), "完整上涨"), (" AND ".join(f"{_box(13, a, a + 3)[k]} > {_box(13, a + 3, a + 6)[k]}" for a in (2, 5) for k in (0, 1)), "完整下跌"), default="复杂形态"))
 _rr = "((z_high - z_low) / nullif(max(high) OVER (q ROWS 19 PRECEDING) - min(low) OVER (q ROWS 19 PRECEDING), 0))"
 stroke_query(154, "cxt_zs_level", 1, f"CASE WHEN {_rr} IS NOT NULL THEN " + case((f"{_rr} > 0.5", "大级别"), (f"{_rr} > 0.2", "中级别"), default="小级别") + " END")
-SFM = SF + "," + _mt[len(BASE) + 1:] + f""",
+SFM = SF + "," + without(_mt, BASE) + f""",
 ar AS (SELECT code, ts, {over('sum(abs(bar))', 10)} AS area10, {over('sum(abs(bar))', 10, 10)} AS parea10 FROM {_ml} {WIN}),
 sfm AS (SELECT sf.*, area10, parea10 FROM sf LEFT JOIN ar ON ar.code = sf.code AND ar.ts = sf.end_ts)"""
 
 
-def _with_area(spark, sf, d):
-    m = _macd(spark, sf)
-    a = m.select("code", c("ts").alias("end_ts"), I.S.sum(F.abs("bar"), 10).alias("area10"), I.S.sum(F.abs("bar"), 10, skip=10).alias("parea10"))
+def _with_area(spark, sf, t, d):
+    a = t.macd.select("code", c("ts").alias("end_ts"), I.S.sum(F.abs("bar"), 10).alias("area10"), I.S.sum(F.abs("bar"), 10, skip=10).alias("parea10"))
     return d.join(a, ["code", "end_ts"], "left")
 
 
 stroke_query(155, "cxt_bi_macd_diverge", 3, "CASE WHEN dir <> lag(dir) OVER q AND parea10 > 0 THEN " + case(("area10 < parea10 * 0.7 AND dir = 1", "顶背驰"), ("area10 < parea10 * 0.7", "底背驰"), default="无背驰") + " END", base=SFM, extra=_with_area, src="sfm")
 _v = "(CASE WHEN z_low IS NOT NULL THEN dir ELSE 0 END + hv)"
-stroke_query(157, "cxt_multi_level_bs", 3, case((f"{_v} >= 2", "共振买点"), (f"{_v} = 1", "偏多"), (f"{_v} = -1", "偏空"), (f"{_v} <= -2", "共振卖点"), default="中性"),
-             base=SF + ",\nsfh AS (SELECT *, CASE WHEN end_price > start_price * 1.2 THEN 1 WHEN end_price < start_price * 0.8 THEN -1 ELSE 0 END AS hv FROM sf)", src="sfh",
-             extra=lambda spark, sf, d: d.withColumn("higher_vote", F.when(c("end_price") > c("start_price") * 1.2, 1).when(c("end_price") < c("start_price") * 0.8, -1).otherwise(0)))
+SFH = both(SF) + """,
+wk AS (SELECT code, dir, end_ts + 6 AS t, row_number() OVER (PARTITION BY code ORDER BY seq) AS k FROM bi_w), wz AS (SELECT code, zone, end_ts + 6 AS t FROM zs_w),
+sfg AS (SELECT sf.*, wk.dir AS w_dir, wk.k AS w_k FROM sf ASOF LEFT JOIN wk ON wk.code = sf.code AND sf.end_ts >= wk.t),
+sfh AS (SELECT sfg.*, CASE WHEN w_k >= 3 AND wz.zone IS NOT NULL THEN w_dir ELSE 0 END AS hv FROM sfg ASOF LEFT JOIN wz ON wz.code = sfg.code AND sfg.end_ts >= wz.t)"""
+
+
+def _with_week(spark, sf, t, d):
+    """The vote of the week: its last stroke's direction once it has three strokes and a zone. A week is known at its end."""
+    w = Level(spark, sf, "week")
+    known = F.date_add("end_ts", 6).alias("t")
+    d = X.asof(d, w.strokes.select("code", "dir", known, F.row_number().over(Window.partitionBy("code").orderBy("seq")).alias("k")), "end_ts", "t", ["dir", "k"], "w_")
+    d = X.asof(d, w.zones.select("code", "zone", known), "end_ts", "t", ["zone"], "w_")
+    return d.withColumn("higher_vote", F.when((c("w_k") >= 3) & c("w_zone").isNotNull(), c("w_dir")).otherwise(0))
+
+
+stroke_query(157, "cxt_multi_level_bs", 3, case((f"{_v} >= 2", "共振买点"), (f"{_v} = 1", "偏多"), (f"{_v} = -1", "偏空"), (f"{_v} <= -2", "共振卖点"), default="中性"), base=SFH, src="sfh", extra=_with_week)
 _v3 = lambda f: f"(SELECT var_pop(x) FROM (SELECT unnest([{f(4)}, {f(2)}, {f()}]) AS x))"
 _vp = lambda f: f"list_var_pop([{f(4)}, {f(2)}, {f()}])"
 stroke_query(113, "jcc_shan_chun", 7, case((f"dir = 1 AND {_vp(h)} < 0.2", "三山"), (f"dir = -1 AND {_vp(l)} < 0.2", "三川")))
-SEGS = SF + ",\nsg AS (SELECT *, n_bars AS n_strokes FROM sf)"
-_as_segments = lambda spark, sf, d: d.withColumn("n_strokes", c("n_bars"))
-stroke_query(149, "cxt_seg_status", 1, case(("dir = 1", "向上"), default="向下"), case(("n_strokes >= 5", "延伸"), default="转折"), base=SEGS, src="sg", extra=_as_segments)
-stroke_query(150, "cxt_seg_direction", 3, case((f"{h()} > {h(1)} AND {h(1)} > {h(2)}", "上涨"), (f"{h()} < {h(1)} AND {h(1)} < {h(2)}", "下跌"), default="震荡"))
+SEGS = SEG + ",\nsg AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY seq) AS k FROM sk)"
+stroke_query(149, "cxt_seg_status", 1, case(("dir = 1", "向上"), default="向下"), case(("n_strokes >= 5", "延伸"), default="转折"), base=SEGS, src="sg", frame=segment_frame)
+stroke_query(150, "cxt_seg_direction", 3, case((f"{h()} > {h(1)} AND {h(1)} > {h(2)}", "上涨"), (f"{h()} < {h(1)} AND {h(1)} < {h(2)}", "下跌"), default="震荡"), base=SEGS, src="sg", frame=segment_frame)
 _w = f"(least({h()}, {h(1)}, {h(2)}) - greatest({l()}, {l(1)}, {l(2)}))"
-stroke_query(156, "cxt_seg_zs", 3, case((f"{_w} > 0", "有中枢"), default="无中枢"), f"CASE WHEN {_w} > 0 THEN '宽度' || format('{{:.2f}}', floor({_w} * 100 + 0.5) / 100) END")
+stroke_query(156, "cxt_seg_zs", 3, case((f"{_w} > 0", "有中枢"), default="无中枢"), f"CASE WHEN {_w} > 0 THEN '宽度' || format('{{:.2f}}', floor({_w} * 100 + 0.5) / 100) END", base=SEGS, src="sg", frame=segment_frame)
 
 BF = ZH + f""",
-bf AS (SELECT b.code, b.ts, b.close, b.i, s.k AS s_k, s.dir AS s_dir, b.i + 1 - s.end_i AS ubi FROM b ASOF LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY code ORDER BY seq) AS k FROM sk) s ON s.code = b.code AND b.ts >= s.end_ts),
+bf AS (SELECT b.code, b.ts, b.close, b.i, s.k AS s_k, s.dir AS s_dir, b.i + 1 - s.end_i AS ubi FROM b ASOF LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY code ORDER BY seq) AS k FROM bi) s ON s.code = b.code AND b.ts >= s.end_ts),
 bg AS (SELECT bf.*, f.low AS f_low, f.high AS f_high, f.n AS f_n FROM bf ASOF LEFT JOIN (SELECT *, row_number() OVER w AS n FROM fx {WIN}) f ON f.code = bf.code AND bf.ts >= f.ts),
 bh AS (SELECT bg.*, z.low AS z_low, z.high AS z_high FROM bg ASOF LEFT JOIN zh z ON z.code = bg.code AND bg.ts >= z.end_ts)"""
 
 
+def bar_frame(t):
+    """Daily bars with the last finished stroke, the last fractal and the last zone of segments."""
+    return cxt.bar_frame(I.base_columns(t.bars), t.strokes, t.fractals, t.history)
+
+
 def bar_query(num, name, v1, v2=None):
     cols = f"coalesce({v1}, '其他') AS {name}" + (f", coalesce({v2}, '任意') AS {name}_v2" if v2 else "")
 
     @query(f"g{num:03d}_{name}", f"code:s ts:d {name}:s" + (f" {name}_v2:s" if v2 else ""), f"{BF}\n---\nSELECT code, ts, {cols} FROM bh")
     def run(spark, sf):
-        raw = bars(spark, sf)
-        b, f = I.base_columns(raw), X.fractals(raw)
-        s = cut(X.strokes(X.reduce_fractals(f), raw))
-        return cxt.bar_signals(cxt.bar_frame(b, s, f, X.zone_history(X.zones(s))), [name])
+        return cxt.bar_signals(bar_frame(Level(spark, sf)), [name])
 
 
 def when(cond, x):
@@ -689,27 +837,32 @@ bar_query(148, "cxt_ubi_end", when("s_k >= 1", case(("ubi < 3", "刚形成"), ("
 SELECT f.code, f.ts, CASE WHEN abs(f.close - f.open) / f.close > 0.02 THEN '强' WHEN abs(f.close - f.open) > 0 AND abs(f.close - f.open) / f.close < 0.005 THEN '弱' ELSE '中' END || CASE WHEN kind = 1 THEN '顶' ELSE '底' END AS cxt_fx_power,
   CASE WHEN z.zone IS NOT NULL THEN '有中枢' ELSE '无中枢' END AS cxt_fx_power_v2 FROM fx f ASOF LEFT JOIN zs z ON z.code = f.code AND f.ts >= z.end_ts""")
 def fx_power(spark, sf):
-    return cxt.fx_power(fx(spark, sf), zones(spark, sf))
+    t = Level(spark, sf)
+    return cxt.fx_power(t.fractals, t.zones)
 
 
 def _label_sql(col, table):
     return "CASE " + col + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " ELSE '其他' END"
 
 
-@query("g147_cxt_bs_signal", "code:s ts:d cxt_bs_signal:s", P3 + f"""
+@query("g147_cxt_bs_signal", "code:s ts:d cxt_bs_signal:s", PTS + f""",
+pl AS (SELECT code, ts, max(point) AS point FROM pts GROUP BY 1, 2)
 ---
-SELECT b.code, b.ts, {_label_sql('p.point', cxt.POINT_LABELS)} AS cxt_bs_signal FROM b ASOF LEFT JOIN p3 p ON p.code = b.code AND b.ts >= p.ts""")
+SELECT b.code, b.ts, {_label_sql('p.point', cxt.POINT_LABELS)} AS cxt_bs_signal FROM b ASOF LEFT JOIN pl p ON p.code = b.code AND b.ts >= p.ts""")
 def bs_signal(spark, sf):
-    s = strokes(spark, sf)
-    d = X.asof(bars(spark, sf).select("code", "ts"), X.third_points(s, X.zones(s)).select("code", c("ts").alias("p_ts"), "point"), "ts", "p_ts", ["point"], "p_")
+    """The latest point of any class; of several on one day the last by name."""
+    t = Level(spark, sf)
+    p = t.points.groupBy("code", c("ts").alias("p_ts")).agg(F.max("point").alias("point"))
+    d = X.asof(t.bars.select("code", "ts"), p, "ts", "p_ts", ["point"], "p_")
     return d.withColumn("cxt_bs_signal", cxt.labelled(c("p_point"), cxt.POINT_LABELS))
 
 
-@query("g151_cxt_trend_type_signal", "code:s cxt_trend_type_signal:s cxt_trend_type_signal_v2:s", TT + "," + CT[len(ZS) + 1:] + f"""
+@query("g151_cxt_trend_type_signal", "code:s cxt_trend_type_signal:s cxt_trend_type_signal_v2:s", TT + "," + without(CT, ZS) + f"""
 ---
 SELECT ty.code, {_label_sql('trend', cxt.TREND_LABELS)} AS cxt_trend_type_signal, CASE WHEN trend_strength > 0.7 THEN '强' WHEN trend_strength > 0.4 THEN '中' ELSE '弱' END AS cxt_trend_type_signal_v2 FROM ty JOIN ct USING (code)""")
 def trend_signal(spark, sf):
-    return cxt.trend_signal(trend(spark, sf).join(_composite(spark, sf).select("code", "trend_strength"), "code"))
+    t = Level(spark, sf)
+    return cxt.trend_signal(X.trend_type(t.history).join(t.composite.select("code", "trend_strength"), "code"))
 
 
 @query("g152_cxt_backchi_signal", "code:s ts:d cxt_backchi_signal:s", DV + f"""
@@ -727,10 +880,9 @@ SELECT bh.code, bh.ts, coalesce(CASE WHEN s_k >= 1 THEN CASE WHEN s_dir = -1 THE
   coalesce(CASE WHEN z_low IS NOT NULL THEN CASE WHEN close > z_high THEN '向上突破' WHEN close < z_low THEN '向下突破' ELSE '中枢内' END END, '其他') AS breakout, CASE WHEN vr >= 2 THEN '放量突破' ELSE '未突破' END AS power FROM bh JOIN vb ON vb.code = bh.code AND vb.ts = bh.ts""")
 def state_signals(spark, sf):
     """Stroke, zone and volume states side by side for every bar."""
-    raw = bars(spark, sf)
-    b = I.base_columns(raw)
-    s = cut(X.strokes(X.reduce_fractals(X.fractals(raw)), raw))
-    d = cxt.bar_signals(cxt.bar_frame(b, s, X.fractals(raw), X.zone_history(X.zones(s))), ["cxt_bi_status", "cxt_zs_breakout"])
+    t = Level(spark, sf)
+    b = I.base_columns(t.bars)
+    d = cxt.bar_signals(bar_frame(t), ["cxt_bi_status", "cxt_zs_breakout"])
     v = b.select("code", "ts", F.when(c("volume") / I.S.agg(F.avg, "volume", 20, skip=1, min_periods=1) >= 2, "放量突破").otherwise("未突破").alias("power"))
     return d.join(v, ["code", "ts"]).select("code", "ts", F.concat("cxt_bi_status", "cxt_bi_status_v2").alias("bi"), c("cxt_zs_breakout").alias("breakout"), "power")
 
