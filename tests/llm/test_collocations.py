@@ -38,9 +38,9 @@ def plain(rows, least, top):
     return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, all_ in found.items() for i, (s, a, p, left, right) in enumerate(sorted(all_)[:top]))
 
 
-def check(spark, rows, least=2, top=2000):
+def check(spark, rows, least=2, top=2000, **more):
     df = spark.createDataFrame([(i, *r, "x", 0, 0) for i, r in enumerate(rows)], SCHEMA)
-    got = sorted(tuple(r) for r in collocations(df, least, top=top).collect())
+    got = sorted(tuple(r) for r in collocations(df, least, top=top, **more).collect())
     assert got == plain(rows, least, top)
     return got
 
@@ -63,6 +63,7 @@ def test_phrases_equal_a_plain_count(spark):
     got = check(spark, rows)
     assert max(len(r[2].split(" ")) for r in got) == 5
     check(spark, rows, least=4, top=3)
+    check(spark, rows, broadcast_pairs=0)
 
 
 def test_nulls_empties_ties_repeats_and_long_texts(spark):
