@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import batch, blocks, col_or_empty, mix, query, store, table
 from barloom.llm.decontaminate import words_of
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 BLOCK_CHARS = 3 << 20
 BUCKET_ENTRIES = 1_000_000
@@ -199,18 +199,23 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
 
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-/:-@\[-`{-\x7f]+') AS w FROM documents),
-p AS (SELECT r, i, w[i] AS w, w[i - 1] AS v FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM d)),
+p AS (SELECT r, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS v, CASE WHEN i > 2 THEN w[i - 2] END AS x FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM d)),
 u AS (SELECT w, count(*) AS c FROM p GROUP BY w), ud AS (SELECT r, w, count(*) AS c FROM p GROUP BY r, w),
 b AS (SELECT v, w, count(*) AS c FROM p WHERE i > 1 GROUP BY v, w), bd AS (SELECT r, v, w, count(*) AS c FROM p WHERE i > 1 GROUP BY r, v, w),
+t AS (SELECT x, v, w, count(*) AS c FROM p WHERE i > 2 GROUP BY x, v, w), td AS (SELECT r, x, v, w, count(*) AS c FROM p WHERE i > 2 GROUP BY r, x, v, w),
 s AS (
-  SELECT p.r, p.i, (SELECT count(*) FROM p) - len(d.w) + 1 AS n, u.c - ud.c AS cu, b.c - bd.c AS cb, uv.c - udv.c AS cv
+  SELECT p.r, p.i, (SELECT count(*) FROM p) - len(d.w) + 1 AS n, u.c - ud.c AS cu, b.c - bd.c AS cb, uv.c - udv.c AS cv, t.c - td.c AS ct, bv.c - bdv.c AS cxv
   FROM p JOIN d USING (r) JOIN u ON u.w = p.w JOIN ud ON ud.r = p.r AND ud.w = p.w
-  LEFT JOIN b ON b.v = p.v AND b.w = p.w AND p.i > 1 LEFT JOIN bd ON bd.r = p.r AND bd.v = p.v AND bd.w = p.w AND p.i > 1
-  LEFT JOIN u uv ON uv.w = p.v AND p.i > 1 LEFT JOIN ud udv ON udv.r = p.r AND udv.w = p.v AND p.i > 1
-), t AS (
-  SELECT r, sum(CASE WHEN i > 1 AND cb > 0 THEN ln(cb / cv) ELSE ln(CASE WHEN cu > 0 THEN cu ELSE 0.4 END / n) + CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END END) AS x FROM s GROUP BY r
+  LEFT JOIN b ON b.v = p.v AND b.w = p.w LEFT JOIN bd ON bd.r = p.r AND bd.v = p.v AND bd.w = p.w
+  LEFT JOIN u uv ON uv.w = p.v LEFT JOIN ud udv ON udv.r = p.r AND udv.w = p.v
+  LEFT JOIN t ON t.x = p.x AND t.v = p.v AND t.w = p.w LEFT JOIN td ON td.r = p.r AND td.x = p.x AND td.v = p.v AND td.w = p.w
+  LEFT JOIN b bv ON bv.v = p.x AND bv.w = p.v LEFT JOIN bd bdv ON bdv.r = p.r AND bdv.v = p.x AND bdv.w = p.v
+), l AS (
+  SELECT r, i, ct, cxv, CASE WHEN i > 1 AND cb > 0 THEN ln(cb / cv) ELSE ln(CASE WHEN cu > 0 THEN cu ELSE 0.4 END / n) + CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END END AS y FROM s
+), z AS (
+  SELECT r, sum(CASE WHEN i > 2 AND ct > 0 THEN ln(ct / cxv) WHEN i > 2 THEN ln(0.4) + y ELSE y END) AS x FROM l GROUP BY r
 )
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(t.x, 0.0), 3) + 0.0 AS log_score, round(t.x / len(d.w), 6) AS mean_log_score FROM d LEFT JOIN t USING (r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(z.x, 0.0), 3) + 0.0 AS log_score, round(z.x / len(d.w), 6) AS mean_log_score FROM d LEFT JOIN z USING (r)
 """
 
 

@@ -9,9 +9,9 @@ lines are dropped from every document but the first (smallest id), so that no te
 All of it is DataFrame work: leaves are counted on hashes, only lines of recurring leaves are looked at again, and
 counts are combined before each shuffle, so a line in a third of all documents costs no more than any other.
 
-That is the rule of the query, which its SQL fixes. The pipeline's stage (``cut_lines``) keeps every template of a leaf:
-the tokens beyond the leaf's are cut into ``FINE`` runs, and each choice of at most two runs to leave open, holding no
-more than ``1 - ALIKE`` of those tokens, is a template if enough documents agree in all the other runs.
+That is ``dedup_lines``. The query and the pipeline's stage (``cut_lines``) keep every template of a leaf: the tokens beyond
+the leaf's are cut into ``FINE`` runs, and each choice of at most two runs to leave open, holding no more than
+``1 - ALIKE`` of those tokens, is a template if enough documents agree in all the other runs.
 """
 
 from __future__ import annotations
@@ -145,42 +145,58 @@ def dedup_lines(docs: DataFrame, similar: float = SIMILAR, min_docs: int = MIN_D
     return out.withColumn("text", _rest(gone)).select(docs.columns)
 
 
-def line_report(docs: DataFrame, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, text) of every row."""
+def line_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text) of every row by the rule of ``cut_lines``; lines that go are not in ``text``.
+
+    A null text has no lines and stays null; an empty one has one blank line. Blank lines and lines of a row with a null
+    id never go. Rows of one id are told apart by their texts; equal rows lose the same lines. A document that loses all
+    its lines has an empty text. Texts of any length are cut whole; an empty table gives no rows.
+    """
     docs = docs.select("doc_id", "text")
-    out, gone = _cleaned(docs, dropped_lines(docs, similar, min_docs))
+    gone = recurring_lines(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
+    out = docs.withColumn("text_hash", F.xxhash64("text")).join(gone.hint("shuffle_hash"), ["doc_id", "text_hash"], "left")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    dropped = F.when(gone.isNull(), 0).otherwise(F.size(gone))
-    return out.select("doc_id", lines.cast("bigint").alias("n_lines"), dropped.cast("bigint").alias("n_dropped"), _rest(gone).alias("text"))
+    dropped = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return out.select("doc_id", lines.cast("bigint").alias("n_lines"), dropped.cast("bigint").alias("n_dropped"), _rest(F.col("gone")).alias("text"))
 
 
-_PART = "array_to_string(t[CAST(floor(n * {j} / 8.0) AS INT) + 1:CAST(floor(n * ({j} + 1) / 8.0) AS INT)], ' ')"
+_RUN = "array_to_string(t[4 + CAST(floor((n - 3) * {j} / 10.0) AS INT):3 + CAST(floor((n - 3) * ({j} + 1) / 10.0) AS INT)], ' ')"
+_SIZE = "CAST(floor((n - 3) * ({j} + 1) / 10.0) - floor((n - 3) * {j} / 10.0) AS INT)"
 SQL = rf"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d
 ), t AS (
-  SELECT doc_id, i, string_split(trim(regexp_replace(regexp_replace(translate(line, '123456789' || chr(9) || chr(13), '000000000  '), '0+', '0', 'g'), ' +', ' ', 'g'), ' '), ' ') AS t FROM l
+  SELECT doc_id, text, i, trim(regexp_replace(regexp_replace(translate(line, '123456789' || chr(9) || chr(13), '000000000  '), '0+', '0', 'g'), ' +', ' ', 'g'), ' ') AS line FROM l
 ), k AS (
-  SELECT doc_id, i, t, len(t) AS n, len(t) || ':' || array_to_string(t[1:3], ' ') AS leaf FROM t WHERE t[1] <> ''
-), f AS (
-  SELECT leaf, doc_id, i, n, [{", ".join(_PART.format(j=j) for j in range(8))}] AS r FROM k
-  WHERE leaf IN (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3)
+  SELECT doc_id, text, i, line, string_split(line, ' ') AS t, len(string_split(line, ' ')) AS n, len(string_split(line, ' ')) || ':' || array_to_string(string_split(line, ' ')[1:3], ' ') AS leaf FROM t WHERE line <> ''
+), w AS (
+  SELECT leaf, line, n, any_value(t) AS t, count(DISTINCT doc_id) AS docs, min(doc_id) AS low, max(doc_id) AS high FROM k GROUP BY leaf, line, n
+), e AS (
+  SELECT line, low AS first FROM w WHERE docs >= CASE WHEN n > 50 THEN 2 ELSE 3 END
 ), c AS (
-  SELECT leaf, j, r[j + 1] AS run, count(*) AS c, min(struct_pack(d := doc_id, i := i)) AS first FROM f, range(8) AS x(j) GROUP BY ALL
-), b AS (
-  SELECT leaf, j, run, row_number() OVER (PARTITION BY leaf, j ORDER BY c DESC, first.d, first.i) AS rn FROM c
+  SELECT leaf FROM w WHERE (n - 3) * 0.2 > 1 - 1e-9 GROUP BY leaf HAVING min(line) <> max(line) AND min(low) <> max(high)
+), r AS (
+  SELECT leaf, line, docs, low, high, n, [{", ".join(_RUN.format(j=j) for j in range(FINE))}] AS r, [{", ".join(_SIZE.format(j=j) for j in range(FINE))}] AS s FROM w JOIN c USING (leaf)
+), o AS (
+  SELECT r.*, a, b FROM r, range({FINE}) AS x(a), range({FINE}) AS y(b)
+  WHERE a <= b AND s[a + 1] > 0 AND s[b + 1] > 0 AND CASE WHEN a = b THEN s[a + 1] ELSE s[a + 1] + s[b + 1] END <= (n - 3) * 0.2 + 1e-9
+), p AS (
+  SELECT struct_pack(leaf := leaf, a := a, b := b, rest := list_transform(r, lambda x, i: CASE WHEN i = a + 1 OR i = b + 1 THEN '' ELSE x END)) AS p, line, docs, low, high FROM o
 ), m AS (
-  SELECT f.leaf, f.doc_id, f.i FROM f JOIN b ON f.leaf = b.leaf AND b.rn = 1
-  GROUP BY f.leaf, f.doc_id, f.i, f.n
-  HAVING sum(CASE WHEN f.r[b.j + 1] = b.run THEN floor(f.n * (b.j + 1) / 8.0) - floor(f.n * b.j / 8.0) ELSE 0 END) >= f.n * 0.6
+  SELECT p, max(docs) AS docs, min(low) AS first FROM p GROUP BY p HAVING min(line) <> max(line)
+), v AS (
+  SELECT p, count(DISTINCT x) AS met FROM (SELECT p, unnest([low, high]) AS x FROM p) GROUP BY p
 ), g AS (
-  SELECT leaf, min(doc_id) AS d FROM m GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3
+  SELECT p.line, m.first FROM p JOIN m ON m.p = p.p JOIN v ON v.p = p.p WHERE greatest(m.docs, v.met) >= 3
+), f AS (
+  SELECT line, min(first) AS first FROM (SELECT * FROM e UNION ALL SELECT * FROM g) GROUP BY line
 ), x AS (
-  SELECT m.doc_id, list(m.i) AS gone FROM m JOIN g USING (leaf) WHERE m.doc_id <> g.d GROUP BY m.doc_id
+  SELECT k.doc_id, k.text, list(k.i) AS gone FROM k JOIN f ON f.line = k.line WHERE k.doc_id > f.first GROUP BY k.doc_id, k.text
 )
 SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(x.gone), 0) AS BIGINT) AS n_dropped,
   CASE WHEN x.gone IS NULL THEN d.text ELSE coalesce(array_to_string(list_filter(string_split(d.text, chr(10)), lambda v, i: NOT list_contains(x.gone, i - 1)), chr(10)), '') END AS text
-FROM documents d LEFT JOIN x USING (doc_id)
+FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id AND x.text = d.text
 """
 
 
