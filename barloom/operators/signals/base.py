@@ -69,8 +69,16 @@ def signal_frame(bars: DataFrame, names: Sequence[str], di: int = 1) -> DataFram
 
     A second value of a signal appears as ``<name>_v2`` (``<name>_2nd`` if a signal of that name is there); ``di`` > 1 reads the label di-1 bars back.
     """
+    out = label_frame(base_columns(bars), names)
+    if di > 1:
+        labels = [x for x in out.columns if x not in ("code", "ts")]
+        out = out.select("code", "ts", *[F.coalesce(S.lag(x, di - 1), F.lit(NONE)).alias(x) for x in labels])
+    return out
+
+
+def label_frame(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The labels of ``signal_frame`` from bars that have their base columns; ``keep`` names columns to carry along."""
     todo = [SIGNALS[n] for n in names]
-    df = base_columns(bars)
     before = {k: f for s in todo for k, f in s.before.items()}
     if before:
         df = df.select("*", *[f().alias(k) for k, f in before.items()])
@@ -86,11 +94,7 @@ def signal_frame(bars: DataFrame, names: Sequence[str], di: int = 1) -> DataFram
             name = s.name if j == 0 else f"{s.name}_2nd" if f"{s.name}_v2" in names else f"{s.name}_v2"
             none = NONE if j == 0 else "任意"
             cols.append(F.when(c("i") + 1 >= s.need, F.coalesce(p, F.lit(none))).otherwise(F.lit(none)).alias(name))
-    out = df.select("code", "ts", *cols)
-    if di > 1:
-        labels = [x for x in out.columns if x not in ("code", "ts")]
-        out = out.select("code", "ts", *[F.coalesce(S.lag(x, di - 1), F.lit(NONE)).alias(x) for x in labels])
-    return out
+    return df.select("code", "ts", *keep, *cols)
 
 
 def signal_rows(frame: DataFrame, level: str) -> DataFrame:

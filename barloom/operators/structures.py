@@ -7,9 +7,9 @@ strokes, run by Spark per code. Everything else is windows, joins and aggregates
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +53,32 @@ def merge_inclusions(bars: DataFrame) -> DataFrame:
         _merge_pdf, f"code {code}, ts {ts}, open double, high double, low double, close double, volume double, amount double, n_merged long")
 
 
+def inclusion_test(bars: DataFrame) -> DataFrame:
+    """Each bar against the one before: ``holds`` it, lies ``inside`` it (equal ranges count as that), or ``none``."""
+    ph, pl = S.lag("high"), S.lag("low")
+    kind = ladder(((ph >= c("high")) & (pl <= c("low")), "inside"), ((c("high") >= ph) & (c("low") <= pl), "holds"), default="none")
+    return bars.select("code", "ts", "high", "low", ph.alias("p_high"), pl.alias("p_low"), kind.alias("inclusion")).where(c("p_high").isNotNull())
+
+
+def merge_direction(bars: DataFrame) -> DataFrame:
+    """The direction in which a bar would join the one before: rising if that one's high passed its own predecessor's, or
+    if it has none."""
+    up = S.lag("high", 2).isNull() | (S.lag("high") > S.lag("high", 2))
+    return bars.select("code", "ts", S.lag("high").alias("_p"), F.when(up, "up").otherwise("down").alias("direction")).where(c("_p").isNotNull()).drop("_p")
+
+
+def merge_pairs(bars: DataFrame) -> DataFrame:
+    """Every bar that includes or is included by the one before, and the bar the two make: higher edges when rising, lower
+    ones when falling, widened to hold the first open and the last close."""
+    p = {x: S.lag(x) for x in ("open", "high", "low")}
+    d = bars.select("code", "ts", "high", "low", "close", *[x.alias(f"p_{k}") for k, x in p.items()])
+    d = d.join(inclusion_test(bars).where("inclusion <> 'none'").select("code", "ts", "inclusion"), ["code", "ts"]).join(merge_direction(bars), ["code", "ts"])
+    up = c("direction") == "up"
+    high = F.when(up, F.greatest("p_high", "high")).otherwise(F.least("p_high", "high"))
+    low = F.when(up, F.greatest("p_low", "low")).otherwise(F.least("p_low", "low"))
+    return d.select("code", "ts", "inclusion", "direction", c("p_open").alias("open"), F.greatest(high, "p_open", "close").alias("high"), F.least(low, "p_open", "close").alias("low"), "close")
+
+
 # ---- fractals ------------------------------------------------------------------------------------
 
 def fractals(bars: DataFrame, strict: bool = True) -> DataFrame:
@@ -501,15 +527,30 @@ def gap_persistence(bars: DataFrame, n: int = 3) -> DataFrame:
     return d.select("code", "ts", "gap", "edge", "pct", F.when(c("gap") == "up", c("_lo") > c("edge")).otherwise(c("_hi") < c("edge")).alias("held"))
 
 
+def bars_to_fill(high, low, gap, edge) -> list[float]:
+    """For every gap the bars until a low (of an up gap) or a high (of a down gap) reaches its edge; nan while open.
+
+    Open gaps wait in two heaps, nearest edge first, so a bar looks only at the gaps that it fills."""
+    out = [float("nan")] * len(high)
+    below: list[tuple[float, int]] = []  # up gaps: the highest edge is reached first
+    above: list[tuple[float, int]] = []
+    for t, (h, l, g, e) in enumerate(zip(high, low, gap, edge)):
+        while below and l <= -below[0][0]:
+            k = heapq.heappop(below)[1]
+            out[k] = float(t - k)
+        while above and h >= above[0][0]:
+            k = heapq.heappop(above)[1]
+            out[k] = float(t - k)
+        if g == "up":
+            heapq.heappush(below, (-e, t))
+        elif g == "down":
+            heapq.heappush(above, (e, t))
+    return out
+
+
 def _fills_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("i").reset_index(drop=True)
-    high, low = pdf["high"].to_numpy(), pdf["low"].to_numpy()
-    out = np.full(len(pdf), np.nan)
-    for t in np.flatnonzero(pdf["gap"].notna().to_numpy()):
-        hit = low[t + 1:] <= pdf["edge"][t] if pdf["gap"][t] == "up" else high[t + 1:] >= pdf["edge"][t]
-        if hit.any():
-            out[t] = hit.argmax() + 1
-    pdf["bars_to_fill"] = out
+    pdf["bars_to_fill"] = bars_to_fill(*(pdf[k].tolist() for k in ("high", "low", "gap", "edge")))
     return pdf.loc[pdf["gap"].notna(), ["code", "ts", "gap", "bars_to_fill"]]
 
 
@@ -591,18 +632,20 @@ CATEGORY_WEIGHTS = {"cxt": 0.30, "tas": 0.25, "vol": 0.15, "bar": 0.10, "pos": 0
 
 
 def score_signals(signals: DataFrame, table: DataFrame) -> DataFrame:
-    """Score of each (name, v1) from a table (name, value, score): exact match, else prefix, else substring; 0 if none.
+    """Score of each (name, v1) from a table (name, value, score, ord): the longest run of the label's parts that is an
+    entry; failing that, the first entry that holds the label or is held by it; 0 if none.
 
-    The score table lists label words, so its size does not grow with the market: broadcast.
+    Labels repeat from bar to bar, so each distinct one is looked up once: its parts, shortened one by one from the end,
+    meet the entries by equality. Only labels without such an entry are compared with the entries of their signal.
     """
-    t = table.select("name", "value", c("score").alias("_sc"))
-    d = signals.join(F.broadcast(t), "name", "left")
-    hit = ladder((c("v1") == c("value"), 3), (c("v1").startswith(c("value")), 2), (c("v1").contains(c("value")) | c("value").contains(c("v1")), 1), default=0)
-    best = d.withColumn("_h", F.coalesce(hit, F.lit(0)))
-    keys = [x for x in signals.columns]
-    # the better kind of match first, then the longer entry, then the larger word
-    pick = F.max_by(F.when(c("_h") > 0, c("_sc")), F.struct("_h", F.length("value").alias("_l"), F.coalesce("value", F.lit("")).alias("_v")))
-    return best.groupBy(*keys).agg(F.coalesce(pick, F.lit(0.0)).alias("score"))
+    t = table.select("name", "value", c("score").alias("_sc"), c("ord").alias("_o"))
+    labels = signals.select("name", "v1").distinct()
+    parts = F.split("v1", "_")
+    runs = labels.select("name", "v1", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws("_", F.slice(parts, F.lit(1), k)))).alias("_n", "value"))
+    exact = runs.join(t, ["name", "value"]).groupBy("name", "v1").agg(F.max_by("_sc", "_n").alias("_e"))
+    rest = labels.join(exact, ["name", "v1"], "left_anti").join(t, "name").where(c("v1").contains(c("value")) | c("value").contains(c("v1")))
+    loose = rest.groupBy("name", "v1").agg(F.min_by("_sc", "_o").alias("_e"))
+    return signals.join(exact.unionByName(loose), ["name", "v1"], "left").select(*signals.columns, F.coalesce("_e", F.lit(0.0)).alias("score"))
 
 
 def fuse_categories(scored: DataFrame, weights: Mapping[str, float] = CATEGORY_WEIGHTS, compat: bool = False) -> DataFrame:
@@ -622,32 +665,60 @@ def fuse_categories(scored: DataFrame, weights: Mapping[str, float] = CATEGORY_W
                     ladder(((f >= 70) | (f <= 30), "strong"), ((f >= 58) | (f <= 42), "medium"), default="weak").alias("power"))
 
 
-def strategy_matches(signals: DataFrame, fused: DataFrame, rules: Sequence[dict]) -> DataFrame:
-    """Rules with all / any / none conditions (name, text) over the labels of one (code, ts), a minimum final
-    score and minimum family scores. Labels are folded to one row per (code, ts) with one flag per condition."""
-    conds = sorted({x for r in rules for k in ("all", "any", "not") for x in r.get(k, ())})
-    cats = sorted({k for r in rules for k in r.get("min_category", {})})
-    aggs = [F.max(((c("name") == n) & c("v1").contains(t)).cast("int")).alias(f"_c{i}") for i, (n, t) in enumerate(conds)]
-    aggs += [F.avg(F.when(c("category") == k, c("score"))).alias(f"_k_{k}") for k in cats]
-    flags = signals.groupBy("code", "ts").agg(*aggs).join(fused.select("code", "ts", "final"), ["code", "ts"])
-    at = {x: c(f"_c{i}") == 1 for i, x in enumerate(conds)}
-    out = []
-    for r in rules:
-        ok = c("final") >= r.get("min_score", 0)
-        for x in r.get("all", ()):
-            ok = ok & at[x]
-        for x in r.get("not", ()):
-            ok = ok & ~at[x]
-        if r.get("any"):
-            anyof = F.lit(False)
-            for x in r["any"]:
-                anyof = anyof | at[x]
-            ok = ok & anyof
-        for k, m in r.get("min_category", {}).items():
-            ok = ok & (F.coalesce(c(f"_k_{k}"), F.lit(0.0)) >= m)
-        out.append(F.when(ok, F.lit(r["name"])))
-    hits = F.filter(F.array(*out), lambda x: x.isNotNull())
-    return flags.select("code", "ts", "final", F.explode(hits).alias("strategy"))
+BITS = 62
+
+
+def rule_table(spark, rules: Sequence[Mapping]) -> tuple[DataFrame, DataFrame, int]:
+    """Rules as two tables, and the number of condition words.
+
+    Conditions are numbered over all rules: (name, text, word, bit). A rule is one mask a word for each of all / any / not,
+    a least final score and least category scores. Rules may be any number; the plan is the same."""
+    conds = sorted({tuple(x) for r in rules for k in ("all", "any", "not") for x in r.get(k, ())})
+    at = {x: divmod(i, BITS) for i, x in enumerate(conds)}
+    words = len(conds) // BITS + 1
+
+    def masks(xs):
+        out = [0] * words
+        for x in xs:
+            w, bit = at[tuple(x)]
+            out[w] |= 1 << bit
+        return out
+
+    rows = [(r["name"], masks(r.get("all", ())), masks(r.get("any", ())), masks(r.get("not", ())), float(r.get("min_score", 0)), sorted((k, float(v)) for k, v in r.get("min_category", {}).items())) for r in rules]
+    table = spark.createDataFrame(rows, "strategy string, all array<bigint>, any array<bigint>, none array<bigint>, least double, floors array<struct<category: string, least: double>>")
+    return spark.createDataFrame([(n, t, *at[n, t]) for n, t in conds], "name string, text string, word int, bit int"), table, words
+
+
+def rule_matches(signals: DataFrame, rules: Sequence[Mapping], finals: DataFrame | None = None, scores: DataFrame | None = None, keys: Sequence[str] = ("code", "ts")) -> DataFrame:
+    """(keys, final, strategy) of the rules that hold at each key.
+
+    A key's labels (name, v1) become one bitmap of the conditions they meet, so a rule is a test of bits: all of its
+    ``all`` bits, one of its ``any`` bits if it has any, none of its ``not`` bits. ``finals`` (keys, final) and ``scores``
+    (keys, category, m) are held against the rule's least scores; a missing category counts as 0. The rule tables are
+    parameters of fixed size and are broadcast."""
+    conds, table, words = rule_table(signals.sparkSession, rules)
+    hit = signals.join(F.broadcast(conds), "name").where((c("text") == "任意") | c("v1").contains(c("text")))
+    bits = [F.coalesce(F.bit_or(F.when(c("word") == w, F.expr("shiftleft(CAST(1 AS BIGINT), bit)"))), F.lit(0).cast("bigint")) for w in range(words)]
+    d = hit.groupBy(*keys).agg(F.array(*bits).alias("_b"))
+    d = signals.select(*keys).distinct().join(d, list(keys), "left").withColumn("_b", F.coalesce("_b", F.array(*[F.lit(0).cast("bigint")] * words)))
+    d = d.join(finals.select(*keys, "final"), list(keys)) if finals is not None else d.withColumn("final", F.lit(None).cast("double"))
+    if scores is not None:
+        m = scores.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("category", "m"))).alias("_m"))
+        d = d.join(m, list(keys), "left")
+    else:
+        d = d.withColumn("_m", F.lit(None).cast("map<string,double>"))
+    d = d.crossJoin(F.broadcast(table))  # a fixed number of rules for each key
+    each = lambda f: [f(c("_b")[w], w) for w in range(words)]
+    ok = c("final").isNull() | (c("final") >= c("least"))
+    for x in each(lambda b, w: (b.bitwiseAND(c("all")[w]) == c("all")[w]) & (b.bitwiseAND(c("none")[w]) == 0)):
+        ok = ok & x
+    some = each(lambda b, w: b.bitwiseAND(c("any")[w]) != 0)
+    free = each(lambda b, w: c("any")[w] == 0)
+    anyof, noany = some[0], free[0]
+    for x, y in zip(some[1:], free[1:]):
+        anyof, noany = anyof | x, noany & y
+    floors = F.forall("floors", lambda x: F.coalesce(F.element_at(c("_m"), x["category"]), F.lit(0.0)) >= x["least"])
+    return d.where(ok & (noany | anyof) & (floors | c("final").isNull())).select(*keys, "final", "strategy")
 
 
 def divergence_selector(points: DataFrame, n: int = 50) -> DataFrame:

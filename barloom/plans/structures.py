@@ -16,6 +16,9 @@ from barloom.operators import indicators as I
 from barloom.operators import signals as G
 from barloom.operators import structures as X
 from barloom.operators.signals import cxt
+from barloom.operators.signals.base import NONE
+from barloom.operators.signals.library import signal_library
+from barloom.operators.states import EVENTS, POINT_NAMES, asof_many, event_labels, state_signals
 from barloom.plans import bindings as D
 from barloom.plans.frames import BASE, MACD, WIN, over, staged
 from barloom.plans.registry import query
@@ -193,6 +196,28 @@ def merge(spark, sf):
     return X.merge_inclusions(bars(spark, sf))
 
 
+INC = BASE + """,
+ic AS (SELECT *, CASE WHEN ph >= high AND pl <= low THEN 'inside' WHEN high >= ph AND low <= pl THEN 'holds' ELSE 'none' END AS inclusion,
+  CASE WHEN lag(high, 2) OVER w IS NULL OR ph > lag(high, 2) OVER w THEN 'up' ELSE 'down' END AS direction FROM b WINDOW w AS (PARTITION BY code ORDER BY ts)),
+im AS (SELECT code, ts, inclusion, direction, po AS open, close, CASE WHEN direction = 'up' THEN greatest(ph, high) ELSE least(ph, high) END AS h, CASE WHEN direction = 'up' THEN greatest(pl, low) ELSE least(pl, low) END AS l FROM ic WHERE ph IS NOT NULL AND inclusion <> 'none')"""
+
+
+@query("c02_inclusion_test", "code:s ts:d inclusion:s", INC + "\n---\nSELECT code, ts, inclusion FROM ic WHERE ph IS NOT NULL")
+def inclusion(spark, sf):
+    return X.inclusion_test(bars(spark, sf))
+
+
+@query("c03_merge_direction", "code:s ts:d direction:s", INC + "\n---\nSELECT code, ts, direction FROM ic WHERE ph IS NOT NULL")
+def direction(spark, sf):
+    return X.merge_direction(bars(spark, sf))
+
+
+@query("c04_merge_rule", "code:s ts:d inclusion:s direction:s open:f8 high:f8 low:f8 close:f8", INC + "\n---\nSELECT code, ts, inclusion, direction, open, greatest(h, open, close) AS high, least(l, open, close) AS low, close FROM im")
+def merge_rule(spark, sf):
+    """What each pair of neighbouring weekly bars would become."""
+    return X.merge_pairs(bars(spark, sf))
+
+
 @query("c05_fractals", "code:s ts:d kind:i price:f8", FX + "\n---\nSELECT * FROM fx")
 def fractals(spark, sf):
     """Tops (1) and bottoms (-1) of the weekly bars."""
@@ -570,8 +595,38 @@ def harmonic(spark, sf):
 SCORES = [("bar_zdf", "大涨", 60.0), ("bar_zdf", "涨", 30.0), ("bar_zdf", "大跌", -60.0), ("bar_zdf", "跌", -30.0), ("bar_channel", "上轨", 40.0), ("bar_channel", "下轨附近", -40.0), ("vol_single_ma", "巨量", 50.0), ("vol_single_ma", "量", -10.0),
           ("jcc_engulfing", "看涨", 70.0), ("jcc_engulfing", "看跌吞没", -70.0), ("sta_consecutive", "连涨", 35.0), ("sta_consecutive", "连跌", -35.0)]
 NAMES = ["bar_zdf", "bar_channel", "vol_single_ma", "jcc_engulfing", "sta_consecutive"]
-RULES = [{"name": "rebound", "all": [("bar_zdf", "大涨")], "any": [("jcc_engulfing", "看涨"), ("sta_consecutive", "连涨")], "not": [("vol_single_ma", "地量")], "min_score": 55, "min_category": {"bar": 20}},
-         {"name": "breakdown", "all": [("bar_zdf", "大跌")], "not": [("jcc_engulfing", "看涨")], "min_score": 0}]
+# The named strategies. Conditions are (signal, text in its label).
+STRATEGIES = [
+    {"name": "底背驰反转", "all": [("cxt_backchi_signal", "底背驰")], "any": [("tas_macd_cross", "金叉"), ("tas_kdj_cross", "金叉"), ("tas_double_ma", "金叉")],
+     "not": [("cxt_backchi_signal", "顶背驰"), ("tas_rsi_status", "超买")], "min_score": 58, "min_category": {"cxt": 10}},
+    {"name": "一类买点", "all": [("cxt_first_buy", "一类买")], "any": [("tas_macd_bc", "底背驰"), ("cxt_bi_macd_diverge", "底背离")],
+     "not": [("cxt_backchi_signal", "顶背驰")], "min_score": 60, "min_category": {"cxt": 20}},
+    {"name": "中枢突破追涨", "all": [("cxt_zs_breakout", "向上突破")], "any": [("tas_ma_system", "多头排列"), ("tas_double_ma", "金叉")],
+     "not": [("cxt_backchi_signal", "顶背驰"), ("tas_rsi_status", "超买")], "min_score": 60, "min_category": {"cxt": 15}},
+    {"name": "超卖反弹", "all": [("tas_rsi_status", "超卖")], "any": [("tas_kdj_cross", "金叉"), ("jcc_hammer", "锤子线"), ("jcc_engulfing", "看多吞没"), ("jcc_xing_xian", "晨星")],
+     "not": [("tas_ma_system", "空头排列")], "min_score": 52},
+    {"name": "均线多头回踩", "all": [("tas_ma_system", "多头排列"), ("pos_above_ma", "均线上方")], "any": [("tas_boll_status", "中轨上方"), ("pos_support_resistance", "支撑位附近"), ("vol_shrink", "缩量")],
+     "not": [("bar_zdf", "大跌"), ("bar_zdf", "跌停")], "min_score": 58, "min_category": {"tas": 10}},
+    {"name": "三类买点回试", "all": [("cxt_third_buy", "三类买")], "any": [("vol_break", "放量突破"), ("tas_volume_price", "价涨量增")],
+     "not": [("cxt_backchi_signal", "顶背驰")], "min_score": 55, "min_category": {"cxt": 15}},
+    {"name": "顶背驰逃顶", "all": [("cxt_backchi_signal", "顶背驰")], "any": [("tas_macd_cross", "死叉"), ("tas_kdj_cross", "死叉"), ("jcc_wu_yun_gai_ding", "乌云盖顶"), ("jcc_three_crow", "三只乌鸦")],
+     "not": [("tas_ma_system", "多头排列")], "min_score": 40, "min_category": {"cxt": -10}},
+    {"name": "缩量阴跌风险", "all": [("tas_ma_system", "空头排列")], "any": [("vol_shrink", "缩量"), ("tas_rsi_status", "偏弱")],
+     "not": [("cxt_backchi_signal", "底背驰")], "min_score": 42, "min_category": {"tas": -10}},
+]
+# Scores of the labels of the signals that strategies read.
+RULE_SCORES = {
+    "cxt_first_buy": {"一类买": 80, "一类买_确认": 90, "一类买_未确认": 55}, "cxt_third_buy": {"三类买": 60, "三类买_确认": 70}, "cxt_zs_breakout": {"向上突破": 70, "向下突破": -70, "在中枢内": 0},
+    "cxt_backchi_signal": {"底背驰": 75, "顶背驰": -75, "无背驰": 0, "底背驰_强": 90, "顶背驰_强": -90}, "cxt_bi_macd_diverge": {"底背离": 65, "顶背离": -65, "无背离": 0},
+    "tas_macd_cross": {"金叉": 60, "死叉": -60}, "tas_macd_bc": {"底背驰": 70, "顶背驰": -70, "无背驰": 0}, "tas_ma_system": {"多头排列": 55, "空头排列": -55, "交叉排列": 0},
+    "tas_double_ma": {"金叉": 50, "死叉": -50, "多头": 25, "空头": -25}, "tas_boll_status": {"上轨附近": -20, "中轨上方": 20, "中轨附近": 0, "中轨下方": -15, "下轨附近": 25},
+    "tas_kdj_cross": {"金叉": 45, "死叉": -45, "超买": -30, "超卖": 30}, "tas_rsi_status": {"超买": -35, "超卖": 35, "中性": 0, "偏强": 15, "偏弱": -15},
+    "tas_volume_price": {"价涨量增": 40, "价跌量缩": 10, "价涨量缩": -15, "价跌量增": -35, "量价中性": 0}, "bar_zdf": {"涨停": 80, "大涨": 50, "小涨": 20, "横盘": 0, "小跌": -20, "大跌": -50, "跌停": -80},
+    "vol_break": {"放量突破": 60, "缩量突破": 20, "放量下跌": -50, "缩量下跌": -15, "无突破": 0}, "vol_shrink": {"缩量": -15, "放量": 25, "正常": 0}, "jcc_wu_yun_gai_ding": {"乌云盖顶": -55},
+    "jcc_xing_xian": {"晨星": 55, "暮星": -55}, "jcc_three_crow": {"三只乌鸦": -55}, "jcc_hammer": {"锤子线": 45, "上吊线": -40}, "jcc_engulfing": {"看多吞没": 55, "看空吞没": -55},
+    "pos_above_ma": {"均线上方": 25, "均线下方": -25, "均线附近": 0},
+}
+RULE_ROWS = [(n, v, float(x)) for n, t in RULE_SCORES.items() for v, x in t.items()]
 
 
 def _signal_sql():
@@ -587,9 +642,17 @@ def _signal_sql():
 
 import barloom.plans.signals  # noqa: E402,F401  (the label queries above come first)
 
-SG = _signal_sql() + ",\nst(name, value, sc) AS (VALUES " + ", ".join(f"('{a}', '{b}', {v}e0)" for a, b, v in SCORES) + """),
-sh AS (SELECT sig.*, sc, value, CASE WHEN v1 = value THEN 3 WHEN starts_with(v1, value) THEN 2 WHEN contains(v1, value) OR contains(value, v1) THEN 1 ELSE 0 END AS h FROM sig LEFT JOIN st USING (name)),
-ss AS (SELECT code, ts, name, category, v1, coalesce(arg_max(sc, struct_pack(h := h, l := length(value), v := value)) FILTER (h > 0), 0) AS score FROM sh GROUP BY 1, 2, 3, 4, 5)"""
+
+def score_sql(rows, src="sig"):
+    """``ss``: the rows of ``src`` (code, ts, name, category, v1) with their scores."""
+    return "st(name, value, sc, o) AS (VALUES " + ", ".join(f"('{a}', '{b}', {v}e0, {i})" for i, (a, b, v) in enumerate(rows)) + f"""),
+sl AS (SELECT DISTINCT name, v1 FROM {src}),
+sx AS (SELECT l.name, l.v1, arg_max(st.sc, n) AS sc FROM (SELECT name, v1, unnest(range(1, len(string_split(v1, '_')) + 1)) AS n FROM sl) l JOIN st ON st.name = l.name AND st.value = array_to_string(string_split(l.v1, '_')[1:n], '_') GROUP BY 1, 2),
+sy AS (SELECT l.name, l.v1, arg_min(st.sc, st.o) AS sc FROM sl l JOIN st ON st.name = l.name AND (contains(l.v1, st.value) OR contains(st.value, l.v1)) WHERE NOT EXISTS (SELECT 1 FROM sx WHERE sx.name = l.name AND sx.v1 = l.v1) GROUP BY 1, 2),
+ss AS (SELECT s.*, coalesce(z.sc, 0) AS score FROM {src} s LEFT JOIN (SELECT * FROM sx UNION ALL SELECT * FROM sy) z ON z.name = s.name AND z.v1 = s.v1)"""
+
+
+SG = _signal_sql() + ",\n" + score_sql(SCORES)
 FU = SG + """,
 fc AS (SELECT code, ts, category, avg(score) AS m FROM ss GROUP BY 1, 2, 3),
 fw AS (SELECT code, ts, sum(m * w) / sum(w) AS total, CASE WHEN greatest(count_if(m > 10), count_if(m < -10)) >= 3 THEN 0.2 WHEN greatest(count_if(m > 10), count_if(m < -10)) >= 2 THEN 0.1 ELSE 0 END AS bonus, count(*) AS families
@@ -601,8 +664,12 @@ def _signals(spark, sf):
     return G.signal_rows(G.signal_frame(bars(spark, sf), NAMES), "week").withColumn("ts", F.date_format("ts", "yyyy-MM-dd"))
 
 
+def _score_table(spark, rows):
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "name string, value string, score double, ord int")
+
+
 def _scored(spark, sf):
-    return X.score_signals(_signals(spark, sf).select("code", "ts", "name", "category", "v1"), spark.createDataFrame(SCORES, "name string, value string, score double"))
+    return X.score_signals(_signals(spark, sf).select("code", "ts", "name", "category", "v1"), _score_table(spark, SCORES))
 
 
 @query("c35_signal_scores", "code:s ts:s name:s v1:s score:f2", SG + "\n---\nSELECT * FROM ss")
@@ -617,26 +684,6 @@ def fusion(spark, sf):
     return X.fuse_categories(_scored(spark, sf))
 
 
-@query("c37_signal_strategies", "code:s ts:s final:f4 strategy:s", FU + """,
-fl AS (SELECT code, ts, bool_or(name = 'bar_zdf' AND contains(v1, '大涨')) AS up, bool_or(name = 'bar_zdf' AND contains(v1, '大跌')) AS dn, bool_or(name = 'jcc_engulfing' AND contains(v1, '看涨')) AS en, bool_or(name = 'sta_consecutive' AND contains(v1, '连涨')) AS co,
-  bool_or(name = 'vol_single_ma' AND contains(v1, '地量')) AS lo, avg(score) FILTER (category = 'bar') AS bar FROM ss GROUP BY 1, 2)
----
-SELECT code, ts, final, 'rebound' AS strategy FROM fl JOIN fu USING (code, ts) WHERE up AND (en OR co) AND NOT lo AND final >= 55 AND coalesce(bar, 0) >= 20
-UNION ALL SELECT code, ts, final, 'breakdown' FROM fl JOIN fu USING (code, ts) WHERE dn AND NOT en AND final >= 0""")
-def strategies(spark, sf):
-    s = _scored(spark, sf)
-    return X.strategy_matches(s, X.fuse_categories(s), RULES)
-
-
-@query("c38_event_rules", "code:s ts:s strategy:s", FU + """,
-fl AS (SELECT code, ts, bool_or(name = 'jcc_engulfing' AND contains(v1, '看涨')) AS en, bool_or(name = 'sta_consecutive' AND contains(v1, '连跌')) AS co FROM ss GROUP BY 1, 2)
----
-SELECT code, ts, 'turn_up' AS strategy FROM fl JOIN fu USING (code, ts) WHERE en AND final >= 0""")
-def events(spark, sf):
-    s = _scored(spark, sf)
-    return X.strategy_matches(s, X.fuse_categories(s), [{"name": "turn_up", "all": [("jcc_engulfing", "看涨")]}])
-
-
 @query("c39_divergence_selector", "code:s kind:s score:f4 power:s stop_loss:f4 take_profit:f4", DV + """,
 dl AS (SELECT code, kind, reliability, area_ratio, gap_pct, extreme AS price, CASE WHEN kind = 'bottom' THEN -1 ELSE 1 END AS dif FROM dv QUALIFY row_number() OVER (PARTITION BY code ORDER BY end_ts DESC) = 1),
 dk AS (SELECT *, CASE WHEN kind = 'bottom' THEN price * 0.95 ELSE price * 1.05 END AS stop_loss, CASE WHEN kind = 'bottom' THEN price * (1 + reliability * 0.15) ELSE price * (1 - reliability * 0.15) END AS take_profit FROM dl),
@@ -712,8 +759,12 @@ def segment_frame(t):
     return t.segments.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("seq")))
 
 
+STROKE_SQL, BAR_SQL = {}, {}
+
+
 def stroke_query(num, name, need, v1, v2=None, base=SF, extra=None, src="sf", frame=stroke_frame):
     cols = f"coalesce(CASE WHEN k >= {need} THEN {v1} END, '其他') AS {name}"
+    STROKE_SQL[name] = (need, v1, v2)
     spec = f"code:s seq:i {name}:s"
     if v2:
         cols += f", coalesce(CASE WHEN k >= {need} THEN {v2} END, '任意') AS {name}_v2"
@@ -811,6 +862,7 @@ def bar_frame(t):
 
 
 def bar_query(num, name, v1, v2=None):
+    BAR_SQL[name] = (v1, v2)
     cols = f"coalesce({v1}, '其他') AS {name}" + (f", coalesce({v2}, '任意') AS {name}_v2" if v2 else "")
 
     @query(f"g{num:03d}_{name}", f"code:s ts:d {name}:s" + (f" {name}_v2:s" if v2 else ""), f"{BF}\n---\nSELECT code, ts, {cols} FROM bh")
@@ -878,7 +930,7 @@ vb AS (SELECT code, ts, volume / avg(volume) OVER (PARTITION BY code ORDER BY ts
 ---
 SELECT bh.code, bh.ts, coalesce(CASE WHEN s_k >= 1 THEN CASE WHEN s_dir = -1 THEN '向上' ELSE '向下' END || CASE WHEN ubi < 3 THEN '新笔' WHEN ubi < 7 THEN '转折' ELSE '延伸' END END, '其他任意') AS bi,
   coalesce(CASE WHEN z_low IS NOT NULL THEN CASE WHEN close > z_high THEN '向上突破' WHEN close < z_low THEN '向下突破' ELSE '中枢内' END END, '其他') AS breakout, CASE WHEN vr >= 2 THEN '放量突破' ELSE '未突破' END AS power FROM bh JOIN vb ON vb.code = bh.code AND vb.ts = bh.ts""")
-def state_signals(spark, sf):
+def stroke_and_zone_states(spark, sf):
     """Stroke, zone and volume states side by side for every bar."""
     t = Level(spark, sf)
     b = I.base_columns(t.bars)
@@ -887,10 +939,212 @@ def state_signals(spark, sf):
     return d.join(v, ["code", "ts"]).select("code", "ts", F.concat("cxt_bi_status", "cxt_bi_status_v2").alias("bi"), c("cxt_zs_breakout").alias("breakout"), "power")
 
 
-_LIB = ["bar_zdf", "bar_channel", "vol_single_ma", "jcc_engulfing", "sta_consecutive"]
+# ---- the whole library, strategies and events ------------------------------------------------------
+DAYBASE = daily(BASE)
+
+
+def label_parts(names, base):
+    """One CTE a signal over a shared base: (text, [(cte, name, has second value)])."""
+    from barloom.plans.registry import ORACLES
+
+    text, found = [], []
+    for k, n in enumerate(names):
+        sql = ORACLES[next(q for q in ORACLES if re.fullmatch(rf"g\d+_{n}", q))]
+        head = "WITH " + BASE.strip()
+        if sql.startswith(head):
+            rest = sql[len(head):].lstrip(",\n ")
+            sql = rest if rest.startswith("SELECT") else "WITH " + rest
+        elif base != BASE:
+            sql = daily(sql)
+        text.append(f"lb{k} AS ({sql})")
+        found.append((f"lb{k}", n, f"AS {n}_v2" in sql))
+    return ",\n".join(text), found
 
 
-@query("c44_signal_library", "code:s ts:s level:s category:s name:s v1:s", _signal_sql() + "\n---\nSELECT code, ts, 'week' AS level, category, name, v1 FROM sig")
+def label_union(found, where=""):
+    one = lambda n, two: f"CASE WHEN {n} <> '其他' AND {n}_v2 <> '任意' THEN {n} || '_' || {n}_v2 ELSE {n} END" if two else n
+    return " UNION ALL ".join(f"SELECT code, ts, '{n}' AS name, '{n.split('_')[0]}' AS category, {one(n, two)} AS v1 FROM {cte} WHERE {n} <> '其他'{where}" for cte, n, two in found)
+
+
+def sqlable(names):
+    from barloom.plans.registry import ORACLES
+
+    return [n for n in names if any(re.fullmatch(rf"g\d+_{n}", q) for q in ORACLES)]
+
+
+STROKE_LABELS = ["cxt_first_buy", "cxt_third_buy", "cxt_bi_macd_diverge"]
+RULE_NAMES = sorted({x[0] for r in STRATEGIES for k in ("all", "any", "not") for x in r.get(k, ())})
+BAR_NAMES = [n for n in RULE_NAMES if not n.startswith("cxt_")]
+
+
+def structure_labels(spark, sf, t):
+    """For every bar the labels of its last finished stroke, zone and divergence."""
+    strokes_ = cxt.stroke_signals(_with_area(spark, sf, t, stroke_frame(t)), STROKE_LABELS).withColumnRenamed("ts", "s_ts")
+    d = X.asof(cxt.bar_signals(bar_frame(t), ["cxt_zs_breakout"]), strokes_, "ts", "s_ts", STROKE_LABELS, "")
+    d = X.asof(d, t.divergences, "ts", "end_ts", ["kind"], "d_")
+    none = [F.coalesce(n, F.lit(NONE)).alias(n) for n in STROKE_LABELS]
+    return d.select("code", "ts", "cxt_zs_breakout", *none, cxt.labelled(c("d_kind"), cxt.DIVERGENCE_LABELS).alias("cxt_backchi_signal"))
+
+
+def rule_signals(spark, sf):
+    t = Level(spark, sf)
+    bars_ = signal_library(t.bars, "day", BAR_NAMES)
+    return cut(bars_.unionByName(G.signal_rows(structure_labels(spark, sf, t), "day")).select("code", "ts", "name", "category", "v1"))
+
+
+_bar_text, _bar_found = label_parts(BAR_NAMES, DAYBASE)
+STRUCTURE_LABELS = SFM + "," + without(DV, _mt) + "," + without(BF, ZH) + """,
+zl AS (SELECT code, end_ts, """ + ", ".join(f"coalesce(CASE WHEN k >= {STROKE_SQL[n][0]} THEN {STROKE_SQL[n][1]} END, '其他') AS {n}" for n in STROKE_LABELS) + """ FROM sfm WINDOW q AS (PARTITION BY code ORDER BY seq)),
+xl AS (SELECT x.*, coalesce(z.cxt_first_buy, '其他') AS cxt_first_buy, coalesce(z.cxt_third_buy, '其他') AS cxt_third_buy, coalesce(z.cxt_bi_macd_diverge, '其他') AS cxt_bi_macd_diverge
+  FROM (SELECT code, ts, coalesce(""" + BAR_SQL["cxt_zs_breakout"][0] + f""", '其他') AS cxt_zs_breakout FROM bh) x ASOF LEFT JOIN zl z ON z.code = x.code AND x.ts >= z.end_ts),
+xd AS (SELECT x.*, {_label_sql('d.kind', cxt.DIVERGENCE_LABELS)} AS cxt_backchi_signal FROM xl x ASOF LEFT JOIN dv d ON d.code = x.code AND x.ts >= d.end_ts),
+xs_ AS (SELECT * REPLACE (strftime(ts, '%Y-%m-%d') AS ts) FROM xd)"""
+RULE_SIG = STRUCTURE_LABELS + ",\n" + _bar_text + ",\nsig AS (" + label_union(_bar_found) + " UNION ALL " + label_union([("xs_", n, False) for n in ("cxt_zs_breakout", *STROKE_LABELS, "cxt_backchi_signal")]) + ")"
+FUSED = """,
+fc AS (SELECT code, ts, category, avg(score) AS m FROM ss GROUP BY 1, 2, 3),
+fw AS (SELECT code, ts, sum(m * w) / sum(w) AS total, CASE WHEN greatest(count_if(m > 10), count_if(m < -10)) >= 3 THEN 0.2 WHEN greatest(count_if(m > 10), count_if(m < -10)) >= 2 THEN 0.1 ELSE 0 END AS bonus
+  FROM (SELECT *, CASE category """ + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in X.CATEGORY_WEIGHTS.items()) + """ END AS w FROM fc) GROUP BY 1, 2),
+fu AS (SELECT code, ts, greatest(0, least(100, 50 + total * 0.5 * (1 + bonus))) AS final FROM fw)"""
+
+
+def rule_sql(rules, src="ss", keys="code, ts"):
+    """One aggregate with a flag for each condition, one SELECT for each rule."""
+    conds = sorted({tuple(x) for r in rules for k in ("all", "any", "not") for x in r.get(k, ())})
+    flag = {x: f"f{i}" for i, x in enumerate(conds)}
+    text = "rf_ AS (SELECT " + keys + ", " + ", ".join(f"bool_or(name = '{n}' AND contains(v1, '{t}')) AS {flag[n, t]}" for n, t in conds) + f" FROM {src} GROUP BY ALL)"
+    body = []
+    for r in rules:
+        terms = [flag[tuple(x)] for x in r.get("all", ())] + [f"NOT {flag[tuple(x)]}" for x in r.get("not", ())]
+        if r.get("any"):
+            terms.append("(" + " OR ".join(flag[tuple(x)] for x in r["any"]) + ")")
+        if "min_score" in r:
+            terms.append(f"round(final, 9) >= {r['min_score']}")
+        for k, v in r.get("min_category", {}).items():
+            terms.append(f"round(coalesce((SELECT m FROM fc WHERE fc.code = z.code AND fc.ts = z.ts AND fc.category = '{k}'), 0), 9) >= {v}")
+        body.append((r["name"], " AND ".join(terms)))
+    return text, body
+
+
+_rt, _rb = rule_sql(STRATEGIES)
+
+
+@query("c37_signal_strategies", "code:s ts:s final:f4 strategy:s", RULE_SIG + ",\n" + score_sql(RULE_ROWS) + FUSED + ",\n" + _rt + "\n---\n" + " UNION ALL ".join(f"SELECT z.code, z.ts, final, '{n}' AS strategy FROM rf_ z JOIN fu ON fu.code = z.code AND fu.ts = z.ts WHERE {w}" for n, w in _rb))
+def strategies(spark, sf):
+    """The eight named strategies over the labels of every daily bar."""
+    s = cut(X.score_signals(rule_signals(spark, sf), _score_table(spark, RULE_ROWS)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd")))
+    finals = X.fuse_categories(s).withColumn("final", F.round("final", 9))
+    return X.rule_matches(s, STRATEGIES, finals, s.groupBy("code", "ts", "category").agg(F.round(F.avg("score"), 9).alias("m")))
+
+
+@query("c37_labels_of_strategies", "code:s ts:s name:s v1:s score:f2", RULE_SIG + ",\n" + score_sql(RULE_ROWS) + "\n---\nSELECT * FROM ss QUALIFY ts = max(ts) OVER (PARTITION BY code)")
+def strategy_labels(spark, sf):
+    """What the strategies read at each code's last day with a label."""
+    s = X.score_signals(rule_signals(spark, sf), _score_table(spark, RULE_ROWS)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd"))
+    return s.withColumn("_l", F.max("ts").over(Window.partitionBy("code"))).where(c("ts") == c("_l"))
+
+
+# ---- state signals and events --------------------------------------------------------------------
+def state_rows(spark, sf):
+    t = Level(spark, sf)
+    b = I.base_columns(t.bars)
+    vr = c("volume") / I.S.agg(F.avg, "volume", 20)
+    last = b.select("code", "ts", "close", "i", vr.alias("volume_ratio"), I.S.lead("ts").alias("_n")).where("_n is null").drop("_n")
+    fx_ = cxt.fx_power(t.fractals, t.zones).select("code", "ts", F.substring("cxt_fx_power", 1, 1).alias("word"), (c("cxt_fx_power_v2") == "有中枢").alias("zone"))
+    cross = G.signal_frame(t.bars, ["tas_macd_cross"])
+    d = asof_many(last, "ts", {"f_": (fx_, "ts", ["word", "zone"]), "s_": (t.strokes, "end_ts", ["dir", "end_i"]), "z_": (t.zones, "end_ts", ["low", "high"]), "d_": (t.divergences, "end_ts", ["kind"]), "x_": (cross, "ts", ["tas_macd_cross"])})
+    d = d.join(t.composite.select("code", "direction", "trend_strength", "risk"), "code", "left")
+    d = d.select("code", "close", "volume_ratio", c("x_tas_macd_cross").alias("cross"), (c("i") + 1 - c("s_end_i")).alias("ubi"), c("s_dir").alias("stroke_dir"), c("f_word").alias("fractal"), F.coalesce("f_zone", F.lit(False)).alias("fractal_zone"),
+                 c("z_low").alias("zone_low"), c("z_high").alias("zone_high"), c("d_kind").alias("divergence"), "direction", "trend_strength", "risk")
+    return state_signals(d, t.points)
+
+
+_ct, _cf = label_parts(["tas_macd_cross"], DAYBASE)
+_two = lambda x: f"format('{{:.2f}}', floor({x} * 100 + 0.5) / 100)"
+_pt = lambda k: "CASE point " + " ".join(f"WHEN '{p}' THEN '{v[k]}'" for p, v in POINT_NAMES.items()) + " END"
+_dv3 = "CASE dk WHEN 'top' THEN '顶背离' WHEN 'bottom' THEN '底背离' ELSE '无背离' END"
+_st3 = "CASE WHEN ubi < 3 THEN '新笔' WHEN ubi < 7 THEN '转折' ELSE '延伸' END"
+_w3 = lambda x, n: f"CASE WHEN {x} > 0.7 THEN '{n[0]}' WHEN {x} > 0.4 THEN '{n[1]}' ELSE '{n[2]}' END"
+STATES = RISK + "," + without(PTS, ZS) + "," + without(daily(DV), DAYBASE) + ",\n" + _ct + f""",
+la AS (SELECT code, ts, close, i, CASE WHEN count(*) OVER v >= 20 THEN volume / avg(volume) OVER v END AS vr FROM b WINDOW v AS (PARTITION BY code ORDER BY ts ROWS 19 PRECEDING) QUALIFY row_number() OVER (PARTITION BY code ORDER BY ts DESC) = 1),
+lf AS (SELECT f.code, CASE WHEN abs(f.close - f.open) / f.close > 0.02 THEN '强' WHEN abs(f.close - f.open) > 0 AND abs(f.close - f.open) / f.close < 0.005 THEN '弱' ELSE '中' END AS word, EXISTS (SELECT 1 FROM zs z WHERE z.code = f.code AND z.end_ts <= f.ts) AS has
+  FROM fx f QUALIFY row_number() OVER (PARTITION BY f.code ORDER BY f.ts DESC) = 1),
+lk AS (SELECT code, dir AS sdir, end_i FROM bi QUALIFY row_number() OVER (PARTITION BY code ORDER BY seq DESC) = 1), lzo AS (SELECT code, low AS zl, high AS zh FROM zs QUALIFY row_number() OVER (PARTITION BY code ORDER BY zone DESC) = 1),
+ldv AS (SELECT code, kind AS dk FROM dv QUALIFY row_number() OVER (PARTITION BY code ORDER BY end_ts DESC) = 1), lcr AS (SELECT code, tas_macd_cross AS cr FROM lb0 QUALIFY row_number() OVER (PARTITION BY code ORDER BY ts DESC) = 1),
+lall AS (SELECT la.*, word, has, sdir, la.i + 1 - end_i AS ubi, zl, zh, dk, cr, direction, trend_strength, risk FROM la LEFT JOIN lf ON lf.code = la.code LEFT JOIN lk ON lk.code = la.code LEFT JOIN lzo ON lzo.code = la.code LEFT JOIN ldv ON ldv.code = la.code LEFT JOIN lcr ON lcr.code = la.code LEFT JOIN rt ON rt.code = la.code),
+sta AS (SELECT code, '分型强弱' AS k2, 'D1F' AS k3, word AS v1, CASE WHEN has THEN '有中枢' ELSE '无中枢' END AS v2, '任意' AS v3, CASE word WHEN '强' THEN 1.0 WHEN '中' THEN 0.7 ELSE 0.4 END AS score FROM lall WHERE word IS NOT NULL
+  UNION ALL SELECT code, '笔状态', 'D0BL', CASE WHEN sdir = -1 THEN '向上' ELSE '向下' END, {_st3}, '任意', CASE WHEN {_st3} = '转折' THEN 0.8 ELSE 0.5 END FROM lall WHERE sdir IS NOT NULL
+  UNION ALL SELECT code, 'MACD', '信号', cr, {_dv3}, '任意', CASE WHEN dk IS NULL THEN 0.6 ELSE 0.9 END FROM lall
+  UNION ALL SELECT code, '趋势方向', '综合', direction, {_w3("trend_strength", "强中弱")}, '任意', trend_strength FROM lall WHERE direction IS NOT NULL
+  UNION ALL SELECT code, '风险等级', '评估', {_w3("risk", "高中低")}, CAST(floor(risk * 100 + 1e-9) AS BIGINT) || '%', '任意', 1 - risk FROM lall WHERE risk IS NOT NULL
+  UNION ALL SELECT code, '笔结束', 'BI_END', CASE WHEN word IS NULL THEN '延续' ELSE '结束' END, CASE WHEN dk IS NULL THEN 'MACD未确认' ELSE 'MACD确认' END, CASE WHEN sdir = -1 THEN '向下' ELSE '向上' END, CASE WHEN word IS NULL THEN 0.3 WHEN dk IS NULL THEN 0.6 ELSE 0.9 END FROM lall WHERE sdir IS NOT NULL
+  UNION ALL SELECT code, '中枢突破', 'ZS_BRK', CASE WHEN close > zh THEN '向上突破' WHEN close < zl THEN '向下突破' ELSE '在中枢内' END, CASE WHEN close > zh THEN '突破' || {_two("zh")} WHEN close < zl THEN '跌破' || {_two("zl")} ELSE '区间' || {_two("zl")} || '-' || {_two("zh")} END, '任意', CASE WHEN close > zh OR close < zl THEN 0.8 ELSE 0.3 END FROM lall WHERE zl IS NOT NULL
+  UNION ALL SELECT code, 'MACD背离', 'MACD_DIV', {_dv3}, CASE WHEN dk = 'top' THEN '价格新高MACD未新高' ELSE '价格新低MACD未新低' END, '任意', 0.85 FROM lall WHERE dk IS NOT NULL
+  UNION ALL SELECT code, '量能信号', 'VOL_BRK', CASE WHEN vr > 3 THEN '巨量' WHEN vr > 2 THEN '大量' WHEN vr > 1.5 THEN '放量' ELSE '缩量' END, '量比' || format('{{:.1f}}', floor(vr * 10 + 0.5) / 10), CASE direction WHEN 'up' THEN '向上' WHEN 'down' THEN '向下' ELSE '横盘' END, CASE WHEN vr > 3 THEN 0.9 WHEN vr > 2 THEN 0.7 WHEN vr > 1.5 THEN 0.5 ELSE 0.2 END FROM lall WHERE vr IS NOT NULL
+  UNION ALL SELECT code, '买卖点', {_pt(1)}, {_pt(0)}, '可靠度' || CAST(floor(reliability * 100 + 1e-9) AS BIGINT) || '%', '任意', reliability FROM (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY code ORDER BY ts DESC, point DESC) <= 3))"""
+
+
+@query("c43_state_signals", "code:s k2:s k3:s v1:s v2:s v3:s score:f4", STATES + "\n---\nSELECT * FROM sta")
+def states(spark, sf):
+    """The ten state signals of each code as of its last day."""
+    return state_rows(spark, sf)
+
+
+EV = STATES + ",\nev AS (SELECT code, k2 AS name, '|' || concat_ws('|', k3, v1, v2) || '|' AS v1 FROM sta),\n"
+_et, _eb = rule_sql([{k: v for k, v in r.items() if k != "min_score"} for r in EVENTS], "ev", "code")
+
+
+@query("c38_event_rules", "code:s strategy:s", EV + _et + "\n---\n" + " UNION ALL ".join(f"SELECT z.code, '{n}' AS strategy FROM rf_ z WHERE {w}" for n, w in _eb))
+def events(spark, sf):
+    """The default events over the state signals of each code."""
+    return X.rule_matches(event_labels(cut(state_rows(spark, sf))), EVENTS, keys=["code"])
+
+
+# ---- the library on two levels -------------------------------------------------------------------
+ALL_BARS = sorted(n for n in sqlable(G.SIGNALS))
+ALL_STROKES = [n for n in STROKE_SQL if not n.startswith("cxt_seg_")]
+
+
+def stroke_library(spark, sf, t, level):
+    """The labels of each code's last stroke."""
+    d = _with_area(spark, sf, t, _with_divergence(spark, sf, t, stroke_frame(t)))
+    d = _with_week(spark, sf, t, d) if level == "day" else d.withColumn("higher_vote", F.lit(0))
+    frame = cxt.stroke_signals(d, ALL_STROKES).drop("seq")
+    w = Window.partitionBy("code")
+    return cut(G.signal_rows(frame.withColumn("_l", F.max("ts").over(w)).where(c("ts") == c("_l")).drop("_l"), level))
+
+
+def _library_sql(level):
+    base = DAYBASE if level == "day" else BASE
+    text, found = label_parts(ALL_BARS, base)
+    bars_sql = f"WITH {base.strip()},\n{text}\nSELECT * FROM ({label_union(found)}) u WHERE ts = (SELECT strftime(max(ts), '%Y-%m-%d') FROM b WHERE b.code = u.code)"
+    both_ = SFM + "," + without(DV, _mt) + ",\nsfd AS (" + SFD.split(",\nsfd AS (")[1]
+    if level == "day":
+        head = both_ + "," + without(SFH, SF)
+        votes = "hv"
+        join = "JOIN (SELECT code, seq, hv FROM sfh) h ON h.code = m.code AND h.seq = m.seq"
+    else:
+        head = both_.replace(D.BRAND_DAY.replace("dbars", "bars"), D.BRAND_WEEK)
+        votes, join = "0 AS hv", ""
+    cols = []
+    for n in ALL_STROKES:
+        need, v1, v2 = STROKE_SQL[n]
+        cols.append(f"coalesce(CASE WHEN k >= {need} THEN {v1} END, '其他') AS {n}")
+        if v2:
+            cols.append(f"coalesce(CASE WHEN k >= {need} THEN {v2} END, '任意') AS {n}_v2")
+    rows = label_union([("sn", n, bool(STROKE_SQL[n][2])) for n in ALL_STROKES])
+    strokes_sql = f"""WITH {head},
+sfa AS (SELECT m.*, d.divergence, {votes} FROM sfm m JOIN (SELECT code, seq, divergence FROM sfd) d ON d.code = m.code AND d.seq = m.seq {join}),
+sn0 AS (SELECT code, seq, strftime(end_ts, '%Y-%m-%d') AS ts, {", ".join(cols)} FROM sfa WINDOW q AS (PARTITION BY code ORDER BY seq)),
+sn AS (SELECT * FROM sn0 QUALIFY ts = max(ts) OVER (PARTITION BY code))
+SELECT * FROM ({rows})"""
+    return f"l1_{level} AS ({bars_sql}), l2_{level} AS ({strokes_sql})"
+
+
+@query("c44_signal_library", "code:s ts:s level:s category:s name:s v1:s", ", ".join(_library_sql(k) for k in ("day", "week")) + "\n---\n" + " UNION ALL ".join(f"SELECT *, '{k}' AS level FROM l{i}_{k}" for k in ("day", "week") for i in (1, 2)))
 def library(spark, sf):
-    """Several families in one wide select, unpivoted to the signal table."""
-    return _signals(spark, sf)
+    """Every bar and stroke signal on daily and weekly bars, as of each code's last bar and last stroke."""
+    parts = []
+    for level in ("day", "week"):
+        t = Level(spark, sf, level)
+        parts += [signal_library(t.bars, level, ALL_BARS, last_only=True), stroke_library(spark, sf, t, level)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).withColumn("ts", F.date_format("ts", "yyyy-MM-dd"))
