@@ -37,7 +37,7 @@ TOGETHER = 512
 #: A pair of similarity s shares no key with probability (1 - s**ROWS)**BANDS: 3e-8 at 0.8.
 BANDS, ROWS = 24, 3
 #: Nodes of a block of a key; a cell holds two blocks at most.
-CELL = 128
+CELL = 256
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -243,13 +243,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similar: float) ->
 def cell_links(key: int, block: np.ndarray, node: np.ndarray, label: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], similar: float) -> tuple[list[int], list[int]]:
     """Links, up to connectivity, between nodes of one cell that are not connected; see ``open_links``."""
     n = np.array([len(x) for x in sets])
-    i, j = np.triu_indices(len(node), 1)
-    if block.min() != block.max():
-        i, j = i[block[i] != block[j]], j[block[i] != block[j]]
-    fits = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]))
-    i, j = i[fits], j[fits]
-    shared = keys[i] == keys[j]
-    mine = keys[i, shared.argmax(axis=1)] == key  # a pair that shares several keys is compared at the first of them
+    mixed = block.min() != block.max()
+    order = np.arange(len(node))
+    pairs: list[tuple[int, int]] = []
+    for i in range(len(node) - 1):
+        j = order[i + 1 :]
+        j = j[(label[j] != label[i]) & (np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]))]
+        j = j[block[j] != block[i]] if mixed else j
+        if len(j):
+            shared = keys[j] == keys[i]
+            mine = keys[i][shared.argmax(axis=1)] == key  # a pair that shares several keys is compared at the first of them
+            pairs += [(i, k) for k in j[mine].tolist()]
     names, at = np.unique(label, return_inverse=True)
     root = list(range(len(names)))
 
@@ -260,7 +264,7 @@ def cell_links(key: int, block: np.ndarray, node: np.ndarray, label: np.ndarray,
         return a
 
     u, v = [], []
-    for a, b in zip(i[mine].tolist(), j[mine].tolist(), strict=True):
+    for a, b in pairs:
         x, y = find(int(at[a])), find(int(at[b]))
         if x != y:
             both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
