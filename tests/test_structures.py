@@ -60,6 +60,45 @@ def test_segment_closes_at_nine_strokes_in_loose_mode():
     assert [p for seg, p in got if seg == 0] == list(range(8))
 
 
+def test_standard_features_drop_contained_counter_strokes():
+    # an up-segment: counter-strokes 10-5, 9-6 (inside the first), 14-8 and 15-7 (around the one before)
+    d = [1, -1, 1, -1, 1, -1, 1, -1, 1]
+    a = [1, 10, 5, 9, 6, 14, 8, 15, 7]
+    b = [10, 5, 9, 6, 14, 8, 15, 7, 20]
+    pairs = [(0, p) for p in range(9)]
+    got = X.standard_features(pairs, d, a, b)
+    assert [p for (_, p), kept in zip(pairs, got, strict=True) if kept] == [1, 7]
+
+
+def test_features_start_anew_in_each_segment():
+    d = [1, -1, 1, -1, 1, -1]
+    a, b = [1, 9, 3, 8, 4, 7], [9, 3, 8, 4, 7, 5]  # every counter-stroke lies inside the one before
+    assert X.standard_features([(0, 0), (0, 1), (0, 2), (1, 2), (1, 3), (1, 4), (1, 5)], d, a, b) == [False, True, False, False, True, False, False]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(0, 6), st.sampled_from(["up", "down", None])), max_size=40))
+def test_gap_fill_equals_a_search_from_every_gap(xs):
+    low, high = [a for a, _, _ in xs], [a + b for a, b, _ in xs]
+    gap, edge = [g for _, _, g in xs], [(a + 2 if g == "down" else a - 2) if g else None for a, _, g in xs]
+    want = []
+    for t in range(len(xs)):
+        hits = [j - t for j in range(t + 1, len(xs)) if gap[t] and (low[j] <= edge[t] if gap[t] == "up" else high[j] >= edge[t])]
+        want.append(hits[0] if hits else None)
+    got = X.bars_to_fill(high, low, gap, edge)
+    assert [None if np.isnan(x) else x for x in got] == want
+
+
+def test_gap_fill_of_a_long_series_is_fast():
+    import time
+
+    n = 100_000
+    low = list(range(n))
+    start = time.time()
+    got = X.bars_to_fill([x + 0.5 for x in low], low, ["up"] * n, [x - 0.25 for x in low])
+    assert np.isnan(got).all() and time.time() - start < 1
+
+
 def brute_zones(high, low, lo, hi, d):
     """The same rule with every range taken afresh from the segments it covers."""
     out, i = [], 0

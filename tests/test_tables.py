@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import bonds_funds as E
@@ -142,3 +143,25 @@ def test_walk_forward_has_no_window_over_the_returns(spark):
 
     r = spark.range(400).select((F.col("id") % 2).cast("int").alias("pid"), F.expr("date_add(date'2024-01-01', cast(id / 2 as int))").alias("date"), F.sin("id").alias("net"))
     assert {x.win for x in P.walk_forward(r).collect()} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_word_hits_equal_str_count(seed):
+    import random
+
+    from barloom.operators import text as T
+
+    pick = random.Random(seed)
+    words = ["ab", "aba", "b", "aa", "éa", "ca", "abab"]
+    value = "".join(pick.choice("abcé ") for _ in range(300))
+    counts, first = T.word_hits(T._automaton(words), len(words), value)
+    assert counts == [value.count(w) for w in words] and first == [value.find(w) for w in words]
+
+
+def test_lexicon_scores_odd_rows(spark):
+    from barloom.operators import text as T
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "good good"), (4, "not good"), (5, "very good"), (6, "bad " * 50_000)], "i int, text string")
+    rows = {r.i: (r.hits, r.score) for r in T.lexicon_score(docs, {"good": 0.5, "bad": -0.4}, ["t "], {"very": 2.0}).collect()}
+    assert rows == {1: (None, 0.0), 2: (0.0, 0.0), 3: (2.0, 0.5), 4: (1.0, -0.35), 5: (1.0, 1.0), 6: (50_000.0, pytest.approx(-0.4))}
+    assert T.lexicon_score(docs.limit(0), {"good": 0.5}).count() == 0
