@@ -65,7 +65,7 @@ def iv_metrics(rows: DataFrame, keys: Sequence[str] = ("symbol", "date")) -> Dat
     atm = c("_near") & (c("_d") < 0.05)
     gap = F.avg(F.when(atm & ~c("call"), c("iv"))) - F.avg(F.when(atm & c("call"), c("iv")))
     return d.groupBy(*keys).agg(
-        (F.min_by(F.when(c("_near"), c("iv")), F.when(c("_near"), c("_d"))) * 100).alias("atm_iv"),
+        (F.min_by(F.when(c("_near"), c("iv")), F.when(c("_near"), F.struct("_d", "call", "iv"))) * 100).alias("atm_iv"),
         (ratio(F.sum(c("iv") * c("vol")), F.sum("vol")) * 100).alias("weighted_iv"), slope(put_otm).alias("slope_put"), slope(call_otm).alias("slope_call"),
         ((F.avg(F.when(put_otm & ~c("call"), c("iv"))) - F.avg(F.when(call_otm & c("call"), c("iv")))) * 100).alias("risk_reversal"),
         (gap * 100).alias("atm_gap"))

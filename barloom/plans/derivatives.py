@@ -112,7 +112,7 @@ pcr AS (SELECT symbol, date, sum(CASE WHEN call THEN vol ELSE 0 END) AS call_vol
   sum(CASE WHEN call THEN 0 ELSE oi END) / nullif(sum(CASE WHEN call THEN oi ELSE 0 END), 0) AS pcr_oi FROM op GROUP BY 1, 2)"""
 IVM = """
 im0 AS (SELECT *, strike / spot AS m, abs(strike / spot - 1) AS dm, t <= 60 / 365e0 AS near FROM op),
-im AS (SELECT symbol, date, arg_min(iv, dm) FILTER (near) * 100 AS atm_iv, sum(iv * vol) / sum(vol) * 100 AS weighted_iv,
+im AS (SELECT symbol, date, arg_min(iv, struct_pack(d := dm, c := call, v := iv)) FILTER (near) * 100 AS atm_iv, sum(iv * vol) / sum(vol) * 100 AS weighted_iv,
   CASE WHEN count(*) FILTER (near AND m < 1) >= 3 THEN regr_slope(iv, strike) FILTER (near AND m < 1) * 1000 END AS slope_put, CASE WHEN count(*) FILTER (near AND m > 1) >= 3 THEN regr_slope(iv, strike) FILTER (near AND m > 1) * 1000 END AS slope_call,
   (avg(iv) FILTER (near AND m < 1 AND NOT call) - avg(iv) FILTER (near AND m > 1 AND call)) * 100 AS risk_reversal, (avg(iv) FILTER (near AND dm < 0.05 AND NOT call) - avg(iv) FILTER (near AND dm < 0.05 AND call)) * 100 AS atm_gap FROM im0 GROUP BY 1, 2)"""
 
@@ -134,7 +134,7 @@ def weighted_iv(spark, sf):
 @query("d07_atm_iv", "symbol:s strike:f4 atm_iv:f4", CHAIN + """,
 at0 AS (SELECT symbol, t, strike, spot, sigma AS iv, call FROM ch)
 ---
-SELECT symbol, max(spot) AS strike, arg_min(iv, abs(strike / spot - 1)) FILTER (t <= 60 / 365e0) * 100 AS atm_iv FROM at0 GROUP BY 1""")
+SELECT symbol, max(spot) AS strike, arg_min(iv, struct_pack(d := abs(strike / spot - 1), c := call, v := iv)) FILTER (t <= 60 / 365e0) * 100 AS atm_iv FROM at0 GROUP BY 1""")
 def atm_iv(spark, sf):
     rows = chain(spark, sf).select("symbol", "t", "strike", "spot", c("sigma").alias("iv"), "call", F.lit(1.0).alias("vol"), F.lit("x").alias("date"))
     spot = rows.groupBy("symbol").agg(F.max("spot").alias("strike"))

@@ -41,12 +41,10 @@ def month_sink(path: str):
         spark = batch.sparkSession
         new = batch.withColumn("month", F.date_format("ts", "yyyy-MM"))
         months = [r[0] for r in new.select("month").distinct().collect()]      # a handful of calendar months
-        try:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):  # else the first batch
             old = spark.read.parquet(path).where(c("month").isin(months)).select(*new.columns)
             new = old.join(new.select("code", "ts"), ["code", "ts"], "left_anti").select(*new.columns).unionByName(new)
-        except Exception as ex:                                                # first batch: nothing stored yet
-            if "PATH_NOT_FOUND" not in str(ex):
-                raise
         # the month folders being replaced are read above, so the rows are stored aside first
         from barloom.session import cut
 
