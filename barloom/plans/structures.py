@@ -20,7 +20,7 @@ from barloom.operators.signals.base import NONE
 from barloom.operators.signals.library import signal_library
 from barloom.operators.states import EVENTS, POINT_NAMES, asof_many, event_labels, state_signals
 from barloom.plans import bindings as D
-from barloom.plans.frames import BASE, MACD, WIN, over, staged
+from barloom.plans.frames import BASE, MACD, WIN, ema, over, span, staged
 from barloom.plans.registry import query
 from barloom.session import cut
 
@@ -1116,6 +1116,8 @@ def stroke_library(spark, sf, t, level):
 def _library_sql(level):
     base = DAYBASE if level == "day" else BASE
     text, found = label_parts(ALL_BARS, base)
+    # the closed form of a mean of span 3 passes the range of doubles after a thousand days: folded over a window instead
+    text = text.replace(ema("close", span(3)), "list_reduce(list(close) OVER (w ROWS 99 PRECEDING), lambda m, v: m * 0.5 + v * 0.5)")
     bars_sql = f"WITH {base.strip()},\n{text}\nSELECT * FROM ({label_union(found)}) u WHERE ts = (SELECT strftime(max(ts), '%Y-%m-%d') FROM b WHERE b.code = u.code)"
     both_ = SFM + "," + without(DV, _mt) + ",\nsfd AS (" + SFD.split(",\nsfd AS (")[1]
     if level == "day":
