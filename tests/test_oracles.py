@@ -12,7 +12,7 @@ f19_quantile_portfolios f23_combine_orthogonal f30_composite_rank f40_factor_dec
 p14_parameter_sweep p15_walk_forward g001_bar_single_trend g022_tas_macd_bc g083_pos_volume_profile g089_sta_autocorr g115_jcc_ta_xing c01_inclusion_merge c09_strokes c17_pivot_zones
 c23_area_divergence c26_third_class_points c36_category_fusion g134_cxt_eleven_bi g129_cxt_bi_stop s05_technical_breakthrough s07_limit_up_leaders s11_fund_flow u01_point_in_time u07_health_score
 u15_dcf_grid u26_pead u32_chip_distribution d03_implied_vol d16_break_evens d25_linkage_score l02_northbound l09_linkage_aggregate e06_yield_to_maturity e07_six_dimension_score e15_top_lists
-t01_lexicon_score t06_sentiment_reversal t11_report_facts""".split()
+t01_lexicon_score t06_sentiment_reversal t11_report_facts c15_segments c27_level_confirmation c37_signal_strategies c38_event_rules""".split()
 NAMES = sorted(entry.queries()) if os.environ.get("BARLOOM_ALL") else SAMPLE
 
 
