@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -234,7 +235,9 @@ def _segments_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("seq").reset_index(drop=True)
     d, a, b = pdf["dir"].tolist(), pdf["start_price"].tolist(), pdf["end_price"].tolist()
     pairs = segment_members(d, a, b, pdf["strength"].tolist(), pdf["amplitude"].tolist())
-    return pd.DataFrame({"code": [pdf["code"].iloc[0]] * len(pairs), "seg": [s for s, _ in pairs], "seq": [int(pdf["seq"][p]) for _, p in pairs], "feature": standard_features(pairs, d, a, b)})
+    out = pdf[["code", "seq"]].iloc[[p for _, p in pairs]].reset_index(drop=True)
+    out.insert(1, "seg", np.array([s for s, _ in pairs], dtype="int64"))
+    return out.assign(feature=np.array(standard_features(pairs, d, a, b), dtype=bool))
 
 
 def segment_strokes(st: DataFrame) -> DataFrame:
@@ -301,9 +304,11 @@ def _zones_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("seq").reset_index(drop=True)
     ends = pdf[["start_price", "end_price"]]
     z = grow_zones(pdf["high"].tolist(), pdf["low"].tolist(), ends.min(axis=1).tolist(), ends.max(axis=1).tolist(), pdf["dir"].tolist())
+    # columns are taken from the input: a plain empty list would come out as doubles, which are no dates
+    first, last = (pdf.iloc[[x[k] for x in z]].reset_index(drop=True) for k in (0, 1))
     return pd.DataFrame({
-        "code": [pdf["code"].iloc[0]] * len(z), "zone": list(range(1, len(z) + 1)), "first_seq": [int(pdf["seq"][a]) for a, *_ in z], "last_seq": [int(pdf["seq"][b]) for _, b, *_ in z],
-        "start_ts": [pdf["start_ts"][a] for a, *_ in z], "end_ts": [pdf["end_ts"][b] for _, b, *_ in z], "low": [x[2] for x in z], "high": [x[3] for x in z], "extend_count": [b - a - 2 for a, b, *_ in z]})
+        "code": first["code"], "zone": np.arange(1, len(z) + 1), "first_seq": first["seq"], "last_seq": last["seq"], "start_ts": first["start_ts"], "end_ts": last["end_ts"],
+        "low": [x[2] for x in z], "high": [x[3] for x in z], "extend_count": np.array([b - a - 2 for a, b, *_ in z], dtype="int64")})
 
 
 def zones(segs: DataFrame) -> DataFrame:

@@ -180,3 +180,24 @@ def test_signal_shift_reads_back(spark):
     back = signal_frame(b, ["bar_zdf"], di=3).toPandas().sort_values(["code", "ts"])
     a, z = now[now.code == "Brand#1"]["bar_zdf"].tolist(), back[back.code == "Brand#1"]["bar_zdf"].tolist()
     assert z[2:] == a[:-2] and z[:2] == ["其他", "其他"]
+
+
+SEG = "code string, seq long, dir int, start_ts date, end_ts date, start_price double, end_price double, high double, low double"
+
+
+def seg_rows(code, ends):
+    day = lambda i: dt.date(2024, 1, 1 + i)
+    return [(code, i + 1, 1 if b > a else -1, day(i), day(i + 1), float(a), float(b), float(max(a, b)), float(min(a, b))) for i, (a, b) in enumerate(ends)]
+
+
+def test_codes_without_a_zone(spark):
+    few, many = [(10, 20), (20, 12)], [(10, 20), (20, 12), (12, 19), (19, 13), (13, 18)]
+    alone = X.zones(spark.createDataFrame(seg_rows("a", few), SEG))
+    assert alone.collect() == []
+    both = X.zones(spark.createDataFrame(seg_rows("a", few) + seg_rows("b", many), SEG)).collect()
+    assert [(r.code, r.zone, r.first_seq, r.start_ts) for r in both] == [("b", 1, 1, dt.date(2024, 1, 1))]
+
+
+def test_codes_without_a_segment(spark):
+    st = spark.createDataFrame([("a", 1, 1, 10.0, 20.0, 0.5, 1.0)], "code string, seq long, dir int, start_price double, end_price double, strength double, amplitude double")
+    assert X.segment_strokes(st).collect() == []
