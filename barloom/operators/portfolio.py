@@ -56,11 +56,11 @@ def board_limit(code: Column) -> Column:
                   (code.startswith("4") | code.startswith("8") | code.startswith("92"), 0.30), default=0.10)
 
 
-def with_limits(panel: DataFrame, overrides: DataFrame | None = None, symbol: str = "symbol") -> DataFrame:
-    """Append ratio and limit prices. ``overrides(symbol, ratio)`` lists special-treatment symbols."""
+def with_limits(panel: DataFrame, overrides: DataFrame | None = None, symbol: str = "symbol", key: str = "code") -> DataFrame:
+    """Append ratio and limit prices. ``overrides(key, ratio)`` lists special-treatment codes, each once; two codes may share a symbol."""
     r = board_limit(c(symbol))
     if overrides is not None:
-        panel = panel.join(overrides.withColumnRenamed("ratio", "_o"), symbol, "left")
+        panel = panel.join(overrides.withColumnRenamed("ratio", "_o"), key, "left")
         r = F.coalesce("_o", r)
     p = panel.withColumn("ratio", r).withColumn("_pc", S.lag("close"))
     cent = lambda x: F.floor(x * 100 + 0.5) / 100

@@ -72,8 +72,8 @@ ex AS (SELECT *, coalesce(last_value(CASE WHEN blocked IS NULL THEN sig END IGNO
 
 
 def _limits(spark, sf):
-    over = _symbol(D.table(spark, sf, "supplier").where("s_nationkey = 3").select(c("s_suppkey").alias("code")))
-    return P.with_limits(_symbol(_dual(spark, sf)), over.select("symbol", F.lit(0.05).alias("ratio")))
+    over = D.table(spark, sf, "supplier").where("s_nationkey = 3").select(c("s_suppkey").alias("code"), F.lit(0.05).alias("ratio"))
+    return P.with_limits(_symbol(_dual(spark, sf)), over)
 
 
 def _executed(spark, sf):

@@ -86,3 +86,13 @@ def test_grouped_library_gives_the_labels_of_each_signal(spark):
 def test_groups_hold_every_signal_once_and_recursions_together():
     got = groups(list(SIGNALS), 24)
     assert sorted(n for g in got for n in g) == sorted(SIGNALS) and max(map(len, got)) <= 24
+
+
+def test_overrides_go_by_code_where_symbols_repeat(spark):
+    from barloom.operators import portfolio as P
+
+    rows = [(code, dt.date(2024, 1, d), "000007", 10.0) for code in (7, 1007, 2007) for d in (1, 2)]
+    panel = spark.createDataFrame(rows, "code long, date date, symbol string, close double")
+    over = spark.createDataFrame([(7, 0.05), (1007, 0.05)], "code long, ratio double")
+    got = sorted((r.code, r.date.day, r.ratio, r.limit_up) for r in P.with_limits(panel, over).collect())
+    assert got == [(7, 1, 0.05, None), (7, 2, 0.05, 10.5), (1007, 1, 0.05, None), (1007, 2, 0.05, 10.5), (2007, 1, 0.1, None), (2007, 2, 0.1, 11.0)]
