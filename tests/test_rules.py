@@ -96,3 +96,10 @@ def test_overrides_go_by_code_where_symbols_repeat(spark):
     over = spark.createDataFrame([(7, 0.05), (1007, 0.05)], "code long, ratio double")
     got = sorted((r.code, r.date.day, r.ratio, r.limit_up) for r in P.with_limits(panel, over).collect())
     assert got == [(7, 1, 0.05, None), (7, 2, 0.05, 10.5), (1007, 1, 0.05, None), (1007, 2, 0.05, 10.5), (2007, 1, 0.1, None), (2007, 2, 0.1, 11.0)]
+
+
+def test_a_small_file_of_options_is_dealt_out(spark):
+    from barloom.plans import derivatives as V
+
+    n = V.chain(spark, "/root/testdata/sf0.1").select("symbol").rdd.glom().map(len).collect()
+    assert len(n) >= 2 and sum(n) == 280_000 and max(n) < 0.7 * sum(n)
