@@ -345,9 +345,10 @@ def pe_band(daily: DataFrame, eps: DataFrame) -> DataFrame:
     """Quantiles of positive PE, strict rank of the current one, implied prices and judgement."""
     pos = daily.where(c("pe") > 0)
     q = quantiles(pos, ("code",), "pe", PCTS)
-    cur = pos.groupBy("code").agg(F.max_by("pe", "date").alias("current_pe"))
-    rank = pos.join(cur, "code").groupBy("code").agg(F.avg((c("pe") < c("current_pe")).cast("double")).alias("rank"))
-    d = q.join(cur, "code").join(rank, "code").join(eps, "code", "left")
+    # read once: summed anew, the current PE can differ in its last digit from the one in the history and count itself
+    now = pos.withColumn("current_pe", F.max_by("pe", "date").over(Window.partitionBy("code")))
+    rank = now.groupBy("code").agg(F.max("current_pe").alias("current_pe"), F.avg((c("pe") < c("current_pe")).cast("double")).alias("rank"))
+    d = q.join(rank, "code").join(eps, "code", "left")
     return d.withColumn("implied_p50", F.when(c("eps") > 0, c("p50") * c("eps"))).withColumn("judgement", ladder(
         (c("rank") < 0.25, "deeply_undervalued"), (c("rank") < 0.40, "undervalued"), (c("rank") < 0.60, "fair"), (c("rank") < 0.75, "rich"),
         default="deeply_overvalued"))
@@ -404,9 +405,9 @@ def valuation_cross_check(d: DataFrame) -> DataFrame:
 def history_percentile(daily: DataFrame, cols: Sequence[str] = ("pe", "pb", "ps"), compat: bool = False) -> DataFrame:
     """Share (%) of positive history below the current value; ``compat`` counts values at or above it."""
     long = daily.unpivot(["code", "date"], list(cols), "metric", "value").where(c("value") > 0)
-    cur = long.groupBy("code", "metric").agg(F.max_by("value", "date").alias("current"))
+    long = long.withColumn("current", F.max_by("value", "date").over(Window.partitionBy("code", "metric")))
     hit = c("value") >= c("current") if compat else c("value") < c("current")
-    return long.join(cur, ["code", "metric"]).groupBy("code", "metric", "current").agg((F.avg(hit.cast("double")) * 100).alias("percentile")).withColumn(
+    return long.groupBy("code", "metric", "current").agg((F.avg(hit.cast("double")) * 100).alias("percentile")).withColumn(
         "rating", ladder((c("percentile") >= 80, "expensive"), (c("percentile") <= 20, "cheap"), default="fair"))
 
 

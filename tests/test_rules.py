@@ -103,3 +103,15 @@ def test_a_small_file_of_options_is_dealt_out(spark):
 
     n = V.chain(spark, "/root/testdata/sf0.1").select("symbol").rdd.glom().map(len).collect()
     assert len(n) >= 2 and sum(n) == 280_000 and max(n) < 0.7 * sum(n)
+
+
+def test_current_value_never_counts_itself(spark):
+    """Rows whose value is not the same twice, like a sum of doubles added up in another order."""
+    from pyspark.sql import functions as F
+
+    from barloom.operators import fundamentals as U
+
+    d = spark.range(200).select((F.col("id") % 20).alias("code"), F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("id") / 20).cast("int")).alias("date"))
+    noisy = F.udf(lambda k: 10.0 + k + __import__("random").random() / 10, "double").asNondeterministic()
+    d = d.withColumn("pe", noisy(F.dayofmonth("date")))
+    assert {r.percentile for r in U.history_percentile(d, ("pe",)).collect()} == {90.0}
