@@ -115,3 +115,10 @@ def test_current_value_never_counts_itself(spark):
     noisy = F.udf(lambda k: 10.0 + k + __import__("random").random() / 10, "double").asNondeterministic()
     d = d.withColumn("pe", noisy(F.dayofmonth("date")))
     assert {r.percentile for r in U.history_percentile(d, ("pe",)).collect()} == {90.0}
+
+
+def test_broker_holdings_are_made_in_tasks_of_bounded_size(spark):
+    from barloom.plans import derivatives as V
+
+    plan = V._holdings(spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in plan.split("REPARTITION_BY_NUM")[0]
