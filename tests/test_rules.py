@@ -122,3 +122,20 @@ def test_broker_holdings_are_made_in_tasks_of_bounded_size(spark):
 
     plan = V._holdings(spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in plan.split("REPARTITION_BY_NUM")[0]
+
+
+def test_chain_steps_equal_the_one_expression(spark):
+    from pyspark.sql import functions as F
+
+    from barloom.functions.solvers import option_price, with_option_price
+    from barloom.operators.derivatives import with_greeks
+
+    rows = [(100.0, k, t, 0.2, call) for k in (80.0, 100.0, 125.0) for t in (0.0, 5e-7, 0.3) for call in (True, False)]
+    df = spark.createDataFrame(rows, "spot double, strike double, t double, sigma double, call boolean")
+    one = df.withColumn("price", option_price(*(F.col(x) for x in ("spot", "strike", "t")), 0.02, F.col("sigma"), F.col("call"))).collect()
+    steps = with_option_price(df, 0.02)
+    assert steps.collect() == one
+    greeks = with_greeks(steps, 0.02)
+    assert all(r.delta == r.rho == 0 for r in greeks.collect() if r.t <= 1e-6) and len(greeks.columns) == 11
+    plan = greeks._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("ln(") <= 2           # once for the price, once for the Greeks; as one expression it stands at every use
