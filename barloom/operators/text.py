@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.windows import clamp, ladder, ratio
+from barloom.session import cut as stored
 
 c = F.col
 
@@ -78,7 +79,9 @@ def lexicon_score(docs: DataFrame, words: Mapping[str, float], negations: Sequen
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _automaton(names)
         for rb in it:
-            found = [(None, 0.0) if v is None else score(v, find) if names else (0.0, 0.0) for v in rb.column(len(keep)).to_pylist()]
+            # one text at a time becomes a Python string, not the batch
+            texts = (v.as_py() for v in rb.column(len(keep)))
+            found = [(None, 0.0) if v is None else score(v, find) if names else (0.0, 0.0) for v in texts]
             arrays = [*(rb.column(k) for k in range(len(keep))), pa.array([x for x, _ in found], pa.float64()), pa.array([y for _, y in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "hits", "score"])
 
@@ -116,8 +119,10 @@ def sentiment_reversal(posts: DataFrame, by: Sequence[str], order: Sequence[str]
     """Mean of the later half less mean of the earlier half, by time order.
 
     The halves come from per-day counts (map-side combined), so a key with a third of all posts is
-    never sorted in one task; only the day that holds the middle is numbered row by row.
+    never sorted in one task; only the day that holds the middle is numbered row by row. Posts are read several
+    times, so the few columns needed are stored first and every text is scored once.
     """
+    posts = stored(posts.select(*by, *order, "score"))
     day = posts.groupBy(*by, order[0]).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by).orderBy(order[0]).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("_c").over(Window.partitionBy(*by))

@@ -139,3 +139,15 @@ def test_chain_steps_equal_the_one_expression(spark):
     assert all(r.delta == r.rho == 0 for r in greeks.collect() if r.t <= 1e-6) and len(greeks.columns) == 11
     plan = greeks._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("ln(") <= 2           # once for the price, once for the Greeks; as one expression it stands at every use
+
+
+def test_reversal_scores_every_text_once(spark):
+    from barloom.operators import text as T
+
+    docs = spark.createDataFrame([(i, i % 3, "x", "up" if i > 4 else "down" * (i + 1)) for i in range(9)], "doc_id int, day int, lang string, text string")
+    posts = T.lexicon_score(docs, {"up": 1.0, "down": -1.0})
+    got = T.sentiment_reversal(posts, ["lang"], ["day", "doc_id"])
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()     # scores are stored, no plan reads the texts again
+    by_day = [r.score for r in posts.orderBy("day", "doc_id").collect()]
+    row = got.first()
+    assert (row.posts, row.early, row.late) == (9, sum(by_day[:4]) / 4, sum(by_day[4:]) / 5)
