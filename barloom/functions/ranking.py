@@ -84,12 +84,13 @@ def group_moments(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
 
 
-def with_zscore(df: DataFrame, by: Sequence[str], value: str, out: str, fill: float | None = None) -> DataFrame:
-    """Append (x - mean) / sample std per group; 0 or null deviation gives ``fill``.
+def with_zscore(df: DataFrame, by: Sequence[str], value: str, out: str, fill: float | None = None,
+                moments: DataFrame | None = None) -> DataFrame:
+    """Append (x - mean) / sample std per group; 0 or null deviation gives ``fill``. ``moments``: stored ``group_moments``, if at hand.
 
     The moments have one row per group; whether that side is broadcast is left to the optimizer, which knows its size.
     """
-    m = group_moments(df, by, value).select(*by, F.col("mean").alias("_mean"), F.col("sd").alias("_sd"))
+    m = (group_moments(df, by, value) if moments is None else moments).select(*by, F.col("mean").alias("_mean"), F.col("sd").alias("_sd"))
     z = F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mean")) / F.col("_sd"))
     if fill is not None:
         z = F.coalesce(z, F.lit(fill))

@@ -145,7 +145,7 @@ def winsorize(spark, sf):
 @query("f10_industry_neutral", "date:d code:i indicator:s value:f9", NEUTRAL + "\n---\nSELECT * FROM neu")
 def neutral(spark, sf):
     w = Fx.winsorize(cut(_industry(spark, sf)), by=("date", "indicator"))
-    return Fx.neutralize(cut(w), by=("date", "indicator", "industry"))
+    return Fx.neutralize(w, by=("date", "indicator", "industry"))
 
 
 @query("f11_percentile_score", "date:d code:i indicator:s score:f6", LONG + "," + _pct("long") + "\n---\nSELECT * FROM pct")
@@ -171,10 +171,7 @@ _MULTI = SCORES + ", multi AS (SELECT date, code, avg(score) AS score FROM score
 SELECT date, code, avg(score) AS score, sum(score * CASE factor WHEN 'value' THEN 3e0 WHEN 'momentum' THEN 2e0 WHEN 'quality' THEN 1e0 ELSE 0e0 END) / 6
   AS weighted FROM scores GROUP BY 1, 2""")
 def multi_score(spark, sf):
-    s = cut(six_scores(spark, sf))
-    a = Fx.multifactor(s)
-    b = Fx.multifactor(s, {"value": 3, "momentum": 2, "quality": 1}).withColumnRenamed("score", "weighted")
-    return a.join(b, ["date", "code"])
+    return Fx.multifactors(six_scores(spark, sf), {"score": None, "weighted": {"value": 3, "momentum": 2, "quality": 1}})
 
 
 @query("f15_top_n", "date:d code:i rank:i score:f4", _MULTI + """
