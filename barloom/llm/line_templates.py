@@ -29,6 +29,8 @@ SIMILAR = 0.6
 MIN_DOCS = 3
 FINE = 10
 ALIKE = 0.8
+#: Runs of a line that are compared whole before choices of open runs are tried.
+BANDS = ((0, 3), (3, 6), (6, 10))
 #: Lines of more tokens recur from two documents on if they are the same, digits masked.
 LONG = 50
 
@@ -75,20 +77,23 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no) of the lines that go by the rule of ``cut_lines``. ``docs`` has doc_id, text_hash, text."""
     named = docs.where(F.col("doc_id").isNotNull())
     hashed = lines_of(named.select(F.struct("doc_id", "text_hash").alias("doc_id"), "text")).withColumn("hash", F.xxhash64("line"))
-    lines = store(hashed.select("doc_id.doc_id", "doc_id.text_hash", "line_no", "n", "leaf", "hash"))
+    beyond = F.col("n") - DEPTH  # tokens; fewer than five must all agree
+    edge = lambda j: F.floor(beyond * j / FINE).cast("int")
+    runs = F.array(*(F.xxhash64(F.lit(j), F.slice("tokens", edge(j) + DEPTH + 1, edge(j + 1) - edge(j))) for j in range(FINE)))
+    runs = F.when(beyond * (1 - ALIKE) > 1 - 1e-9, runs)
+    lines = store(hashed.withColumn("tokens", F.split("line", " ")).select("doc_id.doc_id", "doc_id.text_hash", "line_no", "n", "leaf", "hash", runs.alias("runs")))
     whole = store(lines.select("leaf", "hash", "n", "doc_id").distinct().groupBy("leaf", "hash", "n").agg(F.count("*").alias("docs"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
     exact = whole.where(F.col("docs") >= F.when(F.col("n") > LONG, 2).otherwise(MIN_DOCS)).select("hash", F.col("low").alias("first"))
 
-    beyond = F.col("n") - DEPTH  # tokens; fewer than five must all agree
-    crowded = whole.where(beyond * (1 - ALIKE) > 1 - 1e-9).groupBy("leaf").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.min("low").alias("c"), F.max("high").alias("d")).where("a <> b and c <> d")
-    open_ = store(whole.join(crowded.select("leaf"), "leaf"))
-    edge = lambda j: F.floor(beyond * j / FINE).cast("int")
-    runs = F.array(*(F.xxhash64(F.lit(j), F.concat_ws(" ", F.slice("tokens", edge(j) + DEPTH + 1, edge(j + 1) - edge(j)))) for j in range(FINE)))
-    seen = hashed.select("hash", "line", "n", "leaf").join(open_.select("hash"), "hash").dropDuplicates(["hash"])
-    cut = seen.withColumn("tokens", F.split("line", " ")).select("hash", runs.alias("runs"), F.array(*(edge(j + 1) - edge(j) for j in range(FINE))).alias("sizes"))
+    # two open runs touch two bands at most, so lines of one template agree in a whole band; the others need not be tried
+    bands = F.explode(F.array(*(F.xxhash64("leaf", F.lit(k), F.slice("runs", a + 1, b - a)) for k, (a, b) in enumerate(BANDS))))
+    banded = lines.where(F.col("runs").isNotNull()).select("hash", "doc_id", bands.alias("band"))
+    crowded = banded.groupBy("band").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d")).where("a <> b and c <> d")
+    near = store(banded.select("band", "hash").join(store(crowded.select("band")), "band").select("hash").distinct())
+    cut = lines.select("hash", "n", "runs").join(near, "hash").dropDuplicates(["hash"]).select("hash", "runs", F.array(*(edge(j + 1) - edge(j) for j in range(FINE))).alias("sizes"))
 
     left_open = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in combinations_with_replacement(range(FINE), 2))))
-    tried = store(cut.join(open_, "hash")).withColumn("w", left_open)
+    tried = store(cut.join(whole.join(near, "hash"), "hash")).withColumn("w", left_open)
     size, run = (lambda k: F.col("sizes")[F.col(f"w.{k}")]), (lambda k: F.col("runs")[F.col(f"w.{k}")])
     one = F.col("w.a") == F.col("w.b")
     tried = tried.where((size("a") > 0) & (size("b") > 0) & (F.when(one, size("a")).otherwise(size("a") + size("b")) <= beyond * (1 - ALIKE) + 1e-9))

@@ -38,3 +38,15 @@ def test_lines_that_only_begin_alike_stay(spark):
     short = [f"Thanks for the {a}{a} {b}{b}" for a, b in zip("abcde", "vwxyz", strict=True)] + [f"All rights are reserved by {a}" for a in "abcde"]
     long = [" ".join(w if i % 3 else w + a for i, w in enumerate(passage("x").split())) for a in "abcde"]
     assert rest(spark, short + long) == short + long
+
+
+def test_lines_that_only_begin_alike_are_not_tried(spark, monkeypatch):
+    from barloom.llm import line_templates
+
+    tried, store = [], line_templates.store
+    monkeypatch.setattr(line_templates, "store", lambda df: tried.append(store(df)) or tried[-1])
+    near = [passage("u").replace("u" + gone, word) for gone, word in (("ea", "one"), ("fa", "two"), ("ga", "three"))]
+    texts = [passage(name) for name in "vwxyz"] + near
+    assert rest(spark, texts) == texts[:6] + ["", ""]
+    patterns = next(t for t in tried if "pattern" in t.columns)
+    assert patterns.count() and {r.low for r in patterns.select("low").distinct().collect()} == {5, 6, 7}
