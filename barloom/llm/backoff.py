@@ -1,7 +1,7 @@
 """Language-model scores by stupid back-off, computed as joins on hashed n-gram counts.
 
-1. Texts become blocks of a few hundred thousand words: a table of word hashes, the words as indexes into it, and the
-   lengths of the documents. The blocks are stored.
+1. Texts become blocks of up to a million words: a table of word hashes, the words as indexes into it, and the
+   lengths of the documents. The blocks are stored in buckets, so that they are never shuffled.
 2. Each block explodes into its distinct n-grams of all orders, with its counts; they go, packed per bucket of the
    hash space, to that bucket's group. A frequent n-gram is one entry per block, so no bucket is hot.
 3. A bucket's group is the count table of that part of the hash space. It joins its counts to the n-grams that asked
@@ -25,13 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import batch, blocks, col_or_empty, mix, query, store, table
+from barloom.llm.common import batch, blocks, col_or_empty, mix, query, store_bucketed, table
 from barloom.llm.decontaminate import words_of
 
 ORDER = 3
 ALPHA = 0.4
-BLOCK_CHARS = 3 << 20
+BLOCK_CHARS = 6 << 20
 BUCKET_ENTRIES = 1_000_000
+LOW = 5
 
 
 def pack_ints(x: np.ndarray) -> bytes:
@@ -54,19 +55,17 @@ def unpack_ints(raw: bytes) -> np.ndarray:
 
 
 def pack_sorted(h: np.ndarray) -> bytes:
-    """Sorted distinct hashes as raw differences of a fixed width."""
-    d = np.diff(h, prepend=np.uint64(0)) if len(h) else h
-    first, rest = h[:1], d[1:]
-    width = max(1, (int(rest.max()).bit_length() + 7) // 8) if len(rest) else 1
-    return bytes([width]) + first.astype("<u8").tobytes() + rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Sorted distinct hashes: of their differences the low five bytes raw, the few bits above them compressed."""
+    d = np.diff(h, prepend=np.uint64(0)).astype("<u8")
+    return d.view(np.uint8).reshape(-1, 8)[:, :LOW].tobytes() + pack_ints(d[1:] >> np.uint64(8 * LOW)) + (d[:1] >> np.uint64(8 * LOW)).tobytes() + len(h).to_bytes(4, "little")
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
-    width, rest = raw[0], np.frombuffer(raw, np.uint8, offset=9)
-    out = np.zeros((len(rest) // width + 1, 8), np.uint8)
-    out[0] = np.frombuffer(raw[1:9], np.uint8)
-    out[1:, :width] = rest.reshape(-1, width)
-    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+    n = int.from_bytes(raw[-4:], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :LOW] = np.frombuffer(raw, np.uint8, n * LOW).reshape(n, LOW)
+    high = np.append(np.frombuffer(raw[-12:-4], "<u8"), unpack_ints(raw[n * LOW : -12])) if n else np.empty(0, np.uint64)
+    return np.cumsum(out.view("<u8").ravel() + (high << np.uint64(8 * LOW)), dtype=np.uint64)
 
 
 def ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
@@ -80,30 +79,32 @@ def ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarra
     return out
 
 
-def asked(grams: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def asked(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a block with their counts in it; hash 0 is none."""
-    values, counts = np.unique(np.concatenate([g[g != 0] for g in grams]), return_counts=True)
-    return values, counts
-
-
-def own_counts(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How often the n-gram at each position occurs in its own document."""
-    order = np.lexsort((gram, doc))
-    g, d = gram[order], doc[order]
-    new = np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])) if len(g) else np.empty(0, bool)
-    run = np.cumsum(new) - 1
-    out = np.empty(len(gram), np.int64)
-    out[order] = np.bincount(run)[run] if len(g) else 0
+    return np.unique(np.concatenate([g[g != 0] for g in grams]), return_counts=True)
+
+
+def own_counts(place: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often the n-gram at each position, known by its place in ``counts`` of the block, occurs in its own document."""
+    out = np.ones(len(place), np.int64)
+    several = np.flatnonzero(counts[place] > 1)  # what the block has once, the document has once
+    _, run, n = np.unique(doc[several] * len(counts) + place[several], return_inverse=True, return_counts=True)
+    out[several] = n[run]
     return out
 
 
-def score_words(grams: list[np.ndarray], lengths: np.ndarray, values: np.ndarray, totals: np.ndarray, corpus: int, alpha: float) -> np.ndarray:
-    """Logarithm of the back-off score of every word."""
+def score_words(grams: list[np.ndarray], lengths: np.ndarray, totals: np.ndarray, corpus: int, alpha: float) -> np.ndarray:
+    """Logarithm of the back-off score of every word; ``totals`` are those of the block's distinct n-grams, in their order."""
     doc = np.repeat(np.arange(len(lengths)), lengths)
     others = corpus - lengths[doc] + 1.0
     start = np.repeat(np.cumsum(lengths) - lengths, lengths)
     before = np.arange(len(doc)) - start
-    elsewhere = [np.where(g != 0, totals[np.minimum(np.searchsorted(values, g), len(values) - 1)] - own_counts(g, doc), 0) for g in grams]
+    every = np.concatenate(grams)
+    real = np.flatnonzero(every)
+    _, place, counts = np.unique(every[real], return_inverse=True, return_counts=True)
+    left = np.zeros(len(every), np.int64)
+    left[real] = totals[place] - own_counts(place, np.tile(doc, len(grams))[real], counts)
+    elsewhere = np.split(left, len(grams))
     out = np.log(np.where(elsewhere[0] > 0, elsewhere[0], alpha) / others)
     for k in range(1, len(grams)):
         context = np.append(np.zeros(1, np.int64), elsewhere[k - 1][:-1])
@@ -142,7 +143,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 yield batch({"block": [0], "n_words": [len(places)], "payload": [b"".join(len(p).to_bytes(8, "little") + p for p in parts)]}, BLOCK_SCHEMA)
 
     made = docs.mapInArrow(run, "block bigint, n_words bigint, payload binary")
-    return store(made.withColumn("block", F.monotonically_increasing_id()))  # fixed from here on, as the table is stored
+    return store_bucketed(made.withColumn("block", F.monotonically_increasing_id()), "block")  # fixed from here on, as the table is stored
 
 
 def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,7 +163,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
         for rb in it:
             for block, raw in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
                 p = _payload(raw)
-                values, counts = asked(ngrams(p["words"], p["lengths"], order), p["lengths"])
+                values, counts = asked(ngrams(p["words"], p["lengths"], order))
                 bucket = ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(values)).tolist()
                 found = list(zip(cuts[:-1], cuts[1:], strict=True))
@@ -183,9 +184,8 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
         for raw in own["payload"]:
             p = _payload(raw)
             grams, lengths = ngrams(p["words"], p["lengths"], order), p["lengths"]
-            values, _ = asked(grams, lengths)
             totals = np.concatenate([unpack_ints(r) for r in replies.sort_values("bucket")["totals"]]).astype(np.int64) if len(replies) else np.empty(0, np.int64)
-            logs = score_words(grams, lengths, values, totals, total, alpha) if len(values) else np.empty(0)
+            logs = score_words(grams, lengths, totals, total, alpha) if len(totals) else np.empty(0)
             doc = np.repeat(np.arange(len(lengths)), lengths)
             ids = pd.array(p["ids"], "Int64")
             ids[~p["named"]] = pd.NA

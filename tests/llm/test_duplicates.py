@@ -318,3 +318,20 @@ def test_packer_gives_full_windows():
         for d, start, n in w:
             covered[d] += range(start, start + n)
     assert all(sorted(covered[d]) == list(range(n)) for d, n in sizes.items())
+
+
+def test_blocks_of_backoff_are_not_shuffled(spark):
+    texts = ["a b c d"] * 3 + ["b c d e", None, ""]
+    scored = backoff.backoff_scores(frame(spark, texts))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1 and "Bucketed: true" in plan  # the answers only
+    assert scored.count() == len(texts)
+
+
+def test_sorted_hashes_are_packed_below_six_bytes():
+    rng = np.random.default_rng(3)
+    for values in ([], [0], [2**64 - 1], [0, 2**64 - 1], rng.integers(0, 2**63, 5000)):
+        h = np.unique(np.array(values, np.uint64))
+        assert (backoff.unpack_sorted(backoff.pack_sorted(h)) == h).all()
+    h = np.unique(rng.integers(0, 2**56, 4000).astype(np.uint64))  # one bucket of 250 in a block of a million
+    assert len(backoff.pack_sorted(h)) < 6 * len(h)
