@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import query, store, table, unused
@@ -88,8 +88,10 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     # two open runs touch two bands at most, so lines of one template agree in a whole band; the others need not be tried
     bands = F.explode(F.array(*(F.xxhash64("leaf", F.lit(k), F.slice("runs", a + 1, b - a)) for k, (a, b) in enumerate(BANDS))))
     banded = lines.where(F.col("runs").isNotNull()).select("hash", "doc_id", bands.alias("band"))
-    crowded = banded.groupBy("band").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d")).where("a <> b and c <> d")
-    near = store(banded.select("band", "hash").join(store(crowded.select("band")), "band").select("hash").distinct())
+    band = Window.partitionBy("band")
+    ends = banded.select("hash", *(f(k).over(band).alias(f"{k}_{i}") for k in ("hash", "doc_id") for i, f in enumerate((F.min, F.max))))
+    # grows with the input, so it is joined by a shuffle at every size
+    near = store(ends.where("hash_0 <> hash_1 and doc_id_0 <> doc_id_1").select("hash").distinct()).hint("merge")
     cut = lines.select("hash", "n", "runs").join(near, "hash").dropDuplicates(["hash"]).select("hash", "runs", F.array(*(edge(j + 1) - edge(j) for j in range(FINE))).alias("sizes"))
 
     left_open = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in combinations_with_replacement(range(FINE), 2))))
