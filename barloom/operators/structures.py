@@ -638,12 +638,13 @@ CATEGORY_WEIGHTS = {"cxt": 0.30, "tas": 0.25, "vol": 0.15, "bar": 0.10, "pos": 0
 
 def score_signals(signals: DataFrame, table: DataFrame) -> DataFrame:
     """Score of each (name, v1) from a table (name, value, score, ord): the longest run of the label's parts that is an
-    entry; failing that, the first entry that holds the label or is held by it; 0 if none.
+    entry; failing that, the first entry that holds the label or is held by it; 0 if none. Without ``ord`` longer entries come first.
 
     Labels repeat from bar to bar, so each distinct one is looked up once: its parts, shortened one by one from the end,
     meet the entries by equality. Only labels without such an entry are compared with the entries of their signal.
     """
-    t = table.select("name", "value", c("score").alias("_sc"), c("ord").alias("_o"))
+    first = c("ord") if "ord" in table.columns else F.struct(-F.length("value"), "value")
+    t = table.select("name", "value", c("score").alias("_sc"), first.alias("_o"))
     labels = signals.select("name", "v1").distinct()
     parts = F.split("v1", "_")
     runs = labels.select("name", "v1", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws("_", F.slice(parts, F.lit(1), k)))).alias("_n", "value"))

@@ -201,3 +201,9 @@ def test_codes_without_a_zone(spark):
 def test_codes_without_a_segment(spark):
     st = spark.createDataFrame([("a", 1, 1, 10.0, 20.0, 0.5, 1.0)], "code string, seq long, dir int, start_price double, end_price double, strength double, amplitude double")
     assert X.segment_strokes(st).collect() == []
+
+
+def test_scores_without_an_order_prefer_the_longer_entry(spark):
+    rows = spark.createDataFrame([("x", 1, "n", "abcdef")], "code string, ts int, name string, v1 string")
+    table = spark.createDataFrame([("n", "abc", 1.0), ("n", "abcde", 2.0)], "name string, value string, score double")
+    assert X.score_signals(rows, table).first().score == 2.0
