@@ -168,6 +168,43 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, seed, hot, piece):
     assert got == plain_cut(texts, 100)
 
 
+def plan_nodes(node):
+    """(name, description, names of the two nodes under each child) of every node of a physical plan."""
+
+    def under(n):
+        below = [n.children().apply(k) for k in range(n.children().size())]
+        return [y for x in below for y in (under(x) if re.match("WholeStageCodegen|InputAdapter", x.nodeName()) else [x])]
+
+    for child in under(node):
+        yield child.nodeName(), child.simpleString(1000), [[x.nodeName(), *(y.nodeName() for y in under(x))] for x in under(child)]
+        yield from plan_nodes(child)
+
+
+def test_suffix_dedup_deals_out_hot_anchors_and_bins(spark, monkeypatch):
+    """Spark splits a join on a value of very many runs only if it reads both shuffles itself; bins have a task each, however many there are."""
+    nodes = []
+
+    def noted(df, **more):
+        nodes.extend(plan_nodes(df._jdf.queryExecution().executedPlan()))
+        return store(df, **more)
+
+    store = suffix_dedup.store
+    monkeypatch.setattr(suffix_dedup, "store", noted)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        suffix_dedup.cut_repeats(frame(spark, copies(5, 50)), length=100, gram=16, bin_bytes=300)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    joins = [below for name, _, below in nodes if name == "SortMergeJoin"]
+    assert len(joins) >= 2 and all(side[:2] == ["Sort", "Exchange"] for join in joins for side in join), joins
+    parts = [int(n) for name, text, _ in nodes if name == "Exchange" for n in re.findall(r"hashpartitioning\(bin#\d+\w?, (\d+)\)", text)]
+    assert max(parts) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_suffix_dedup_odd_rows(spark):
     same = "a b c " * 100
     docs = spark.createDataFrame([(1, same), (1, same), (None, "z" + same), (2, None), (3, "")], "doc_id bigint, text string")
