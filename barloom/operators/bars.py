@@ -20,13 +20,13 @@ def trade_order(day_in_bar: Column, order_id: Column, line: Column) -> Column:
 
 
 def build_bars(trades: DataFrame, bar: Column, code: str = "code", price: str = "price",
-               volume: str = "volume", order: str = "ord", amount: str | None = None) -> DataFrame:
-    """OHLCV bars per (code, bar). All aggregates combine map-side, so a hot code shrinks before the shuffle."""
+               volume: str = "volume", order: str = "ord", amount: str | None = None, **more: Column) -> DataFrame:
+    """OHLCV bars per (code, bar). All aggregates combine map-side, so a hot code shrinks before the shuffle. ``more`` adds aggregates."""
     amt = F.col(amount) if amount else F.col(price) * F.col(volume)
     return trades.groupBy(F.col(code).alias("code"), bar.alias("ts")).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
         F.max_by(price, order).alias("close"), F.sum(volume).alias("volume"), F.sum(amt).alias("amount"),
-        F.count(F.lit(1)).alias("trades"))
+        F.count(F.lit(1)).alias("trades"), *[a.alias(k) for k, a in more.items()])
 
 
 def resample_within_day(bars: DataFrame, k: int, keys: Sequence[str] = ("code",)) -> DataFrame:

@@ -411,15 +411,19 @@ def history_percentile(daily: DataFrame, cols: Sequence[str] = ("pe", "pb", "ps"
         "rating", ladder((c("percentile") >= 80, "expensive"), (c("percentile") <= 20, "cheap"), default="fair"))
 
 
-def industry_percentile(day: DataFrame, value: str = "pe") -> DataFrame:
-    """Within date x industry: median, mean, min, max and the share (%) of peers below each code."""
+def industry_percentile(day: DataFrame, value: str = "pe", order: str | None = None) -> DataFrame:
+    """Within date x industry: median, mean, min, max and the share (%) of peers below each code.
+
+    Peers are told apart by ``order``, if given: by a value whose last digit is the same for equal codes in every run.
+    """
+    order = order or value
     by = ("date", "industry")
     pos = day.where(c(value) > 0)
     stats = pos.groupBy(*by).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(F.lit(1)).alias("_n"))
     med = quantiles(pos, by, value, {"median": 0.5})
     from barloom.functions.ranking import cumulated_counts
-    below = cumulated_counts(pos, by, value).select(*by, value, "below")
-    return pos.join(below, [*by, value]).join(stats.join(med, list(by)), list(by)).withColumn("percentile", c("below") / c("_n") * 100)
+    below = cumulated_counts(pos, by, order).select(*by, order, "below")
+    return pos.join(below, [*by, order]).join(stats.join(med, list(by)), list(by)).withColumn("percentile", c("below") * 100.0 / c("_n"))
 
 
 def wacc_capm(d: DataFrame, rf: float = 0.025, premium: float = 0.06, kd: float = 0.045, tax: float = 0.25) -> DataFrame:

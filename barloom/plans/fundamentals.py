@@ -7,6 +7,7 @@ the columns varied signs and sizes.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barloom.functions.sums import exact_sum
 from barloom.functions.windows import ladder
 from barloom.operators import fundamentals as U
 from barloom.plans import bindings as D
@@ -277,8 +278,8 @@ def ddm(spark, sf):
 DAILY = D.PANEL + ", daily AS (SELECT code, date, close, (close - 2000) / 100 AS pe, low / high * 20 AS pb, open / close AS ps FROM panel)"
 
 
-def daily(spark, sf):
-    return D.panel(spark, sf).select("code", "date", "close", ((c("close") - 2000) / 100).alias("pe"), (c("low") / c("high") * 20).alias("pb"), (c("open") / c("close")).alias("ps"))
+def daily(spark, sf, **more):
+    return D.panel(spark, sf, **more).select("code", "date", "close", ((c("close") - 2000) / 100).alias("pe"), (c("low") / c("high") * 20).alias("pb"), (c("open") / c("close")).alias("ps"), *more)
 
 
 PEB = """
@@ -392,7 +393,8 @@ SELECT code, date, industry, pe, median(pe) OVER g AS median, avg(pe) OVER g AS
 FROM di WINDOW g AS (PARTITION BY date, industry)""")
 def industry_pct(spark, sf):
     ind = F.element_at(F.array(*[F.lit(x) for x in INDUSTRIES]), (c("code") % 6 + 1).cast("int"))
-    return U.industry_percentile(daily(spark, sf).withColumn("industry", ind))
+    d = daily(spark, sf, _amount=exact_sum("amount"), _volume=exact_sum("volume")).withColumn("industry", ind)
+    return U.industry_percentile(d.withColumn("_exact", (c("_amount") / c("_volume") - 2000) / 100), order="_exact")
 
 
 # ---- expectations --------------------------------------------------------------------------------
