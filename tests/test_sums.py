@@ -41,3 +41,18 @@ def test_equal_pe_has_equal_percentile(spark, tmp_path):
     lines = [line(i, supplier=s, price=p) for s, ps in ((0, PRICES), (6, PRICES[::-1]), (12, [5000.0])) for i, p in enumerate(ps)]
     got = {r.code: r.percentile for r in entry.queries()["u24_industry_percentile"](spark, tables(spark, tmp_path, lines)).collect()}
     assert got == {0: 33.333333, 6: 33.333333, 12: 0.0}
+
+
+def test_equal_surprises_share_a_quintile(spark, tmp_path):
+    """u26: two suppliers whose quarters hold the same trades, added up in another order."""
+    quarters = [dt.datetime(1995 + q // 4, q % 4 * 3 + 1, 5) for q in range(11)]
+    lines = []
+    for s in (0, 1):
+        for q, day in enumerate(quarters):
+            trades = [(p + q * 1000.77 * (q % 3 + 1), f) for p, f in zip(PRICES, "RAN")] + [(p / 3 + q, "R") for p in PRICES]
+            lines += [line(i, supplier=s, price=round(p, 2), flag=f, day=day) for i, (p, f) in enumerate(trades if s == 0 else trades[::-1])]
+    got = entry.queries()["u26_pead"](spark, tables(spark, tmp_path, lines)).collect()
+    assert len(got) == 6
+    for day in {r.end_date for r in got}:
+        one, two = [(r.quintile, r.side) for r in got if r.end_date == day]
+        assert one == two
