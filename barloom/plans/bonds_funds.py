@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from barloom.functions.sums import exact_mean
 from barloom.operators import bonds_funds as E
 from barloom.plans import bindings as D
 from barloom.plans.registry import query
@@ -27,7 +28,7 @@ bv AS (SELECT *, 100 / conv_price * stock_price AS conv_value, (price / (100 / c
 def bonds(spark, sf):
     li, part = D.table(spark, sf, "lineitem"), D.table(spark, sf, "part")
     ps = li.groupBy(c("l_partkey").alias("p_partkey")).agg(
-        F.min("l_suppkey").alias("stk_code"), F.sum("l_extendedprice").alias("am"), F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax"),
+        F.min("l_suppkey").alias("stk_code"), F.sum("l_extendedprice").alias("am"), F.sum("l_quantity").alias("qty"), exact_mean("l_discount").alias("disc"), F.avg("l_tax").alias("tax"),
         F.to_date(F.min("l_shipdate")).alias("list_date"), F.to_date(F.max("l_shipdate")).alias("last_date"), F.count(F.lit(1)).alias("n"))
     last = D.panel(spark, sf).groupBy(c("code").alias("stk_code")).agg(
         (F.max_by("close", "date") / 300).alias("stock_price"), ((F.max_by("close", "date") / F.max_by("open", "date") - 1) * 5).alias("stock_chg"))

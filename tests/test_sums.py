@@ -56,3 +56,11 @@ def test_equal_surprises_share_a_quintile(spark, tmp_path):
     for day in {r.end_date for r in got}:
         one, two = [(r.quintile, r.side) for r in got if r.end_date == day]
         assert one == two
+
+
+def test_mean_change_on_a_bound(spark, tmp_path):
+    """e23: two bonds with the same trades, whose mean discount puts the change on the bound, have one label."""
+    discounts = [6, 7, 3, 3, 7, 0, 4, 0]
+    lines = [line(i, part=k, discount=x / 100) for k, xs in ((1, discounts), (2, sorted(discounts)), (3, sorted(discounts, reverse=True))) for i, x in enumerate(xs)]
+    got = {r.code: r.abnormal for r in entry.queries()["e23_abnormal_bonds"](spark, tables(spark, tmp_path, lines, [(1, 5), (2, 5), (3, 5)])).collect()}
+    assert got == {1: "medium", 2: "medium", 3: "medium"}
