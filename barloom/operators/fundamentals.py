@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.ranking import average_rank, quantiles
+from barloom.functions.sums import exact_sum
 from barloom.functions.windows import Series, ladder, ratio
 from barloom.session import cut
 
@@ -525,7 +526,7 @@ def institution_visits(v: DataFrame) -> DataFrame:
 def chip_distribution(chips: DataFrame, price: DataFrame, levels: int = 5) -> DataFrame:
     """(code, price, percent) and (code, current) -> profit share, cost percentiles, mean cost, peak, level shares."""
     w = Window.partitionBy("code").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
-    d = chips.where(c("price") > 0).withColumn("_cum", F.sum("percent").over(w)).join(price, "code")
+    d = chips.where(c("price") > 0).withColumn("_cum", exact_sum("percent", w)).join(price, "code")
     at = lambda p: F.coalesce(F.min(F.when(c("_cum") >= p, c("price"))), F.max("price"))
     g = d.groupBy("code", "current").agg(
         F.sum(F.when(c("price") <= c("current"), c("percent")).otherwise(0.0)).alias("profit_share"), F.sum("percent").alias("_t"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from barloom.functions.sums import exact_mean, exact_sum
+from barloom.operators import fundamentals as U
 
 PRICES = [330318.59, 357744.67, 218771.92]     # added up forwards and backwards they differ in the last digit
 SCHEMA = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
@@ -64,3 +65,11 @@ def test_mean_change_on_a_bound(spark, tmp_path):
     lines = [line(i, part=k, discount=x / 100) for k, xs in ((1, discounts), (2, sorted(discounts)), (3, sorted(discounts, reverse=True))) for i, x in enumerate(xs)]
     got = {r.code: r.abnormal for r in entry.queries()["e23_abnormal_bonds"](spark, tables(spark, tmp_path, lines, [(1, 5), (2, 5), (3, 5)])).collect()}
     assert got == {1: "medium", 2: "medium", 3: "medium"}
+
+
+def test_chips_whose_share_is_a_bound(spark):
+    """u32: 171 of 180 shares lie at the eighth price or below, which is 95 % and not a last digit less."""
+    shares = [21, 6, 34, 12, 30, 35, 6, 27, 9]
+    chips = spark.createDataFrame([(1, 100.0 * (i + 1), x * 100 / 180) for i, x in enumerate(shares)], "code long, price double, percent double")
+    got = U.chip_distribution(chips, spark.createDataFrame([(1, 400.0)], "code long, current double")).first()
+    assert (got.cost5, got.cost95) == (100.0, 800.0)
