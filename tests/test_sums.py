@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from barloom.functions.sums import exact_mean, exact_sum
 from barloom.operators import fundamentals as U
+from barloom.plans.registry import shape
 
 PRICES = [330318.59, 357744.67, 218771.92]     # added up forwards and backwards they differ in the last digit
 SCHEMA = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
@@ -73,3 +74,14 @@ def test_chips_whose_share_is_a_bound(spark):
     chips = spark.createDataFrame([(1, 100.0 * (i + 1), x * 100 / 180) for i, x in enumerate(shares)], "code long, price double, percent double")
     got = U.chip_distribution(chips, spark.createDataFrame([(1, 400.0)], "code long, current double")).first()
     assert (got.cost5, got.cost95) == (100.0, 800.0)
+
+
+def test_output_is_rounded_as_in_the_sql(spark, duck):
+    """u24 and all others: the same double gives the same digits, also next to a half."""
+    near = [(k + 0.5) / 1e6 for k in range(39_493_000, 39_494_000)]
+    odd = [None, 0.0, -0.0, 1e300, 1.7e308, -2.5e-6, math.inf, -math.inf, math.nan]
+    values = near + [math.nextafter(x, 0) for x in near] + [-x for x in near] + odd
+    got = shape(spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i long, x double"), "i:i x:f6").orderBy("i").collect()
+    for r, x in zip(got, values):
+        want = duck.execute("SELECT round(CAST(? AS DOUBLE), 6) + 0e0", [x]).fetchone()[0]
+        assert r.x == want or (math.isnan(r.x) and math.isnan(want)), x
